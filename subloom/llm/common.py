@@ -60,6 +60,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """df with a broadcast hint if a count shows that it has at most so many (narrow) rows, else df as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def text_or_empty(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
