@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from subloom.llm import decontaminate, knlm, pii, quality_rules, secrets, simhash, warc
+from subloom.llm import decontaminate, knlm, pieces, pii, quality_rules, secrets, simhash, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1,
     "op2_quality_rules": quality_rules.op2,
     "op3_warc": warc.op3,
+    "op6_pieces": pieces.op6,
     "op7_decontaminate": decontaminate.op7,
     "op8_knlm": knlm.op8,
     "op9_pii": pii.op9,
