@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from subloom.llm.common import table
 
@@ -203,8 +204,7 @@ def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFram
             text = [None if x is None else decode_ids(v, np.asarray(x, np.int32).tobytes()) for x in (y.values.to_numpy(zero_copy_only=False) if y.is_valid else None for y in col)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*names, "text"])
 
-    schema = encoded.schema.add("text", "string")
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())]))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
