@@ -9,8 +9,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from subloom.llm.common import table, written
+from subloom.llm.common import small, table, written
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_bangs")
 _SPACES, _SYMBOLS, _WINDOW = " \t\n\x0b\x0c\r", "#*$%&|<>", 5
@@ -64,18 +65,23 @@ def text_stats(text: str | None) -> tuple[int, ...]:
     )
 
 
-def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
-    """(id, stratum, *STATS, base_failed, severity) for every row; severity is the first level that rejects, NEVER if none."""
+def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", carry: bool = False) -> DataFrame:
+    """(id, stratum, *STATS, base_failed, severity) for every row; severity is the first level that rejects, NEVER if none.
+
+    With carry the whole row goes along as the struct row, so that it needs no join to come back.
+    """
+    stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col else F.lit("")
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    d = docs.select(F.col(id_col).cast("long").alias("id"), stratum.alias("stratum"), F.col(text_col).alias("t"), *row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = list(zip(*[text_stats(t.as_py()) for t in b.column(2)], strict=True)) or [[] for _ in STATS]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in cols]], ["id", "stratum", *STATS])
+            more = [b.column(3)] if carry else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *more, *[pa.array(c, pa.int64()) for c in cols]], ["id", "stratum", *(["row"] if carry else []), *STATS])
 
-    stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col else F.lit("")
-    s = docs.select(F.col(id_col).cast("long").alias("id"), stratum.alias("stratum"), F.col(text_col).alias("t")).mapInArrow(
-        run, "id long, stratum string, " + ", ".join(f"{c} long" for c in STATS)
-    )
+    schema = T.StructType([d.schema["id"], d.schema["stratum"], *([d.schema["row"]] if carry else []), *[T.StructField(c, T.LongType()) for c in STATS]])
+    s = d.mapInArrow(run, schema)
     per = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     value = {
         "symbols_per_word": per("n_symbols", "n_words"), "upper_share": per("n_upper", "n_letters"), "bangs_per_word": per("n_bangs", "n_words"),
@@ -155,14 +161,26 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     stats = written(corpus_stats(docs, id_col, text_col, stratum_col), "quality")
     levels = written(cutoff_levels(stats, labels, alpha, delta), "quality-levels")
-    out = stats.join(levels.select("stratum", "level"), "stratum", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    return _judged(stats, levels)
+
+
+def _judged(stats: DataFrame, levels: DataFrame) -> DataFrame:
+    out = stats.join(small(levels.select("stratum", "level")), "stratum", "left").withColumn("level", F.coalesce("level", F.lit(0)))
     return out.withColumn("kept", F.expr("not base_failed and severity > level"))
 
 
-def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", alpha: float = 0.03, delta: float = 0.05) -> DataFrame:
+    """The rows of docs, unchanged, that quality_rules keeps. Only labelled documents are looked at twice; no text is shuffled."""
+    ids = labels.where("id is not null").select(F.col("id").alias(id_col)).distinct()
+    holdout = written(corpus_stats(docs.join(ids, id_col, "left_semi"), id_col, text_col, stratum_col), "quality")
+    levels = written(cutoff_levels(holdout, labels, alpha, delta), "quality-levels")
+    return _judged(corpus_stats(docs, id_col, text_col, stratum_col, carry=True), levels).where("kept").select("row.*")
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = quality_rules(table(spark, sf_dir, "documents"), _labels(spark, sf_dir))
+    q = quality_rules(table(spark, sf_dir, "documents"), labelled(spark, sf_dir))
     return q.select(F.col("id").alias("doc_id"), *STATS[:5], "base_failed", "kept", "severity", "level")
