@@ -48,28 +48,39 @@ class Lexicon(dict):
         self[word] = i = len(self.names)
         if i == len(self.ends):
             self.kind, self.hash, self.ends = (np.concatenate([x, np.zeros_like(x)], axis=-1) for x in (self.kind, self.hash, self.ends))
-        both = canonical(word, False), canonical(word, True)
+        both = canonical(word)
         for j, (kind, value) in enumerate(both):
-            self.kind[j, i], self.hash[j, i] = kind, xxhash.xxh64_intdigest((_MARK.get(kind) or value).encode(), 7)
+            self.kind[j, i], self.hash[j, i] = kind, xxhash.xxh64_intdigest((_MARK.get(kind) or value).encode(), 7) if not j or both[0] != both[1] else self.hash[0, i]
         self.ends[i] = word[-1:] in b".!?:" or (word[-2:-1] in b".!?" and word[-1:] in b"\"')")
         self.names.append((both[0][1], both[1][1]))
         return i
 
 
-def canonical(word: bytes, starts: bool) -> tuple[int, str]:
-    """(kind, value) of a word: a literal's value is its lower-case core, a slot's is what stands in it."""
-    core = _EDGE.sub("", word.decode("utf-8", "replace"))
-    if not core:
-        return LITERAL, word.decode("utf-8", "replace")
-    if _NUMBER.fullmatch(core):
-        return NUMBER, core.strip("$€£%").rstrip(".,:")
-    if m := _ATTACHED.fullmatch(core):
-        return NUMBER, m[1].strip("$€£") + " " + m[2].lower()
-    if core.lower() in UNITS:
-        return UNIT, core.lower()
-    if core[0].isupper() and not starts:
-        return NAME, core.lower()
-    return LITERAL, core.lower()
+def canonical(word: bytes) -> tuple[tuple[int, str], tuple[int, str]]:
+    """(kind, value) of a word inside a sentence and at its start: a literal's value is its lower-case core, a slot's is
+    what stands in it."""
+    core = word.decode("utf-8", "replace")
+    if not core.isalpha():
+        core = _EDGE.sub("", core) or core
+        if _NUMBER.fullmatch(core):
+            x = NUMBER, core.strip("$€£%").rstrip(".,:")
+            return x, x
+        if m := _ATTACHED.fullmatch(core):
+            x = NUMBER, m[1].strip("$€£") + " " + m[2].lower()
+            return x, x
+    low = core.lower()
+    x = (UNIT if low in UNITS else LITERAL), low
+    return ((NAME, low) if x[0] == LITERAL and core[:1].isupper() else x), x
+
+
+_OWN: list[Lexicon] = []
+
+
+def _lexicon() -> Lexicon:
+    """One for each worker process, which serves many tasks."""
+    if not _OWN:
+        _OWN.append(Lexicon())
+    return _OWN[0]
 
 
 def template(text: str | None, lex: Lexicon, n: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -138,7 +149,7 @@ def windows(texts: DataFrame, n: int = WINDOW, keep: np.ndarray | None = None, b
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = Lexicon()
+        lex = _lexicon()
         schema = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("template", pa.string()), ("slots", pa.list_(pa.string()))])
         for b in batches:
             rows = []
