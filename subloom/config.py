@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 MAX_ID = 0x7FFFFFFF
 UNK, PAD, CLS, SEP, MASK = "[UNK]", "[PAD]", "[CLS]", "[SEP]", "[MASK]"
+SPECIALS = (PAD, UNK, CLS, SEP, MASK)
 #: Ids of special tokens that a vocabulary lacks.
 DEFAULT_IDS = {PAD: 0, UNK: 100, CLS: 101, SEP: 102, MASK: 103}
 RIGHT, LEFT = "right", "left"

@@ -98,13 +98,12 @@ class Added:
             if t.lstrip:
                 while start > done and u.is_white(text[start - 1]):
                     start -= 1
-                start = max(start, done)
+                start = max(start, done)  # what was taken before stays taken
             if t.rstrip:
                 while end < len(text) and u.is_white(text[end]):
                     end += 1
-            if start >= end or end <= done:
+            if start >= end:
                 continue
-            start = max(start, done)
             if done < start:
                 yield done, start, None
             yield start, end, id_
