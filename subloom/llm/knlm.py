@@ -158,7 +158,8 @@ def kn_quality(
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("t"))
     ids = trusted.select(F.col("id").cast("long").alias("id")).where("id is not null").distinct()
     held = F.pmod(F.xxhash64("id"), F.lit(folds)) == 0
-    good = d.join(ids.where(~held), "id", "left_semi")
+    # one plan whatever the number of ids: both sides are shuffled and merged, so nothing that grows is broadcast
+    good = d.join(ids.where(~held).hint("merge"), "id", "left_semi")
     counts = written(_distinct(good.select("lang", "t"), order, True), "kn-counts")
     wanted = written(_distinct(d.select("lang", "t"), order, False).select("lang", "k").join(small(counts.select("lang").distinct()), "lang", "left_semi"), "kn-wanted")
     logp = written(kneser_ney(counts, wanted, order), "kn-logp")
