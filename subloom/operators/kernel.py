@@ -5,7 +5,10 @@ A content is (tokens, ids, starts, ends, word_ids): five parallel lists with cod
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 from subloom import unicode as u
@@ -217,11 +220,12 @@ def _emit(out: Content, token: str, id_: int, start: int, end: int, word: int) -
         column.append(x)
 
 
+@functools.cache
 def _raw_pieces(n: Normalizer) -> re.Pattern:
     """Original characters that are boundaries whatever normalization does: white space is skipped, punctuation and
     spaced-out Chinese characters are pieces of their own, and all else goes together."""
     white = "".join(chr(c) for c in sorted(u.WHITE_SPACE) if not n.clean_text or u.cleaned(chr(c)) is not None)
-    alone = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and u.is_punctuation(chr(c))]
+    alone = [c for c in map(chr, range(sys.maxunicode + 1)) if c < "\x80" and u.is_punctuation(c) or unicodedata.category(c)[0] == "P"]
     cjk = "".join(f"{chr(a)}-{chr(b)}" for a, b in u.CJK) if n.handle_chinese_chars else ""
     single = "".join(re.escape(c) for c in alone) + cjk
     return re.compile(f"[{single}]|[^{single}{re.escape(white)}]+")
