@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,19 +16,23 @@ from subloom.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: No piece holds these but at its beginning (the space mark) or at all, so the lattice falls apart at them.
-_SEGMENT = re.compile(f"{SPACE}*[^{SPACE}\\n\\t]+|{SPACE}+|[\\n\\t]")
-
-
 class Vocabulary:
     """Pieces, scores and byte fallback of a model file; small and of fixed size, so it travels with the tasks."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]], spelled: list[bytes], byte_ids: list[int], unk_id: int):
         self.pieces, self.spelled, self.byte_ids, self.unk_id = pieces, spelled, byte_ids, unk_id
-        self.longest = max(map(len, pieces), default=1)
         self.unk_score = min((s for _, s in pieces.values()), default=0.0) - 10.0
-        if any(SPACE in p.lstrip(SPACE) or re.search(r"[\n\t]", p) for p in pieces):
-            raise ValueError("pieces that cross white space are not supported")
+        #: every beginning of a piece; the whole pieces carry (id, score)
+        self.begins: dict[str, tuple[int, float] | None] = {p[:k]: None for p in pieces for k in range(1, len(p))} | pieces
+        # two neighbouring characters that stand so in no piece are a cut: no path of the lattice crosses it
+        chars = sorted({c for p in pieces for c in p})
+        self.kind = np.zeros(0x110000, np.uint16)  # 0: in no piece
+        self.kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        n = len(chars) + 1
+        pairs = {(p[k], p[k + 1]) for p in pieces for k in range(len(p) - 1)}
+        joined = np.zeros(n * n, bool)
+        joined[[int(self.kind[ord(x)]) * n + int(self.kind[ord(y)]) for x, y in pairs]] = True
+        self.joined, self.kinds = np.packbits(joined, bitorder="little"), n
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -55,21 +58,31 @@ class Vocabulary:
         return [self.unk_id] if -1 in ids else ids
 
 
-def nbest(v: Vocabulary, segment: str, n: int) -> list[tuple[float, list[int]]]:
-    """The n best segmentations (score, ids), best first; equal scores by fewer pieces still to place, then by ids seen first.
+    def cut(self, text: str) -> list[str]:
+        """The parts of a text (space marks in place) between cuts."""
+        k = self.kind[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        at = k[:-1] * self.kinds + k[1:]
+        ends = np.flatnonzero(((self.joined[at >> 3] >> (at & 7).astype(np.uint8)) & 1) == 0) + 1
+        ends = [*ends.tolist(), len(text)]
+        return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    Forward: the Viterbi score of every prefix. Backward: A* from the end, whose estimate of what is left is that
-    score. It is exact, so paths complete in order of their score and no path outside the n best is finished.
-    """
-    size, get, longest = len(segment), v.pieces.get, v.longest
+
+Edge = tuple[int, float, int]  # start, score, id; -1 is an unknown character
+
+
+def lattice(v: Vocabulary, part: str) -> tuple[list[float], list[list[Edge]]]:
+    """The Viterbi score of every prefix of part, and the edges into every place."""
+    size, get = len(part), v.begins.get
     low = float("-inf")
     best = [0.0] + [low] * size
-    into: list[list[tuple[int, float, int]]] = [[] for _ in range(size + 1)]
+    into: list[list[Edge]] = [[] for _ in range(size + 1)]
     for s in range(size):
-        at = best[s]
-        one = False
-        for e in range(s + 1, min(s + longest, size) + 1):
-            if hit := get(segment[s:e]):
+        at, one = best[s], False
+        for e in range(s + 1, size + 1):
+            hit = get(part[s:e], 0)
+            if hit == 0:
+                break  # no piece begins like this
+            if hit:
                 into[e].append((s, hit[1], hit[0]))
                 if at + hit[1] > best[e]:
                     best[e] = at + hit[1]
@@ -78,16 +91,26 @@ def nbest(v: Vocabulary, segment: str, n: int) -> list[tuple[float, list[int]]]:
             into[s + 1].append((s, v.unk_score, -1))
             if at + v.unk_score > best[s + 1]:
                 best[s + 1] = at + v.unk_score
+    return best, into
+
+
+def nbest(v: Vocabulary, part: str, n: int) -> list[tuple[float, list[int]]]:
+    """The n best segmentations (score, ids), best first.
+
+    Forward: the Viterbi score of every prefix. Backward: A* from the end, whose estimate of what is left is that
+    score. It is exact, so paths complete in order of their score and no path outside the n best is finished.
+    """
+    best, into = lattice(v, part)
     found: list[tuple[float, list[int]]] = []
     count = itertools.count()
-    heap: list = [(-best[size], size, 0, 0.0, None)]
+    heap: list = [(-best[-1], len(part), 0, 0.0, None)]
     while heap and len(found) < n:
         _, at, _, done, path = heapq.heappop(heap)
         if not at:
             ids: list[int] = []
             while path is not None:
                 s, i, path = path
-                ids += v.ids_of_unknown(segment[s]) if i < 0 else [i]
+                ids += v.ids_of_unknown(part[s]) if i < 0 else [i]
             found.append((done, ids))
             continue
         for s, score, i in into[at]:
@@ -96,39 +119,65 @@ def nbest(v: Vocabulary, segment: str, n: int) -> list[tuple[float, list[int]]]:
     return found
 
 
+def best_and_gap(v: Vocabulary, part: str) -> tuple[float, list[int], float]:
+    """The best score and ids, and how much worse the second best is (infinite if there is none).
+
+    A path that isn't the best has an edge that isn't on it; the best path through each edge is a prefix score, the
+    edge and the best score of the rest, so one pass backward gives the second best.
+    """
+    best, into = lattice(v, part)
+    size = len(part)
+    low = float("-inf")
+    rest = [low] * size + [0.0]
+    ids: list[int] = []
+    second, node = low, size
+    for e in range(size, 0, -1):
+        after = rest[e]
+        if after == low:
+            continue
+        on = node == e
+        for s, score, i in into[e]:
+            if score + after > rest[s]:
+                rest[s] = score + after
+            if on and best[s] + score == best[e]:
+                on, node = False, s
+                ids += [i] if i >= 0 else v.ids_of_unknown(part[s])[::-1]
+            elif best[s] + score + after > second:
+                second = best[s] + score + after
+    return best[size], ids[::-1], best[size] - second
+
+
 class Segments(dict):
-    """segment -> row of its n-best lists; bounded, it starts anew before it holds limit segments."""
+    """part -> its row: best ids, score and gap; bounded, it starts anew before it holds limit parts."""
 
-    def __init__(self, v: Vocabulary, n: int, limit: int = 250_000):
+    def __init__(self, v: Vocabulary, n: int, limit: int = 600_000):
         self.v, self.n, self.limit = v, n, limit
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.lists: list[list[tuple[float, bytes]]] = []
+        self.ids: list[bytes] = []
         self.best, self.gap = np.zeros(1024), np.zeros(1024)
 
-    def __missing__(self, segment: str) -> int:
-        self[segment] = i = len(self.lists)
+    def __missing__(self, part: str) -> int:
+        self[part] = i = len(self.ids)
         if i == len(self.best):
             self.best, self.gap = np.concatenate([self.best, self.best]), np.concatenate([self.gap, self.gap])
-        found = nbest(self.v, segment, self.n)
-        self.lists.append([(s, np.array(ids, np.int32).tobytes()) for s, ids in found])
-        self.best[i] = found[0][0]
-        self.gap[i] = found[0][0] - found[1][0] if len(found) > 1 else np.inf
+        self.best[i], ids, self.gap[i] = best_and_gap(self.v, part)
+        self.ids.append(np.array(ids, np.int32).tobytes())
         return i
 
     def encode(self, text: str) -> list[tuple[float, bytes]]:
         """The n best segmentations of a text as (score, ids in 32-bit little endian).
 
-        Segments are independent, so an alternative of the whole differs in segments whose second choice costs
-        little: only the n - 1 with the smallest gaps can take part in the n best.
+        Parts are independent, so an alternative of the whole differs in parts whose second choice costs little: only
+        the n - 1 with the smallest gaps can take part in the n best, and only they are searched by A*.
         """
-        parts = _SEGMENT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        parts = self.v.cut(SPACE + text.replace(" ", SPACE)) if text else []
         if len(self) + len(parts) > self.limit and len(self):
             self.reset()
         ix = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
-        base = [self.lists[i][0][1] for i in ix]
+        base = list(map(self.ids.__getitem__, ix.tolist()))
         total = float(self.best[ix].sum())
         if self.n == 1 or not len(ix):
             return [(total, b"".join(base))]
@@ -137,13 +186,13 @@ class Segments(dict):
         near = np.sort(np.argpartition(gaps, k - 1)[:k]) if k < len(ix) else np.arange(len(ix))
         options: list[tuple[float, tuple]] = [(0.0, ())]
         for at in near.tolist():
-            own = self.lists[ix[at]]
-            options = heapq.nsmallest(self.n, ((d + own[0][0] - s, (*c, (at, j)) if j else c) for d, c in options for j, (s, _) in enumerate(own)), key=lambda x: x[0])
+            own = nbest(self.v, parts[at], self.n)
+            options = heapq.nsmallest(self.n, ((d + own[0][0] - s, (*c, (at, ids)) if j else c) for d, c in options for j, (s, ids) in enumerate(own)), key=lambda x: x[0])
         out = []
         for d, changes in options:
             mine = base if not changes else list(base)
-            for at, j in changes:
-                mine[at] = self.lists[ix[at]][j][1]
+            for at, ids in changes:
+                mine[at] = np.array(ids, np.int32).tobytes()
             out.append((total - d, b"".join(mine)))
         return out
 
