@@ -327,7 +327,7 @@ ext AS (SELECT k, k // 1000 AS conv_id, coalesce(max(b), 0) AS mc, coalesce(max(
 sh AS (SELECT k, conv_id, coalesce(sum(mc) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dc, coalesce(sum(mw) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dw FROM ext)"""))
 query("encoding_to_json", lambda s, d: _encoded()(s, d).select("k", F.get_json_object(E.to_json("encoding"), "$.ids").alias("ids_json")), _single_sql("SELECT k, '[' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY i) || ']' AS ids_json FROM enc GROUP BY k"))
 
-# added tokens: what is matched in part names, with and without the word and white-space rules
+# added tokens that are no pieces, so that their id stands for nothing else
 
 
 def _added(token: AddedToken) -> Query:
@@ -351,9 +351,9 @@ SELECT doc_id AS k, CAST(len(m) AS INTEGER) AS n, CAST(coalesce((SELECT sum(3 *
 FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}', {group}) AS m, regexp_split_to_array(text, '{pattern}') AS p FROM documents)"""
 
 
-query("added_token_raw", _added(AddedToken("tion", normalized=False)), _added_sql("tion", 0))
-query("added_token_single_word", _added(AddedToken("tion", single_word=True, normalized=False)))
-query("added_token_strip", _added(AddedToken("the", lstrip=True, rstrip=True, normalized=False)), _added_sql("[ \\t\\n\\r]*the[ \\t\\n\\r]*", 0))
+query("added_token_raw", _added(AddedToken("ation", normalized=False)), _added_sql("ation", 0))
+query("added_token_single_word", _added(AddedToken("then", single_word=True, normalized=False)))
+query("added_token_strip", _added(AddedToken("then", lstrip=True, rstrip=True, normalized=False)), _added_sql("[ \\t\\n\\r]*then[ \\t\\n\\r]*", 0))
 query("added_token_normalized", _added(AddedToken("ÉAU", normalized=True)))
 
 # a tokenizer.json with its own template, cleanup and padding
