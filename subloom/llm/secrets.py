@@ -18,7 +18,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs [0-9a-f]+ of 24 or more
 #: Words that make what follows them sensitive, and the strings looked at there.
 CONTEXT = re.compile(r"(?:key|secret|token|passw|pwd|auth|credential|private|bearer|signature|session|access)", re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 REACH, AROUND = 48, 256
 #: Identifiers and code fragments that prime the compressor.
 IDENTIFIERS = (
@@ -70,12 +70,7 @@ def novel_spans(text: str, known: list[tuple[int, int, int]], novelty: Novelty,
                 continue
             if 8 * novelty.marginal(text[max(0, s - AROUND) : s], m[0], text[e : e + AROUND]) >= min_bits * (e - s):
                 out[s] = (s, 3, e)
-    # one sensitive word inside a string may cut it: keep the longest of overlapping ones
-    kept: list[tuple[int, int, int]] = []
-    for x in sorted(out.values(), key=lambda x: (-(x[2] - x[0]), x)):
-        if not any(a < x[2] and x[0] < b for a, _, b in kept):
-            kept.append(x)
-    return kept
+    return sorted(out.values())
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

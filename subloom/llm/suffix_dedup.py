@@ -72,7 +72,11 @@ def runs(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarra
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, c, doc, at, n, rel): a row per run; c hashes the run's bytes and the anchor's place in them."""
+    """(h, c, doc, at, n, again): a row per run; c hashes the run's bytes and the anchor's place in them.
+
+    Of runs that are equal as a whole, all but the first of a block are settled here: again is true, and their h is
+    mixed with their place, so that what a block repeats is spread and not sorted with the anchor.
+    """
 
     def flush(ids, offs, parts):
         raw = b"".join(parts)
@@ -81,10 +85,16 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, first, last, anchor, h = runs(np.frombuffer(raw, np.uint8), starts, ends)
         rel = anchor - first
         c = [xxhash.xxh64_intdigest(raw[a:e], r) for a, e, r in zip(first.tolist(), (last + SPAN).tolist(), rel.tolist(), strict=True)]
-        at = first - starts[of] + np.array(offs, np.int64)[of]
+        at, c, doc = first - starts[of] + np.array(offs, np.int64)[of], np.array(c, np.uint64), np.array(ids, np.int64)[of]
+        order = np.lexsort((at, doc, c, h))
+        head = np.concatenate([[True], (h[order[1:]] != h[order[:-1]]) | (c[order[1:]] != c[order[:-1]])]) if len(order) else np.zeros(0, bool)
+        lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+        again = np.zeros(len(order), bool)
+        again[order] = (doc[order] != doc[lead]) | (at[order] != at[lead])  # a repeated row of one document is no repeat
+        h = np.where(again, (h ^ (doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) + at.view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9), h)
         return pa.RecordBatch.from_arrays(
-            [pa.array(h.view(np.int64)), pa.array(np.array(c, np.uint64).view(np.int64)), pa.array(np.array(ids, np.int64)[of]), pa.array(at), pa.array((last - first + 1).astype(np.int16)), pa.array(rel.astype(np.int16))],
-            ["h", "c", "doc", "at", "n", "rel"],
+            [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(at), pa.array((last - first + 1).astype(np.int16)), pa.array(again)],
+            ["h", "c", "doc", "at", "n", "again"],
         )
 
     for b in batches:
@@ -221,10 +231,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     128-bit digest instead, and the least (document, place) of each stays.
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    anchors = d.mapInArrow(_anchor_rows, "h long, c long, doc long, at long, n short, rel short")
+    anchors = d.mapInArrow(_anchor_rows, "h long, c long, doc long, at long, n short, again boolean")
     same, own = W.partitionBy("h", "c").orderBy("doc", "at"), W.partitionBy("h")
-    met = anchors.withColumn("r", F.rank().over(same)).withColumn("contexts", F.sum((F.col("r") == 1).cast("int")).over(own)).where("r > 1 or contexts > 1")
-    marks = written(met.select("h", "doc", "at", "n", (F.col("r") > 1).alias("whole"), (F.col("contexts") > hot).alias("hot")), "anchors")
+    met = anchors.withColumn("r", F.rank().over(same)).withColumn("contexts", F.sum((F.col("r") == 1).cast("int")).over(own)).where("r > 1 or contexts > 1 or again")
+    marks = written(met.select("h", "doc", "at", "n", F.expr("r > 1 or again").alias("whole"), (F.col("contexts") > hot).alias("hot")), "anchors")
     full = marks.where("whole").select("doc", F.col("at").alias("start"), F.expr(f"at + n + {SPAN - 1}").alias("stop"))
     part = marks.where("not whole").groupBy("doc").agg(F.collect_list(F.struct("h", "at", "n", "hot")).alias("marks"))
     ctx = d.join(part, d.id == part.doc).select("id", "t", "marks").mapInArrow(_contexts, "h long, doc long, at long, ctx binary, hot boolean")
