@@ -23,6 +23,7 @@ from pyspark.sql.datasource import (
     EqualTo,
     In,
     InputPartition,
+    IsNotNull,
     StringStartsWith,
     WriterCommitMessage,
 )
@@ -244,6 +245,8 @@ class WarcReader(DataSourceReader):
             name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
             if isinstance(f, EqualTo | In | StringStartsWith) and name in _HEADER and name != "payload_length":
                 self.tests.append(("starts", name, f.value) if isinstance(f, StringStartsWith) else ("in", name, [f.value] if isinstance(f, EqualTo) else list(f.value)))
+            elif isinstance(f, IsNotNull) and name in _HEADER:
+                self.tests.append(("some", name, None))
             else:
                 yield f
 
@@ -264,7 +267,7 @@ class WarcReader(DataSourceReader):
         if not partition.path:
             return
         tests, columns = [(how, name, set(v) if how == "in" else v) for how, name, v in self.tests], self.columns
-        wanted = lambda r: all(r[n] is not None and (r[n] in v if how == "in" else r[n].startswith(v)) for how, n, v in tests)
+        wanted = lambda r: all(r[n] is not None and (how == "some" or (r[n] in v if how == "in" else r[n].startswith(v))) for how, n, v in tests)
         kinds = {"payload": pa.binary(), "payload_length": pa.int64(), "headers": pa.map_(pa.string(), pa.string())}
         fields = pa.schema([(c, kinds.get(c, pa.string())) for c in columns])
         fs, _ = _fs(self.path)
