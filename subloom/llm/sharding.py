@@ -23,53 +23,60 @@ def ranked(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     return s.join(small(off), [group, "_p"]).withColumn("rank", F.col("_o") + F.col("_i") - F.col("_f")).drop("_m", "_p", "_i", "_f", "_o")
 
 
-def propagate(a: DataFrame, shards: int, max_rounds: int) -> DataFrame:
-    """a(u, gid, shard) after balanced label propagation; u tells rows apart, gid is null for rows without links.
+def propagate(linked: DataFrame, singles: int, shards: int, max_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(linked(u, gid, shard), swapped(u, shard)) after balanced label propagation.
 
-    Each round, every linked group looks for the shard that holds most of its members among those with free rows
-    (unlinked ones); members elsewhere, where fewer are, ask to move there. The first as many as it has free rows
-    may, and each swaps places with one of them, so no shard's count ever changes. Every move joins a member to
-    more of its group, so rounds end by themselves; a group larger than a shard fills one after the other.
+    Rows 0 to singles - 1 have no links; row u of them begins in shard u mod shards, as the (u div shards)-th there.
+    Each round, every linked group looks for the shard that holds most of its members among those that still have
+    unlinked rows to give; members elsewhere, where fewer are, ask to move there. As many as it has such rows may, and
+    each swaps places with the next of them, so no shard's count ever changes. Every move joins a member to more of its
+    group, so rounds end by themselves; a group larger than a shard fills one after the other.
     """
+    spark = linked.sparkSession
+    swapped = spark.createDataFrame([], "u long, shard int")
+    free = {b: (singles - b + shards - 1) // shards for b in range(shards)}  # a number for each shard: bounded
+    used = dict.fromkeys(range(shards), 0)
     for _ in range(max_rounds):
-        linked = a.where("gid is not null")
-        cnt = written(linked.groupBy("gid", "shard").agg(F.count("*").alias("n")), "shard-counts")
-        free = small(written(a.where("gid is null").groupBy("shard").agg(F.count("*").alias("free")), "shard-free"))
-        ok = cnt.join(free, "shard")
-        best = ok.groupBy("gid").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"), "free")).alias("b")).select("gid", (-F.col("b.s")).alias("to"), F.col("b.n").alias("n_to"), F.col("b.free").alias("quota"))
-        split = cnt.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1").select("gid")
-        ask = cnt.join(split, "gid", "left_semi").join(best, "gid").where("shard <> to and (n < n_to or (n = n_to and to < shard))").select("gid", "shard", "to", "quota")
-        movers = linked.join(ask, ["gid", "shard"]).select("u", "gid", "shard", "to", "quota")
-        movers = written(ranked(movers, "to", ["gid", "u"], "shard-movers").where("rank < quota"), "shard-moves")
-        if not movers.limit(1).count():
+        table = F.create_map(*[F.lit(x) for b in range(shards) for x in (b, free[b] - used[b])])
+        base = F.create_map(*[F.lit(x) for b in range(shards) for x in (b, used[b])])
+        cnt = linked.groupBy("gid", "shard").agg(F.count("*").alias("n"))
+        top = F.max(F.when(table[F.col("shard")] > 0, F.struct("n", (-F.col("shard")).alias("s"))))
+        best = cnt.groupBy("gid").agg(top.alias("b"), F.count("*").alias("k")).where("k > 1 and b is not null").select("gid", (-F.col("b.s")).alias("to"), F.col("b.n").alias("n_to"))
+        ask = cnt.join(best, "gid").where("shard <> to and (n < n_to or (n = n_to and to < shard))").select("gid", "shard", "to")
+        movers = ranked(linked.join(ask, ["gid", "shard"]).select("u", "gid", "shard", "to"), "to", ["gid", "u"], "shard-movers")
+        moves = written(movers.where(F.col("rank") < table[F.col("to")]).select("u", "shard", "to", ((base[F.col("to")] + F.col("rank")) * shards + F.col("to")).alias("partner")), "shard-moves")
+        done = {r["to"]: r["n"] for r in moves.groupBy("to").agg(F.count("*").alias("n")).collect()}  # at most a row a shard
+        if not done:
             break
-        singles = ranked(a.where("gid is null").select("u", "shard"), "shard", ["u"], "shard-singles").select(F.col("u").alias("u2"), F.col("shard").alias("to"), "rank")
-        swap = movers.join(singles, ["to", "rank"])
-        change = swap.select("u", F.col("to").alias("new")).union(swap.select(F.col("u2").alias("u"), F.col("shard").alias("new")))
-        new = written(a.join(change, "u", "left").select("u", "gid", F.coalesce("new", "shard").alias("shard")), "shard-rows")
-        remove(a)
-        a = new
-    return a
+        for b, n in done.items():
+            used[b] += n
+        swapped = swapped.union(moves.select(F.col("partner").alias("u"), "shard"))
+        new = written(linked.join(moves.select("u", "to"), "u", "left").select("u", "gid", F.coalesce("to", "shard").alias("shard")), "shard-rows")
+        remove(linked)
+        linked = new
+    return linked, swapped
 
 
 def balanced_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", max_rounds: int = 16) -> DataFrame:
     """(id, size, text_crc32, shard, slot, linked): shards whose row counts differ by one at most, and gapless slots.
 
     Documents are linked when their texts are equal (null counts as empty): XXH64, CRC-32 and length agree. They
-    start dealt out evenly in the order of a hash of the id; label propagation then gathers the groups.
-    Repeated rows are rows of their own. No documents give no rows. Only the two columns named are read.
+    start dealt out evenly in the order of a hash of the id, those without links first; label propagation then gathers
+    the groups. Repeated rows are rows of their own. No documents give no rows. Only the two columns named are read.
     """
     t = F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")
     d = docs.select(F.col(id_col).cast("long").alias("id"), t.alias("t")).select("id", (F.octet_length("t") + 8).cast("long").alias("size"), F.crc32("t").alias("text_crc32"), F.xxhash64("t").alias("x"))
     d = written(d, "shard-docs")
     key = ["x", "text_crc32", "size"]
     group = d.groupBy(*key).agg(F.min("id").alias("gid"), F.count("*").alias("n")).where("n > 1").select(*key, "gid")
-    d = d.join(group, key, "left").withColumn("one", F.lit(0)).withColumn("r", F.xxhash64("id", F.lit(11)))
-    d = ranked(d, "one", ["r", "id", "x"], "shard-start").select(F.col("rank").alias("u"), "id", "size", "text_crc32", "gid")
-    d = written(d, "shard-dealt")
-    a = propagate(written(d.select("u", "gid", (F.col("u") % shards).cast("int").alias("shard")), "shard-rows"), shards, max_rounds)
-    slot = ranked(a.select("u", "shard"), "shard", ["u"], "shard-slots")
-    return d.join(slot, "u").select("id", "size", "text_crc32", "shard", F.col("rank").alias("slot"), F.col("gid").isNotNull().alias("linked"))
+    d = d.join(group, key, "left").withColumn("one", F.lit(0)).withColumn("linked", F.col("gid").isNotNull()).withColumn("r", F.xxhash64("id", F.lit(11)))
+    d = written(ranked(d, "one", ["linked", "r", "id", "x"], "shard-start").select(F.col("rank").alias("u"), "id", "size", "text_crc32", "gid"), "shard-dealt")
+    begin = (F.col("u") % shards).cast("int").alias("shard")
+    singles = d.where("gid is null").count()
+    linked, swapped = propagate(written(d.where("gid is not null").select("u", "gid", begin), "shard-rows"), singles, shards, max_rounds)
+    moved = linked.select("u", F.col("shard").alias("new")).union(swapped.select("u", F.col("shard").alias("new")))
+    placed = d.join(moved, "u", "left").select("u", "id", "size", "text_crc32", F.col("gid").isNotNull().alias("linked"), F.coalesce("new", begin).alias("shard"))
+    return ranked(placed, "shard", ["u"], "shard-slots").select("id", "size", "text_crc32", "shard", F.col("rank").alias("slot"), "linked")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
