@@ -93,7 +93,7 @@ def test_warc_round_trip_and_pushdown(spark, tmp_path):
     rev = got.where("record_type = 'revisit'").collect()
     assert [(x.record_id, x.refers_to, x.payload, x.payload_length) for x in rev] == [("urn:page:1", "urn:page:2", None, 2000)]
     plan = got.where("record_type = 'revisit'")._jdf.queryExecution().executedPlan().toString()
-    assert "Filter" not in plan  # the reader tests headers itself
+    assert ") Filter" not in plan  # the reader tests headers itself
     slim = spark.read.format("warc").schema("record_id string, headers map<string,string>").load(path).where("record_id = 'urn:page:3'").collect()
     assert len(slim) == 1 and slim[0].headers["warc-type"] == "response"
     empty = f"file://{tmp_path}/none"
