@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -73,10 +72,6 @@ def novel_spans(text: str, known: list[tuple[int, int, int]], novelty: Novelty,
     return sorted(out.values())
 
 
-def joined(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
-
-
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bits: float = 4.0) -> DataFrame:
     """(id, spans array<struct<kind,start,end,text>>) for every row of docs, by start, then kind.
 
@@ -111,7 +106,3 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         text(F.col("spans")).alias("spans"),
         count("novel").alias("n_novel"),
     )
-
-
-def digest(spans: list[tuple[int, int, int]]) -> str:
-    return hashlib.sha256(joined(spans).encode()).hexdigest()

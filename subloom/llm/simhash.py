@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subloom.llm.common import connected_components, partitions, table, text_or_empty, written
+from subloom.llm.common import connected_components, partitions, table, written
 
 
 def shingles(text: str | None, n: int) -> list[bytes]:
@@ -63,8 +63,8 @@ def ball(fp: str, radius: int, bits: int = 64) -> F.Column:
 def fingerprint_edges(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     """Edges (a, b) between distinct fingerprints of fps(fp) that connect exactly the pairs within max_bits.
 
-    max_bits 0 to 3. Every fingerprint emits the ball of half the radius (one bit for 2 or 3) and is shuffled
-    on the variants. For radius 2 all members of one variant lie within one bit of it, so they are within two
+    max_bits is 0, 1 or 2. Every fingerprint emits the ball of half the radius (one bit) and is shuffled on the
+    variants. For radius 2 all members of one variant lie within one bit of it, so they are within two
     bits of each other; the members of a variant are kept as one 64-bit mask of flipped bits (a fixed-size
     partial aggregate, at most 65 members) and are linked to the lowest one. The distance is verified again.
     """
@@ -151,8 +151,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n-word shingles is at least similarity. Candidates come from 2 * WORDS 32-bit SimHash tables by ball hashing
     (radius two, half of it emitted); a loose bound on the whole fingerprint and then the exact similarity verify
     them. With 16 tables a pair at 0.8 is found with probability 0.87, at 0.85 with 0.97, from 0.9 on always but
-    for a few in a thousand. Null and wordless texts are equal to each other only if the texts are.
+    for a few in a thousand. Null and empty texts are equal to each other; repeated rows repeat.
     """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([long_simhash(t.as_py(), n) for t in b.column(4)], pa.list_(pa.int64()))], ["id", "x", "crc", "len", "f"])
