@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from subloom.config import DO_NOT_TRUNCATE, LEFT, LONGEST_FIRST, ONLY_FIRST, ONLY_SECOND, RIGHT, Padding, Part
+from subloom.config import DO_NOT_TRUNCATE, LEFT, LONGEST_FIRST, ONLY_FIRST, RIGHT, Padding, Part
 
 FIELDS = {
     "tokens": "array<string>", "ids": "array<int>", "type_ids": "array<smallint>", "attention_mask": "array<tinyint>", "special_tokens_mask": "array<tinyint>",
