@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,7 @@ from subloom.functions import text as T
 from subloom.operators.merge import merge_groups
 from subloom.plans.lattice import prefixes, token_counts
 from subloom.sources.vocabulary import Vocabulary
+from subloom.streaming.encode import encode_stream, read_texts
 from subloom.tokenizer import WordPieceTokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -370,6 +373,19 @@ def json_tokenizer() -> WordPieceTokenizer:
 
 
 query("json_encode", lambda s, d: rows(json_tokenizer().encode(_turns(s, d), "text")), ORACLES["encode_single"])
+
+
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The turns encoded as a stream into a table in the shared folder, all that is there in one go."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='subloom-')}"
+    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    turns = read_texts(spark, d, "conv_id long, turn long, role string, text string", glob="conversations.parquet")
+    out = encode_stream(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text"), tokenizer(), "text").select("k", "encoding")
+    out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return rows(spark.read.schema(out.schema).parquet(f"{at}/out"))
+
+
+query("streaming_encode", _streamed, ORACLES["encode_single"])
 query("decode_cleanup", lambda s, d: json_tokenizer().encode(_turns(s, d), "text").select("k", json_tokenizer().decode("encoding.ids").alias("decoded")),
       _with(_content_ctes(_TURNS)) + "SELECT k, coalesce(string_agg(CASE WHEN i = first THEN token WHEN token LIKE '##%' THEN substr(token, 3) WHEN token IN ('.', '?', '!', ',') THEN token ELSE ' ' || token END, '' ORDER BY i), '') AS decoded FROM tokn LEFT JOIN (SELECT *, min(i) OVER (PARTITION BY k) AS first FROM tok WHERE id > 4) USING (k) GROUP BY k")
 

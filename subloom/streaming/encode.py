@@ -9,8 +9,10 @@ from pyspark.sql.streaming import DataStreamWriter
 from subloom.tokenizer import WordPieceTokenizer
 
 
-def read_texts(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
+def read_texts(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", max_files: int | None = None, glob: str | None = None) -> DataFrame:
+    """A stream of the files that come into a folder; glob picks them by name."""
     r = spark.readStream.schema(schema).format(fmt)
+    r = r.option("pathGlobFilter", glob) if glob else r
     return (r.option("maxFilesPerTrigger", max_files) if max_files else r).load(path)
 
 
