@@ -40,14 +40,18 @@ def _accents(limit: int = 0x250) -> tuple[str, str]:
 
 def strip_accents(text: Column | str) -> Column:
     """Latin letters (below U+0250) without accents and combining marks U+0300-U+036F dropped; use the kernel beyond them."""
+    text = _c(text)
     marks = "".join(f"\\x{{{c:x}}}" for c in range(0x300, 0x370) if unicodedata.category(chr(c)) == "Mn")
     a, b = _accents()
-    return F.translate(F.regexp_replace(_c(text), f"[{marks}]", ""), a, b)
+    plain = F.regexp_like(text, F.lit(r"^\p{ASCII}*+$"))  # most texts need no look at each character
+    return F.when(plain, text).otherwise(F.translate(F.regexp_replace(text, f"[{marks}]", ""), a, b))
 
 
 def lowercase(text: Column | str) -> Column:
-    """Each character in lower case on its own: no final sigma."""
-    return F.array_join(F.transform(F.split(_c(text), ""), F.lower), "")
+    """Each character in lower case on its own. Only sigma depends on its neighbours, so only texts with one are taken apart."""
+    text = _c(text)
+    apart = F.array_join(F.transform(F.split(text, ""), F.lower), "")
+    return F.when(F.contains(text, F.lit("Σ")), apart).otherwise(F.lower(text))
 
 
 def normalize(text: Column | str, lower: bool = True, accents: bool = True, cjk: bool = True, clean: bool = True) -> Column:

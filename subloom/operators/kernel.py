@@ -10,6 +10,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 from subloom import unicode as u
 from subloom.config import MAX_ID, AddedToken, Normalizer
@@ -18,36 +19,67 @@ from subloom.sources.vocabulary import Vocabulary
 Content = tuple[list[str], list[int], list[int], list[int], list[int]]
 
 
+class _Mapped(dict):
+    """Character -> what it is normalized to, possibly nothing; normalization looks at one character at a time."""
+
+    def __init__(self, n: Normalizer):
+        super().__init__()
+        self.n = n
+
+    def __missing__(self, c: str) -> str:
+        n, new = self.n, c
+        if n.clean_text:
+            new = u.cleaned(c)
+        if new is None:
+            new = ""
+        else:
+            spaced = n.handle_chinese_chars and u.is_cjk(new)
+            if n.strip_accents:
+                new = u.without_accents(new)
+            if n.lowercase:
+                new = "".join(x.lower() for x in new)
+            if spaced:
+                new = f" {new} "
+        self[c] = new
+        return new
+
+
+_mapped = functools.cache(_Mapped)
+
+
+class _Kinds(dict):
+    """Character -> 0 white space, 1 punctuation, 2 anything else."""
+
+    def __missing__(self, c: str) -> int:
+        self[c] = kind = 0 if u.is_white(c) else 1 if u.is_punctuation(c) else 2
+        return kind
+
+
+_KINDS = _Kinds()
+
+
 def normalize(text: str, n: Normalizer) -> tuple[str, list[int]]:
     """The normalized text, and for each of its characters which character of text it came from."""
-    out, at = [], []
-    for i, c in enumerate(text):
-        if n.clean_text and (c := u.cleaned(c)) is None:
-            continue
-        spaced = n.handle_chinese_chars and u.is_cjk(c)
-        new = u.without_accents(c) if n.strip_accents else c
-        if n.lowercase:
-            new = "".join(x.lower() for x in new)
-        if spaced:
-            new = f" {new} "
-        out.append(new)
-        at += [i] * len(new)
-    return "".join(out), at
+    out = list(map(_mapped(n).__getitem__, text))
+    done = "".join(out)
+    if len(done) == len(text) and all(map(len, out)):
+        return done, list(range(len(text)))
+    return done, [i for i, x in enumerate(out) for _ in x]
 
 
 def split(text: str) -> Iterator[tuple[int, int]]:
     """Spans of the words: white space separates and vanishes, each punctuation character stands alone."""
     start = -1
-    for i, c in enumerate(text):
-        white = u.is_white(c)
-        if white or u.is_punctuation(c):
-            if start >= 0:
-                yield start, i
-                start = -1
-            if not white:
-                yield i, i + 1
-        elif start < 0:
-            start = i
+    for i, kind in enumerate(map(_KINDS.__getitem__, text)):
+        if kind == 2:
+            if start < 0:
+                start = i
+            continue
+        if start >= 0:
+            yield start, i
+            start = -1
+        if kind:
+            yield i, i + 1
     if start >= 0:
         yield start, len(text)
 
@@ -127,11 +159,16 @@ class Kernel:
         self.prefix, self.longest, self.unk, self.limit = prefix, max_word_length, unk_token, limit
         self.unk_id = self.vocab.token_to_id(unk_token)
         self._memo: dict[str, list] = {}
+        self._ids = _Ids(self)
         self._plain = not added.cooked[0] and self.normalizer.split
         self._piece = _raw_pieces(self.normalizer) if self._plain else None
 
     def __getstate__(self):
-        return {**self.__dict__, "_memo": {}}
+        return {**self.__dict__, "_memo": {}, "_ids": None}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._ids = _Ids(self)
 
     def word(self, word: str) -> list[tuple[str, int, int, int]]:
         """(token, id, start, end) pieces of one normalized word; one unknown token if it has no full segmentation."""
@@ -153,6 +190,8 @@ class Kernel:
 
     def _raw_word(self, raw: str) -> list[list[tuple[str, int, int, int]]]:
         """Words with pieces of a stretch of original text that holds no certain boundary; spans are relative to it."""
+        if raw.isascii() and raw.isalnum():  # nothing to clean, strip or split
+            return [self.word(raw.lower() if self.normalizer.lowercase else raw)]
         text, at = normalize(raw, self.normalizer)
         return [[(t, i, at[s + a], at[s + b - 1] + 1) for t, i, a, b in self.word(text[s:e])] for s, e in split(text)]
 
@@ -212,7 +251,25 @@ class Kernel:
         return out
 
     def ids(self, text: str) -> list[int]:
-        return self.content(text)[1]
+        """The ids alone: words that are known cost one look-up."""
+        pattern = self.added.raw[1]
+        if not self._plain or (pattern is not None and pattern.search(text)):
+            return self.content(text)[1]
+        if len(self._ids) >= self.limit:
+            self._ids.clear()
+        return list(chain.from_iterable(map(self._ids.__getitem__, self._piece.findall(text))))
+
+
+class _Ids(dict):
+    """Stretch of original text -> ids of its words."""
+
+    def __init__(self, kernel: Kernel):
+        super().__init__()
+        self.kernel = kernel
+
+    def __missing__(self, raw: str) -> list[int]:
+        self[raw] = ids = [p[1] for pieces in self.kernel._raw_word(raw) for p in pieces]
+        return ids
 
 
 def _emit(out: Content, token: str, id_: int, start: int, end: int, word: int) -> None:

@@ -15,7 +15,7 @@ _WORD = regex.compile(r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}‌‍]")
 
 
 def is_cjk(c: str) -> bool:
-    return any(a <= ord(c) <= b for a, b in CJK)
+    return c >= "\u3400" and any(a <= ord(c) <= b for a, b in CJK)
 
 
 def is_punctuation(c: str) -> bool:
