@@ -34,6 +34,9 @@ def word_pieces(spark: SparkSession, words: DataFrame, vocab: Vocabulary, unk_id
     Candidate substrings are matched by a hash join with the vocabulary; the best at each place is a max, and the walk
     over a word's best matches is an array fold.
     """
+    # dealt by word once and for all: the substrings, both groupings and the last join stay where they are, and the
+    # explosion is not left to the few tasks that a small table of words would be merged into
+    words = words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word")
     v = vocabulary_rows(spark, vocab)
     longest = max([*map(len, vocab.words), *map(len, vocab.continuations)], default=1)
     n = F.length("word")
