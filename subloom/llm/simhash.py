@@ -127,7 +127,8 @@ def _table_pairs(fps: DataFrame, tables: list[int]) -> DataFrame:
     """Candidate pairs (a, b), a < b, of fps(id, f): ids whose 32-bit fingerprints differ by at most two bits in a table.
 
     Ids with the same fingerprint hang on their lowest. The distinct fingerprints emit their ball of radius one and
-    meet on its variants; at most 33 can share one, so the pairs of a variant are bounded by construction.
+    meet on its variants; of the at most 33 that share one, each is paired with the lowest and with the next, so that
+    a dense group gives as many pairs as it has rows. Two that belong together share two variants or more.
     """
     half = lambda t: F.shiftright(F.get("f", F.lit(t // 2)), 32 * (t % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
     each = fps.select("id", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), half(t).alias("s")) for t in tables])).alias("x")).select("id", "x.t", "x.s")
@@ -138,7 +139,10 @@ def _table_pairs(fps: DataFrame, tables: list[int]) -> DataFrame:
     met = ball1.select("x.*").groupBy("v").agg(F.bit_or("m").alias("mask")).where("bit_count(mask) > 1")
     members = F.concat(F.when(F.col("mask") >= 1 << 32, F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<long>")), F.filter(F.array(*[F.lit(1 << k).cast("long") for k in range(32)]), lambda m: F.col("mask").bitwiseAND(m) != 0))
     met = met.select(F.shiftright("v", 32).cast("int").alias("t"), F.transform(members, lambda m: F.col("v").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(m)).alias("all"))
-    pair = met.select("t", "all", F.explode("all").alias("s")).select("t", "s", F.explode(F.filter("all", lambda x: x > F.col("s"))).alias("s2")).distinct()
+    order = F.array_sort("all")
+    star = F.transform(F.slice(order, 2, 33), lambda x: F.struct(F.get(order, F.lit(0)).alias("s"), x.alias("s2")))
+    chain = F.zip_with(F.slice(order, F.lit(2), F.greatest(F.size(order) - 2, F.lit(0))), F.slice(order, 3, 33), lambda x, y: F.struct(x.alias("s"), y.alias("s2")))
+    pair = met.select("t", F.explode(F.concat(star, chain)).alias("p")).select("t", "p.s", "p.s2").distinct()
     one, two = low.select("t", "s", F.col("low").alias("x")), low.select("t", F.col("s").alias("s2"), F.col("low").alias("y"))
     near = pair.join(one, ["t", "s"]).join(two, ["t", "s2"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return same.union(near).distinct()
