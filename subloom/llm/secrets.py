@@ -17,7 +17,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs [0-9a-f]+ of 24 or more
 #: Words that make what follows them sensitive, and the strings looked at there.
 CONTEXT = re.compile(r"(?:key|secret|token|passw|pwd|auth|credential|private|bearer|signature|session|access)", re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+#: A string begins after anything else or after '=', which also ends a base64 string.
+START = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-](?=[A-Za-z0-9+/_=-]{15})")
+BODY = re.compile(r"[A-Za-z0-9+/_=-]*")
 REACH, AROUND = 48, 256
 #: Identifiers and code fragments that prime the compressor.
 IDENTIFIERS = (
@@ -55,21 +57,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def novel_spans(text: str, known: list[tuple[int, int, int]], novelty: Novelty, min_bits: float = 4.0) -> list[tuple[int, int, int]]:
     """Strings within REACH characters after a sensitive word whose marginal cost is at least min_bits a character.
 
-    The cost is taken against the AROUND characters before and after, with the string's other occurrences in
-    them left in, so a repeated identifier costs next to nothing. Strings that touch a known span, or hold no
-    digit beside letters, are left out.
+    A string begins at a boundary, after '=' or where '_' or '-' joins it to the sensitive word (then it holds no '='
+    but at its end), and goes on to its real end. The cost is taken against the AROUND characters before and after,
+    with the string's other occurrences in them left in, so a repeated identifier costs next to nothing. Strings that
+    touch a known span, or hold no digit beside letters, are left out; of strings within each other the outer one is given.
     """
-    out: dict[int, tuple[int, int, int]] = {}
+    out: list[tuple[int, int, int]] = []
+    tried: set[int] = set()
+    run = (0, 0)  # the last run of string characters: its end serves all starts in it
     for c in CONTEXT.finditer(text):
-        for m in CANDIDATE.finditer(text, c.end(), min(len(text), c.end() + REACH + 4096)):
-            s, e = m.span()
-            if s > c.end() + REACH:
-                break
-            if s in out or any(a < e and s < b for a, _, b in known) or not (any(x.isdigit() for x in m[0]) and any(x.isalpha() for x in m[0])):
+        last = c.end() + REACH
+        starts = [m.start() for m in START.finditer(text, c.end(), min(len(text), last + 16)) if m.start() <= last]
+        joined = c.end() + 1 if text[c.end() : c.end() + 1] in ("_", "-") else -1
+        for s in [joined, *starts] if joined >= 0 else starts:
+            if not run[0] <= s < run[1]:
+                run = s, BODY.match(text, s).end()
+            e = run[1]
+            if e - s < 16 or s in tried or (s == joined and "=" in text[s:e].rstrip("=")) or (out and s < out[-1][2]):
                 continue
-            if 8 * novelty.marginal(text[max(0, s - AROUND) : s], m[0], text[e : e + AROUND]) >= min_bits * (e - s):
-                out[s] = (s, 3, e)
-    return sorted(out.values())
+            tried.add(s)
+            what = text[s:e]
+            if any(a < e and s < b for a, _, b in known) or not (any(x.isdigit() for x in what) and any(x.isalpha() for x in what)):
+                continue
+            if 8 * novelty.marginal(text[max(0, s - AROUND) : s], what, text[e : e + AROUND]) >= min_bits * (e - s):
+                out.append((s, 3, e))
+    return out
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bits: float = 4.0) -> DataFrame:

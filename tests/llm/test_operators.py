@@ -32,6 +32,16 @@ def test_base_spans_use_ascii_letters_only():
     assert [k for _, k, _ in secrets.base_spans("API_KEY='abcdefgh'")] == [0]
 
 
+def test_novel_values_after_an_equals_sign_and_long_ones():
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    value = "Zx81" + "".join(rng.choice(letters) for _ in range(28))
+    longer = "".join(rng.choice(letters) for _ in range(9000))
+    for before, what, after in [("private_key=", value, "\n"), ("pwd=", value, ""), ("AWS_ACCESS_KEY=", value, "\nA=1"), ("auth=", value, " x"), ("https://h/x?session=", value, "&a=b"), ("use key-", value, " now"), ("private_key=", longer, ""), ("auth ", longer, " end")]:
+        text = before + what + after
+        assert [text[s:e] for s, _, e in secrets.novel_spans(text, [], secrets.Novelty())] == [what]
+
+
 # quality rules
 
 
