@@ -23,38 +23,139 @@ def ranked(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     return s.join(small(off), [group, "_p"]).withColumn("rank", F.col("_o") + F.col("_i") - F.col("_f")).drop("_m", "_p", "_i", "_f", "_o")
 
 
-def propagate(linked: DataFrame, singles: int, shards: int, max_rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(linked(u, gid, shard), swapped(u, shard)) after balanced label propagation.
-
-    Rows 0 to singles - 1 have no links; row u of them begins in shard u mod shards, as the (u div shards)-th there.
-    Each round, every linked group looks for the shard that holds most of its members among those that still have
-    unlinked rows to give; members elsewhere, where fewer are, ask to move there. As many as it has such rows may, and
-    each swaps places with the next of them, so no shard's count ever changes. Every move joins a member to more of its
-    group, so rounds end by themselves; a group larger than a shard fills one after the other.
+def circulation(want: dict[tuple[int, int], int]) -> dict[tuple[int, int], int]:
+    """Of want {(from, to): rows}, how many may go at once so that every node gives as many as it gets.
+
+    Cycles with a request in them are taken off, opposite requests first, then longer ones, until none is left.
+    Nodes below 0 make no requests; they only hand on.
+    """
+    left = {k: n for k, n in want.items() if n > 0 and k[0] != k[1]}
+    out: dict[tuple[int, int], int] = {}
+
+    def take(cycle: list[tuple[int, int]]) -> None:
+        n = min(left[e] for e in cycle)
+        for e in cycle:
+            out[e] = out.get(e, 0) + n
+            left[e] -= n
+            if not left[e]:
+                del left[e]
+
+    asked = sorted(e for e in left if e[0] >= 0 and e[1] >= 0)
+    for a, b in asked:
+        if (a, b) in left and (b, a) in left:
+            take([(a, b), (b, a)])
+    for a, b in asked:
+        while (a, b) in left:  # breadth first: the shortest way from b back to a
+            came, queue = {b: b}, [b]
+            for x in queue:
+                for y in [y for z, y in sorted(left) if z == x and y not in came]:
+                    came[y] = x
+                    queue.append(y)
+            if a not in came:
+                break
+            cycle, x = [(a, b)], a
+            while x != b:
+                cycle.append((came[x], x))
+                x = came[x]
+            take(cycle)
+    return out
+
+
+def propagate(linked: DataFrame, singles: int | list[int], shards: int, rounds: int | None = None, salt: int = 0) -> tuple[DataFrame, list[int]]:
+    """(linked(u, gid, shard), free) after balanced label propagation; free[b] is how many unlinked rows shard b holds.
+
+    Each round, every group looks for the shard that holds most of its members (ties by a hash of the group and the
+    round) among those that hold other rows too; members elsewhere, where fewer are, ask to move there. Rows that go
+    round in a circle change no shard's count, so the largest circulation found in the requests moves; unlinked rows,
+    which are all alike, go wherever they are needed. Every move joins a member to more of its group, so rounds end
+    by themselves; a shard that could take nobody is left out of the next round's choice, so a group that is larger than
+    a shard fills another. Without rounds they go on until nothing moves four times in a row, each with other ties.
     """
     spark = linked.sparkSession
-    swapped = spark.createDataFrame([], "u long, shard int")
-    free = {b: (singles - b + shards - 1) // shards for b in range(shards)}  # a number for each shard: bounded
-    used = dict.fromkeys(range(shards), 0)
-    for _ in range(max_rounds):
-        table = F.create_map(*[F.lit(x) for b in range(shards) for x in (b, free[b] - used[b])])
-        base = F.create_map(*[F.lit(x) for b in range(shards) for x in (b, used[b])])
+    have = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # at most a row a shard
+    free = [(singles - b + shards - 1) // shards for b in range(shards)] if not isinstance(singles, list) else list(singles)
+    rows = F.create_map(*[F.lit(x) for b in range(shards) for x in (b, free[b] + have.get(b, 0))])
+    still, turn, closed = 0, 0, set()
+    while still < 4 and turn != rounds:
+        turn += 1
         cnt = linked.groupBy("gid", "shard").agg(F.count("*").alias("n"))
-        top = F.max(F.when(table[F.col("shard")] > 0, F.struct("n", (-F.col("shard")).alias("s"))))
-        best = cnt.groupBy("gid").agg(top.alias("b"), F.count("*").alias("k")).where("k > 1 and b is not null").select("gid", (-F.col("b.s")).alias("to"), F.col("b.n").alias("n_to"))
-        ask = cnt.join(best, "gid").where("shard <> to and (n < n_to or (n = n_to and to < shard))").select("gid", "shard", "to")
-        movers = ranked(linked.join(ask, ["gid", "shard"]).select("u", "gid", "shard", "to"), "to", ["gid", "u"], "shard-movers")
-        moves = written(movers.where(F.col("rank") < table[F.col("to")]).select("u", "shard", "to", ((base[F.col("to")] + F.col("rank")) * shards + F.col("to")).alias("partner")), "shard-moves")
-        done = {r["to"]: r["n"] for r in moves.groupBy("to").agg(F.count("*").alias("n")).collect()}  # at most a row a shard
-        if not done:
-            break
-        for b, n in done.items():
-            used[b] += n
-        swapped = swapped.union(moves.select(F.col("partner").alias("u"), "shard"))
-        new = written(linked.join(moves.select("u", "to"), "u", "left").select("u", "gid", F.coalesce("to", "shard").alias("shard")), "shard-rows")
-        remove(linked)
+        tie = F.xxhash64("gid", "shard", F.lit(salt + turn))
+        best = cnt.groupBy("gid").agg(F.max(F.when((F.col("n") < rows[F.col("shard")]) & ~F.col("shard").isin(*closed), F.struct("n", tie.alias("h"), "shard"))).alias("b"), F.count("*").alias("k"))
+        best = best.where("k > 1 and b is not null").select("gid", F.col("b.shard").alias("to"), F.col("b.n").alias("n_to"))
+        ask = cnt.join(best, "gid").where("shard <> to and n <= n_to").select("gid", "shard", "to", "n")
+        ask = written(ask, "shard-asks")
+        want = {(r["shard"], r["to"]): r["n"] for r in ask.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}  # at most a row a pair of shards
+        if not want:
+            remove(ask)
+            if not closed:
+                break
+            still, closed = still + 1, set()
+            continue
+        # node -1 stands for the unlinked rows' way from any shard to any other
+        flow = circulation(want | {(b, -1): free[b] for b in range(shards)} | {(-1, b): sum(free) for b in range(shards)})
+        for (a, b), n in flow.items():
+            if b == -1:
+                free[a] -= n
+            elif a == -1:
+                free[b] += n
+        blocked = {b for _, b in want} - {b for _, b in flow}
+        go = {a * shards + b: n for (a, b), n in flow.items() if a >= 0 and b >= 0}
+        if not go:
+            still, closed = still + 1, closed | blocked
+            remove(ask)
+            continue
+        still, closed = 0, blocked
+        quota = F.create_map(*[F.lit(x) for k, n in go.items() for x in (k, n)])
+        movers = linked.join(ask.select("gid", "shard", "to"), ["gid", "shard"]).select("u", "gid", "to", (F.col("shard") * shards + F.col("to")).alias("way"))
+        moves = written(ranked(movers, "way", ["gid", "u"], "shard-movers").where(F.col("rank") < quota[F.col("way")]).select("u", "to"), "shard-moves")
+        new = written(linked.join(moves, "u", "left").select("u", "gid", F.coalesce("to", "shard").alias("shard")), "shard-rows")
+        for x in (linked, ask, moves):
+            remove(x)
         linked = new
-    return linked, swapped
+    return linked, free
+
+
+def settle(linked: DataFrame, shards: int) -> DataFrame:
+    """linked(u, gid, shard) with the rows of split groups dealt anew over the places they hold, group after group.
+
+    If fewer groups than shards are split, nothing changes. Else at most one group is split at each border of two shards.
+    """
+    split = linked.groupBy("gid").agg(F.count_distinct("shard").alias("k")).where("k > 1").select("gid")
+    split = written(split, "shard-split")
+    if split.count() < shards:
+        return linked
+    rows = written(linked.join(split, "gid").select("u", "gid", "shard", F.lit(0).alias("one")), "shard-unsettled")
+    held = {r["shard"]: r["n"] for r in rows.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # at most a row a shard
+    to, end = F.lit(None).cast("int"), sum(held.values())
+    for b in sorted(held, reverse=True):
+        to = F.when(F.col("rank") < end, F.lit(b)).otherwise(to)
+        end -= held[b]
+    # later whens are outermost: the lowest shard whose end lies beyond the rank wins
+    dealt = ranked(rows, "one", ["gid", "u"], "shard-settled").select("u", to.alias("to"))
+    return written(linked.join(dealt, "u", "left").select("u", "gid", F.coalesce("to", "shard").alias("shard")), "shard-rows")
+
+
+def gather(linked: DataFrame, singles: int, shards: int, max_rounds: int) -> tuple[DataFrame, list[int]]:
+    """Propagation for max_rounds rounds, then the groups still split are settled, then propagation to its end."""
+    linked, free = propagate(linked, singles, shards, max_rounds)
+    return propagate(settle(linked, shards), free, shards, salt=max_rounds)
+
+
+def seat(u: F.Column, singles: int, shards: int, free: list[int]) -> F.Column:
+    """The shard of unlinked row u when shard b holds free[b] of them: rows stay where they began, what is too many fills what is too few."""
+    start = [(singles - b + shards - 1) // shards for b in range(shards)]
+    b, j = (u % shards).cast("int"), F.floor(u / shards).cast("long")
+    first, over = {}, 0
+    for x in range(shards):
+        first[x] = over
+        over += max(0, start[x] - free[x])
+    index = F.create_map(*[F.lit(v) for x in range(shards) for v in (x, first[x])])[b] + j - F.create_map(*[F.lit(v) for x in range(shards) for v in (x, free[x])])[b]
+    to, end = b, over
+    for x in reversed(range(shards)):
+        if free[x] > start[x]:
+            to = F.when(index < end, F.lit(x)).otherwise(to)
+            end -= free[x] - start[x]
+    return F.when(j < F.create_map(*[F.lit(v) for x in range(shards) for v in (x, free[x])])[b], b).otherwise(to)
 
 
 def balanced_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", max_rounds: int = 16) -> DataFrame:
@@ -73,9 +174,9 @@ def balanced_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     d = written(ranked(d, "one", ["linked", "r", "id", "x"], "shard-start").select(F.col("rank").alias("u"), "id", "size", "text_crc32", "gid"), "shard-dealt")
     begin = (F.col("u") % shards).cast("int").alias("shard")
     singles = d.where("gid is null").count()
-    linked, swapped = propagate(written(d.where("gid is not null").select("u", "gid", begin), "shard-rows"), singles, shards, max_rounds)
-    moved = linked.select("u", F.col("shard").alias("new")).union(swapped.select("u", F.col("shard").alias("new")))
-    placed = d.join(moved, "u", "left").select("u", "id", "size", "text_crc32", F.col("gid").isNotNull().alias("linked"), F.coalesce("new", begin).alias("shard"))
+    linked, free = gather(written(d.where("gid is not null").select("u", "gid", begin), "shard-rows"), singles, shards, max_rounds)
+    moved = linked.select("u", F.col("shard").alias("new"))
+    placed = d.join(moved, "u", "left").select("u", "id", "size", "text_crc32", F.col("gid").isNotNull().alias("linked"), F.coalesce("new", seat(F.col("u"), singles, shards, free)).alias("shard"))
     return ranked(placed, "shard", ["u"], "shard-slots").select("id", "size", "text_crc32", "shard", F.col("rank").alias("slot"), "linked")
 
 

@@ -167,6 +167,18 @@ def test_shards_are_even_gapless_and_keep_groups_together(make):
     assert sharding.balanced_shards(make([]), 5).count() == 0 and sharding.balanced_shards(make([(1, "x"), (1, "x")]), 5).count() == 2
 
 
+def test_shards_gather_groups_that_outnumber_the_rest(make):
+    for single, pairs in ((0, 240), (30, 90)):
+        rows = [(i, f"single {i}") for i in range(single)] + [(1000 + i, f"pair {i // 2}") for i in range(2 * pairs)]
+        got = sharding.balanced_shards(make(rows), 6).collect()
+        sizes, where = [0] * 6, {}
+        for r in got:
+            sizes[r.shard] += 1
+            where.setdefault((r.id - 1000) // 2 if r.id >= 1000 else -1 - r.id, set()).add(r.shard)
+        assert sum(sizes) == len(rows) and max(sizes) - min(sizes) <= 1
+        assert sum(len(x) > 1 for x in where.values()) <= (0 if single else 3)  # without single rows, a shard of odd size splits one
+
+
 # pieces
 
 
