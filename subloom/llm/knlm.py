@@ -145,14 +145,33 @@ def perplexities(docs: DataFrame, logp: DataFrame, order: int = ORDER, shard_row
     return out.groupBy("row", "id", "lang").agg(F.sum("nll").alias("nll"), F.max("n").alias("n"))
 
 
+#: Quantiles of held-out trusted perplexity to choose from: at most 5 % of the trusted documents are lost.
+LEVELS = (0.95, 0.955, 0.96, 0.965, 0.97, 0.975, 0.98, 0.985, 0.99, 0.995)
+
+
+def chosen_cut(scored: DataFrame, held: DataFrame, rejected: DataFrame) -> DataFrame:
+    """(lang, chosen): the quantile of LEVELS that tells held-out trusted from rejected(id, kind) best, by language; the higher of equals."""
+    s = scored.where("perplexity is not null").select("id", "lang", "perplexity")
+    levels = F.array(*[F.lit(x) for x in LEVELS])
+    own = s.join(held, "id", "left_semi").groupBy("lang").agg(F.percentile_approx("perplexity", levels, 10000).alias("cuts"))
+    bad = s.join(rejected.select(F.col("id").cast("long").alias("id"), "kind").distinct(), "id").join(small(own), "lang")
+    caught = bad.groupBy("lang", "kind").agg(*[F.avg((F.col("perplexity") > F.get("cuts", F.lit(i))).cast("double")).alias(f"c{i}") for i in range(len(LEVELS))])
+    mean = caught.groupBy("lang").agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(len(LEVELS))])
+    score = F.array(*[F.struct((F.col(f"c{i}") - (1 - q)).alias("gain"), F.lit(q).alias("q"), F.get("cuts", F.lit(i)).alias("cut")) for i, q in enumerate(LEVELS)])
+    return own.join(mean, "lang").select("lang", F.array_max(score)["cut"].alias("chosen"))
+
+
 def kn_quality(
-    docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = 0.995, slack: float = 1.1, folds: int = 5, shard_rows: int = 4_000_000
-) -> DataFrame:
+    docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = 0.995, slack: float = 1.1, folds: int = 5, shard_rows: int = 4_000_000,
+    rejected: DataFrame | None = None,
+) -> DataFrame:
     """One row per row of docs: id, lang, n_bytes, perplexity, threshold, kept.
 
     trusted(id) names the documents of trusted text. All but one in folds (by hash of the id) train one model
     per language; the perplexities of those held out, which no model has seen, set the threshold: a document is
-    kept while its perplexity a byte is at most slack times their quantile in its language. Null and empty texts have no perplexity and aren't kept; a language without trusted text has no model and keeps all
+    kept while its perplexity a byte is at most slack times their quantile in its language. With rejected(id, kind), documents labelled
+    bad in one way or another, a language that has some gets the one of the LEVELS instead, without slack, that catches
+    most: the mean over the kinds of the share above it, less the share of the held-out trusted above it. Null and empty texts have no perplexity and aren't kept; a language without trusted text has no model and keeps all
     it has. Null languages form the language ''. Repeated rows repeat. Only the named columns are read.
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("t"))
@@ -166,6 +185,8 @@ def kn_quality(
     scored = written(perplexities(d.select(F.monotonically_increasing_id().alias("row"), "id", "lang", "t"), logp, order, shard_rows), "kn-scored")
     scored = scored.withColumn("perplexity", F.when(F.col("n") > 0, F.exp(F.col("nll") / F.col("n"))))
     cut = scored.join(ids.where(held), "id", "left_semi").groupBy("lang").agg((slack * F.percentile_approx("perplexity", quantile, 10000)).alias("threshold"))
+    if rejected is not None:
+        cut = cut.join(small(chosen_cut(scored, ids.where(held), rejected)), "lang", "left").select("lang", F.coalesce("chosen", "threshold").alias("threshold"))
     out = scored.join(small(cut), "lang", "left")
     kept = F.when(F.col("n") == 0, False).when(F.col("threshold").isNull(), True).otherwise(F.col("perplexity") <= F.col("threshold"))
     return out.select("id", "lang", F.col("n").alias("n_bytes"), "perplexity", "threshold", kept.alias("kept"))
@@ -176,5 +197,12 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x")).where("q = 1 and x = 0").select(F.col("doc_id").alias("id"))
 
 
+def rejected_ids(labels: DataFrame) -> DataFrame:
+    """(id, kind) of the documents that a label calls bad or toxic; toxic ones count as such whatever their quality."""
+    x = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x"))
+    return x.where("x = 1 or q = 0").select(F.col("doc_id").alias("id"), F.when(F.col("x") == 1, "toxic").otherwise("bad").alias("kind"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kn_quality(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
+    labels = table(spark, sf_dir, "labels")
+    return kn_quality(table(spark, sf_dir, "documents"), trusted_ids(labels), rejected=rejected_ids(labels)).withColumnRenamed("id", "doc_id")

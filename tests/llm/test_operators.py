@@ -320,6 +320,21 @@ def test_perplexity_separates_and_shards_agree(make, edge, spark):
     assert knlm.kn_quality(make([]), trusted).count() == 0 and all(r.kept == bool(r.n_bytes) for r in knlm.kn_quality(docs, trusted.limit(0)).collect())
 
 
+def test_perplexity_cut_follows_the_labels(make, spark):
+    rng = random.Random(8)
+    words = ["river", "stone", "garden", "winter", "letter", "morning", "silver", "bridge"]
+    text = lambda odd: " ".join("".join(rng.sample(w, len(w))) if rng.random() < odd else w for w in (rng.choice(words) for _ in range(60)))
+    good, toxic = [(i, text(0.02)) for i in range(300)], [(1000 + i, text(0.2)) for i in range(60)]
+    unseen = [i for i, _ in good if np.uint64(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42)).astype(np.int64) % 5 == 0]
+    for i in unseen[:2]:  # outliers among those held out
+        good[i] = (i, text(0.9))
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good] + [(i, 1, 1) for i, _ in toxic], "doc_id long, quality int, toxic int")
+    got = {r.id: r.kept for r in knlm.kn_quality(make(good + toxic), knlm.trusted_ids(labels), rejected=knlm.rejected_ids(labels)).collect()}
+    assert sum(not got[i] for i, _ in toxic) >= 54 and sum(got[i] for i, _ in good) >= 270
+    old = {r.id: r.kept for r in knlm.kn_quality(make(good + toxic), knlm.trusted_ids(labels)).collect()}
+    assert sum(not old[i] for i, _ in toxic) < 30
+
+
 # personal data
 
 
