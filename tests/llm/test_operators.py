@@ -449,6 +449,23 @@ def test_near_copies_keep_one(make, edge):
     assert kept.columns == d.columns and sorted(ids) == [1, 3, 4, 4, 7, 8, 10, 11, 50, 53]
 
 
+def test_other_pairs_are_all_that_lie_between_groups(spark):
+    rng = random.Random(12)
+    centre, prints = rng.getrandbits(32), []
+    for i in range(60):
+        x = centre
+        for k in rng.sample(range(32), rng.randrange(3)):
+            x ^= 1 << k
+        prints.append((i, [x]))
+    fps = spark.createDataFrame([(i, [x[0]]) for i, x in prints], "id long, f array<long>")
+    roots = {i: min(i, i % 7) for i in range(40)}
+    first, low, met = simhash._table_pairs(fps, [0])
+    got = {(r.a, r.b) for r in simhash._other_pairs(fps, [0], low, met, spark.createDataFrame(list(roots.items()), "node long, root long")).collect()}
+    want = {(i, j) for i, x in prints for j, y in prints if i < j and (x[0] ^ y[0]).bit_count() <= 2}
+    assert got == {(i, j) for i, j in want if roots.get(i, i) != roots.get(j, j)}
+    assert {(r.a, r.b) for r in first.collect()} < want  # the first candidates alone are not all
+
+
 def test_pipeline_stages_keep_the_columns(spark, sf):
     import corpus_pipeline as c
 
