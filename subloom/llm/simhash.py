@@ -110,11 +110,11 @@ _MIX = np.random.default_rng(512).integers(0, 1 << 63, WORDS, dtype=np.uint64) *
 
 
 def long_simhash(text: str | None, n: int = 5) -> list[int]:
-    """A SimHash of 64 * WORDS bits over n-word shingles; one XXH64 a shingle, spread by WORDS mixers."""
-    found = shingles(text, n)
+    """A SimHash of 64 * WORDS bits over the distinct n-word shingles; one XXH64 a shingle, spread by WORDS mixers."""
+    found = np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in shingles(text, n)), np.uint64))
     ones = np.zeros((WORDS, 64), np.int64)
     for at in range(0, len(found), 4096):
-        h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in found[at : at + 4096]), np.uint64)
+        h = found[at : at + 4096]
         for w in range(WORDS):
             x = (h ^ _MIX[w]) * _MIX[w]
             x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

@@ -449,6 +449,13 @@ def test_near_copies_keep_one(make, edge):
     assert kept.columns == d.columns and sorted(ids) == [1, 3, 4, 4, 7, 8, 10, 11, 50, 53]
 
 
+def test_long_fingerprints_take_repeats_once():
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(850)]
+    once, often = simhash.long_simhash(" ".join(words)), simhash.long_simhash(" ".join(words + words[-10:] * 30))
+    assert sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(once, often, strict=True)) <= 60
+
+
 def test_other_pairs_are_all_that_lie_between_groups(spark):
     rng = random.Random(12)
     centre, prints = rng.getrandbits(32), []
