@@ -257,6 +257,31 @@ def test_leaks_equal_brute_force(make, spark):
     assert got == want
 
 
+QUESTION = "A train leaves London at 9 and travels 120 km to Leeds. Anna then drives 45 km further to visit Bob who lives near the old station."
+
+
+def found(make, spark, rows, items):
+    return {(r.id, r.item_id) for r in decontaminate.leaks(make(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+
+def test_leaks_judge_every_occurrence(make, spark):
+    changed = QUESTION.replace("London", "Paris").replace("9", "7").replace("120", "300").replace("Leeds", "Lyon").replace("45", "80").replace("Bob", "Dan")
+    third = changed.replace("Paris", "Rome").replace("7", "6").replace("300", "220").replace("Lyon", "Milan").replace("80", "35").replace("Dan", "Eve")
+    assert found(make, spark, [(1, f"{QUESTION} {changed}"), (2, f"{changed} {third}")], [(7, QUESTION)]) == {(1, 7), (2, 7)}
+
+
+def test_leaks_take_names_that_begin_sentences(make, spark):
+    q = "Tom has 3 apples. Ann has 5 apples. Bob has 7 apples. How many apples do they have?"
+    other = q.replace("Tom", "Carla").replace("Ann", "Dan").replace("Bob", "Eve").replace("3", "4").replace("5", "6").replace("7", "8")
+    assert found(make, spark, [(1, other), (2, "Tom sells pears. Ann buys plums. Bob has nothing left at all.")], [(7, q)]) == {(1, 7)}
+
+
+def test_leaks_hold_short_and_number_heavy_items(make, spark):
+    items = [(7, "Who painted the famous ceiling there?"), (8, "12 + 7 = 19 3 + 4 = 7 8 2 6 1 9"), (9, "3 5 8 13")]
+    rows = [(1, "It was asked again: who painted the famous ceiling there? Nobody in the room knew."), (2, "so 12 + 7 = 19 3 + 4 = 7 8 2 6 1 9 it is"), (3, "we saw 3 5 8 13 in it"), (4, "we saw 3 5 9 13 in it and who painted the ceiling")]
+    assert found(make, spark, rows, items) == {(1, 7), (2, 8), (3, 9)}
+
+
 # language model
 
 
