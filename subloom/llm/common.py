@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import functools
+import operator
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but space and \\x09-\\x0D; the same in Java, Python (bytes.split()) and RE2.
@@ -19,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or, on a local master alone, one of our own where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='subloom-')}"
         spark.sparkContext.setCheckpointDir(at)
         atexit.register(shutil.rmtree, at.removeprefix("file://"), ignore_errors=True)
@@ -65,6 +72,80 @@ def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+FILTER_BITS = 25  # 4 MB, whatever the number of keys
+
+
+def _places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Four places of each 64-bit key in a filter of 2**bits bits."""
+    h = keys.view(np.uint64)
+    for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93):
+        x = (h ^ (h >> np.uint64(31))) * np.uint64(odd)
+        yield ((x ^ (x >> np.uint64(29))) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
+    """A test of longs that is true for every key of keys (one long column) and for some others.
+
+    A Bloom filter of fixed size: however many the keys, at most four times 2**bits / 8 bytes reach the driver, and one
+    such array the executors. The fuller it is the more others it lets through; whoever asks looks at those exactly.
+    """
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = np.zeros((1 << bits) // 8, np.uint8)
+        for b in batches:
+            if pa.types.is_binary(b.schema.field(0).type):
+                for x in b.column(0):
+                    f |= np.frombuffer(x.as_buffer(), np.uint8)
+                continue
+            k = b.column(0).drop_null().to_numpy(zero_copy_only=False)
+            for at in _places(k, bits):
+                np.bitwise_or.at(f, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([f.tobytes()], pa.binary())], ["f"])
+
+    few = keys.coalesce(32).mapInArrow(merged, "f binary").repartition(4).mapInArrow(merged, "f binary")
+    f = np.zeros((1 << bits) // 8, np.uint8)
+    for r in few.collect():  # at most four rows
+        f |= np.frombuffer(bytes(r["f"]), np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(f.tobytes())
+
+    @F.arrow_udf("boolean")
+    def maybe(k: pa.Array) -> pa.Array:
+        f, k = np.frombuffer(shared.value, np.uint8), k.fill_null(0).to_numpy(zero_copy_only=False)
+        hit = np.ones(len(k), bool)
+        for at in _places(k, bits):
+            hit &= (f[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return pa.array(hit)
+
+    return maybe
+
+
+def _told_apart(docs: DataFrame, keys: DataFrame, at: dict[str, Column], how: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs whose key is certainly not in keys, the others after a join of the kind how with keys)."""
+    keys = written(keys.select(*at).distinct(), "keys")
+    maybe = key_filter(keys.select(F.xxhash64(*at)))
+    own = {n: f"_subloom_{n}" for n in at}
+    d = docs.withColumns({own[n]: c for n, c in at.items()})
+    test, names = maybe(F.xxhash64(*own.values())), [F.col(f"`{c}`") for c in docs.columns]
+    some = d.where(test)
+    same = functools.reduce(operator.and_, [some[own[n]].eqNullSafe(keys[n]) for n in at])
+    return d.where(~test).select(*names), some.join(keys, same, how).select(*names)
+
+
+def without(docs: DataFrame, keys: DataFrame, **at: Column) -> DataFrame:
+    """The rows of docs whose key at (column of keys: expression over docs) is not in keys; null equals null.
+
+    Rows that a filter of fixed size lets through go into an exact join; the others, whole texts above all, stay
+    where they are.
+    """
+    clear, rest = _told_apart(docs, keys, at, "left_anti")
+    return clear.unionAll(rest)
+
+
+def only(docs: DataFrame, keys: DataFrame, **at: Column) -> DataFrame:
+    """The rows of docs whose key is in keys, likewise."""
+    return _told_apart(docs, keys, at, "left_semi")[1]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(a, b); root is the smallest node of its component.
 

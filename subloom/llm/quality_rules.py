@@ -139,17 +139,18 @@ def cutoff_levels(stats: DataFrame, labels: DataFrame, alpha: float = 0.03, delt
             *[F.count_if(F.expr(f"q <> 1 and severity <= {i}")).alias(f"c{i}") for i in lev],
         )
     )
-    n = counts.agg(F.count("*").alias("n_strata"))
+    counts = written(counts, "quality-strata")
+    n_strata = counts.count()
 
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in frames:
             rows = [
-                (r.stratum, x := certified_level(r.n_good, [getattr(r, f"f{i}") for i in lev], [getattr(r, f"c{i}") for i in lev], alpha, delta / r.n_strata), r.n_good, getattr(r, f"f{x}") if x else 0, r.n_strata)
+                (r.stratum, x := certified_level(r.n_good, [getattr(r, f"f{i}") for i in lev], [getattr(r, f"c{i}") for i in lev], alpha, delta / n_strata), r.n_good, getattr(r, f"f{x}") if x else 0, n_strata)
                 for r in p.itertuples()
             ]
             yield pd.DataFrame(rows, columns=["stratum", "level", "n_good", "n_false", "n_strata"])
 
-    return counts.join(F.broadcast(n)).mapInPandas(choose, "stratum string, level int, n_good long, n_false long, n_strata long")
+    return counts.mapInPandas(choose, "stratum string, level int, n_good long, n_false long, n_strata long")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", alpha: float = 0.03, delta: float = 0.05) -> DataFrame:
@@ -170,10 +171,13 @@ def _judged(stats: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", alpha: float = 0.03, delta: float = 0.05) -> DataFrame:
-    """The rows of docs, unchanged, that quality_rules keeps. Only labelled documents are looked at twice; no text is shuffled."""
-    ids = labels.where("id is not null").select(F.col("id").alias(id_col)).distinct()
-    holdout = written(corpus_stats(docs.join(ids, id_col, "left_semi"), id_col, text_col, stratum_col), "quality")
-    levels = written(cutoff_levels(holdout, labels, alpha, delta), "quality-levels")
+    """The rows of docs, unchanged, that quality_rules keeps.
+
+    The statistics of all rows are taken where the rows are and joined to the labels without their texts; a second pass takes
+    them again and drops rows in place, so no text is shuffled.
+    """
+    stats = written(corpus_stats(docs, id_col, text_col, stratum_col), "quality")
+    levels = written(cutoff_levels(stats, labels, alpha, delta), "quality-levels")
     return _judged(corpus_stats(docs, id_col, text_col, stratum_col, carry=True), levels).where("kept").select("row.*")
 
 

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subloom.llm.common import connected_components, partitions, table, written
+from subloom.llm.common import connected_components, only, partitions, table, without, written
 
 
 def shingles(text: str | None, n: int) -> list[bytes]:
@@ -73,7 +73,9 @@ def fingerprint_edges(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     if max_bits == 0:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
     met = (
-        fps.select("fp").distinct().repartition(partitions(fps.sparkSession), "fp").select(F.explode(ball("fp", 1)).alias("x")).select("x.v", "x.m")
+        # dealt out row by row: a repartition by the key that distinct has used would be dropped from the plan, and the ball
+        # be left to the few tasks that a small table of fingerprints is merged into
+        fps.select("fp").distinct().repartition(partitions(fps.sparkSession)).select(F.explode(ball("fp", 1)).alias("x")).select("x.v", "x.m")
         .groupBy("v").agg(F.bit_or("m").alias("mask"), F.max(F.col("m") == 0).alias("own"), F.count("*").alias("n"))
         .where("n > 1")
     )
@@ -97,7 +99,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are ignored, whatever their names.
     """
     fp = written(fingerprints(docs, id_col, text_col, n), "simhash")
-    low = fp.groupBy("fp").agg(F.min("id").alias("low"))
+    low = written(fp.groupBy("fp").agg(F.min("id").alias("low")), "simhash-low")
     cc = connected_components(fingerprint_edges(low, max_bits))
     of = low.join(cc.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     of = written(of, "simhash-roots")
@@ -105,144 +107,200 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fp.join(label, "fp").select("id", "fp", "component")
 
 
-WORDS = 8  # 64-bit words of a long fingerprint: two 32-bit tables each
-_MIX = np.random.default_rng(512).integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+TABLES, BITS = 14, 24  # a near print: 40 bits that tell tables and neighbourhoods apart, then 24 SimHash bits
+PARTS = 64  # of the shingles' hash space, for the bound on what two texts share
+_RNG = np.random.default_rng(512)
+_XOR = _RNG.integers(0, 1 << 63, (TABLES, 1), dtype=np.uint64)
+_ODD = _RNG.integers(0, 1 << 63, (TABLES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def long_simhash(text: str | None, n: int = 5) -> list[int]:
-    """A SimHash of 64 * WORDS bits over the distinct n-word shingles; one XXH64 a shingle, spread by WORDS mixers."""
-    found = np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in shingles(text, n)), np.uint64))
-    ones = np.zeros((WORDS, 64), np.int64)
-    for at in range(0, len(found), 4096):
-        h = found[at : at + 4096]
-        for w in range(WORDS):
-            x = (h ^ _MIX[w]) * _MIX[w]
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            x ^= x >> np.uint64(32)
-            ones[w] += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return [_signed(int.from_bytes(np.packbits(2 * o > len(found), bitorder="little").tobytes(), "little")) for o in ones]
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Every hash of h, spread anew for each table: (tables, len(h))."""
+    x = (h ^ _XOR) * _ODD
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
 
-def _prints(fps: DataFrame, tables: list[int]) -> DataFrame:
-    """(id, t, s): the 32-bit fingerprint s of every id of fps(id, f) in each table t."""
-    half = lambda t: F.shiftright(F.get("f", F.lit(t // 2)), 32 * (t % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
-    return fps.select("id", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), half(t).alias("s")) for t in tables])).alias("x")).select("id", "x.t", "x.s")
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """XXH64 of the distinct n-word shingles, ascending."""
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in shingles(text, n)), np.uint64))
 
 
-def _table_pairs(fps: DataFrame, tables: list[int]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs, low, met): first candidate pairs (a, b), a < b, of fps(id, f), whose 32-bit fingerprints differ by at most
-    two bits in a table; low(t, s, low, n), the fingerprints; met(t, v, s), those that share a variant v with another.
+def near_prints(found: np.ndarray) -> np.ndarray:
+    """One 64-bit print a table, of a set of shingle hashes that is not empty.
 
-    Ids with the same fingerprint hang on their lowest. The distinct fingerprints emit their ball of radius one and
-    meet on its variants; of the at most 33 that share one, each is paired with the lowest and with the next, so that
-    a dense group gives as many pairs as it has rows. Two that belong together share two variants or more. The pairs
-    that this leaves out come from _other_pairs once it is known what the first ones link.
+    The low BITS are a SimHash: a bit is set if over half the shingles have it. The others are a MinHash of the set in
+    this table: texts whose least shingle differs never meet there, however many texts there are.
     """
-    each = _prints(fps, tables)
-    low = written(each.groupBy("t", "s").agg(F.min("id").alias("low"), F.count("*").alias("n")), "near-tables")
-    same = each.join(low.where("n > 1").select("t", "s", "low"), ["t", "s"]).where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
-    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(32)])
-    ball1 = low.repartition(partitions(low.sparkSession), "t", "s").select(F.explode(F.transform(masks, lambda m: F.struct((F.shiftleft(F.col("t").cast("long"), 32).bitwiseOR(F.col("s").bitwiseXOR(m))).alias("v"), F.when(m == 0, F.lit(1 << 32).cast("long")).otherwise(m).alias("m")))).alias("x"))
-    met = ball1.select("x.*").groupBy("v").agg(F.bit_or("m").alias("mask")).where("bit_count(mask) > 1")
-    members = F.concat(F.when(F.col("mask") >= 1 << 32, F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<long>")), F.filter(F.array(*[F.lit(1 << k).cast("long") for k in range(32)]), lambda m: F.col("mask").bitwiseAND(m) != 0))
-    met = written(met.select(F.shiftright("v", 32).cast("int").alias("t"), "v", F.transform(members, lambda m: F.col("v").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(m)).alias("all")), "near-met")
-    order = F.array_sort("all")
-    star = F.transform(F.slice(order, 2, 33), lambda x: F.struct(F.get(order, F.lit(0)).alias("s"), x.alias("s2")))
-    chain = F.zip_with(F.slice(order, F.lit(2), F.greatest(F.size(order) - 2, F.lit(0))), F.slice(order, 3, 33), lambda x, y: F.struct(x.alias("s"), y.alias("s2")))
-    pair = met.select("t", F.explode(F.concat(star, chain)).alias("p")).select("t", "p.s", "p.s2").distinct()
-    one, two = low.select("t", "s", F.col("low").alias("x")), low.select("t", F.col("s").alias("s2"), F.col("low").alias("y"))
-    near = pair.join(one, ["t", "s"]).join(two, ["t", "s2"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return same.union(near).distinct(), low, met.select("t", "v", F.explode("all").alias("s"))
-
-
-def _other_pairs(fps: DataFrame, tables: list[int], low: DataFrame, met: DataFrame, roots: DataFrame) -> DataFrame:
-    """All candidate pairs (a, b), a < b, of the tables whose two ids are in different groups of roots(node, root).
-
-    Pairs within a group can't change the components, so with these no candidate that matters is left out. A variant
-    all of whose ids are in one group gives nothing; of the others each pair of groups meets once in a pair of fingerprints.
+    least, ones = np.full(TABLES, np.iinfo(np.uint64).max, np.uint64), np.zeros((TABLES, BITS), np.int64)
+    for at in range(0, len(found), 2048):
+        x = _mixed(found[at : at + 2048])
+        least = np.minimum(least, x.min(axis=1))
+        low = x.astype("<u8").view(np.uint8).reshape(TABLES, -1, 8)[:, :, : BITS // 8]
+        ones += np.unpackbits(low, axis=2, bitorder="little").sum(axis=1, dtype=np.int64)
+    bits = np.packbits(2 * ones > len(found), axis=1, bitorder="little").astype(np.uint64)
+    low = bits[:, 0] | bits[:, 1] << np.uint64(8) | bits[:, 2] << np.uint64(16)
+    high = (least[:, None] ^ _XOR[::-1]) * _ODD
+    high = (high ^ (high >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return (high >> np.uint64(BITS) << np.uint64(BITS))[:, 0] | low
+
+
+def _ball24() -> Column:
+    """The variants (v, m) of the print p in a ball of one bit; m names the bit, or the centre."""
+    each = [(F.col("p"), 1 << BITS), *((F.col("p").bitwiseXOR(F.lit(1 << k)), 1 << k) for k in range(BITS))]
+    return F.explode(F.array(*[F.struct(v.alias("v"), F.lit(m).alias("m")) for v, m in each]))
+
+
+def _members() -> Column:
+    """The prints that emitted the variant v, from the mask of their marks; at most BITS + 1."""
+    own = F.when(F.col("mask").bitwiseAND(F.lit(1 << BITS)) != 0, F.array("v")).otherwise(F.array().cast("array<long>"))
+    bits = F.array(*[F.lit(1 << k) for k in range(BITS)])
+    flipped = F.transform(F.filter(bits, lambda m: F.col("mask").bitwiseAND(m) != 0), lambda m: F.col("v").bitwiseXOR(m.cast("long")))
+    return F.concat(own, flipped)
+
+
+def met_prints(each: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(shared(p), pairs(a, b)) of each(u, p), texts and their prints.
+
+    shared are the prints that lie within two bits of another one or belong to several texts. pairs are first candidates, a linear
+    number: every text of a print with the least text of that print; and that of every print with those of the
+    lowest and of the highest print near it. Ball hashing: prints emit the ball of radius one and meet on
+    its variants, whose members are a mask (a partial aggregate of fixed size). Only prints whose MinHash occurs with another
+    print emit.
     """
-    shared = met.select("t", "s").union(low.where("n > 1").select("t", "s")).distinct()
-    ids = _prints(fps, tables).join(shared, ["t", "s"], "left_semi").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-    ids = written(ids.select("t", "s", "id", F.coalesce("root", "id").alias("root")), "near-members")
-    part = ids.groupBy("t", "s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    mixed = met.join(part, ["t", "s"]).groupBy("t", "v").agg(F.collect_list(F.struct("s", "lo", "hi")).alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")  # at most 33 a variant
-    both = "filter(flatten(transform(m, x -> transform(m, y -> struct(x.s as s, y.s as s2, least(x.lo, y.lo) as lo, greatest(x.hi, y.hi) as hi)))), p -> p.s < p.s2 and p.lo <> p.hi)"
-    pair = mixed.select("t", F.explode(F.expr(both)).alias("p")).select("t", "p.s", "p.s2").distinct()
-    pair = pair.union(part.where("lo <> hi").select("t", "s", F.col("s").alias("s2")))
-    groups = ids.select("t", "s", "root").distinct()
-    other = groups.select("t", F.col("s").alias("s2"), F.col("root").alias("root2"))
-    pair = pair.join(groups, ["t", "s"]).join(other, ["t", "s2"]).where("root <> root2 and (s < s2 or root < root2)")
-    one = ids.select("t", "s", "root", F.col("id").alias("x"))
-    two = ids.select("t", F.col("s").alias("s2"), F.col("root").alias("root2"), F.col("id").alias("y"))
-    return pair.join(one, ["t", "s", "root"]).join(two, ["t", "s2", "root2"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8, tables_at_once: int = 8) -> DataFrame:
-    """(id, root): one row per id and text; root is the smallest id of its group of near copies.
-
-    Equal texts are joined first, and one of each goes on. Texts link when the Jaccard similarity of their sets of
-    n-word shingles is at least similarity. Candidates come from 2 * WORDS 32-bit SimHash tables by ball hashing
-    (radius two, half of it emitted), first along the members of a variant, then all pairs between groups that these
-    have not linked; a loose bound on the whole fingerprint and then the exact similarity verify
-    them. With 16 tables a pair at 0.8 is found with probability 0.87, at 0.85 with 0.97, from 0.9 on always but
-    for a few in a thousand. Null and empty texts are equal to each other; repeated rows repeat.
+    low = written(each.groupBy("p").agg(F.min("u").alias("u"), F.count("*").alias("n")), "near-low")
+    place = F.shiftright("p", BITS)
+    some = low.groupBy(place.alias("place")).agg(F.count("*").alias("k")).where("k > 1").select("place")
+    emit = low.select("p", place.alias("place")).join(some, "place", "left_semi")
+    met = emit.select(_ball24().alias("x")).groupBy("x.v").agg(F.bit_or("x.m").alias("mask")).where("bit_count(mask) > 1")
+    met = met.select(_members().alias("all"))
+    near = met.select(F.explode("all").alias("p"), F.array_min("all").alias("lo"), F.array_max("all").alias("hi"))
+    near = written(near.groupBy("p").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "near-met")
+    twice = low.where("n > 1")
+    same = each.join(twice.select("p", F.col("u").alias("a")), "p").where("u <> a").select("a", F.col("u").alias("b"))
+    other = near.select("p", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("q")).where("p <> q")
+    other = other.join(low.select("p", F.col("u").alias("a")), "p").join(low.select(F.col("p").alias("q"), F.col("u").alias("b")), "q")
+    other = other.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return written(near.select("p").union(twice.select("p")).distinct(), "near-shared"), written(same.union(other).distinct(), "near-pairs")
+
+
+def linked_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs(a, b) whose sets(u, n, parts, s) have a Jaccard similarity of at least similarity.
+
+    First a bound that is never too low: two sets share no more than the lesser count in each part of the hash space.
     """
+    share = similarity / (1 + similarity)  # of the sum of the sizes
+    slim = lambda x: sets.select(F.col("u").alias(x), F.col("n").alias(f"n{x}"), F.col("parts").alias(f"p{x}"))
+    likely = pairs.join(slim("a"), "a").join(slim("b"), "b").where(_common("pa", "pb") >= share * (F.col("na") + F.col("nb")) - 1e-9)
+    likely = written(likely.select("a", "b", "na", "nb"), "near-likely")
+    full = lambda x: sets.select(F.col("u").alias(x), F.col("s").alias(f"s{x}"))
+    both = likely.join(full("a"), "a").join(full("b"), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return written(both.where(shared >= similarity * (F.col("na") + F.col("nb") - shared)).select("a", "b"), "near-edges")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _common(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b)), F.lit(0), lambda s, c: s + c)
+
+
+def pairs_between(each: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of texts that meet in each(u, p), whose groups in roots(node, root) differ and whose sets may be similar.
+
+    Pairs within a group can't change the groups, so with these no candidate that matters is left out. What is left out
+    otherwise can be shown to be less similar: a shingle that only one of the texts here holds is shared with none.
+    So a text of n shingles, c of them held by others too, links only with texts of at most c (1 + s) / s - n shingles,
+    and two share no more than the lesser count of such shingles in each part. These bounds are asked of variants, of prints
+    and of texts in turn, so a dense group of copies that are not all similar to each other gives few pairs.
+    """
+    up = (1 + similarity) / similarity
+    ids = each.join(roots.select(F.col("node").alias("u"), "root"), "u", "left").select("u", "p", F.coalesce("root", "u").alias("root"))
+    ids = written(ids, "near-members")
+    part = ids.groupBy("p").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    ball = part.select(_ball24().alias("x"), "lo", "hi").groupBy("x.v").agg(F.bit_or("x.m").alias("mask"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    mixed = written(ball.where("lo <> hi").select(F.explode(_members()).alias("p")).distinct(), "near-mixed")
+    ids = ids.join(mixed, "p", "left_semi")
+    held = sets.join(ids.select("u").distinct(), "u", "left_semi").select("u", F.explode("s").alias("h"))
+    alone = held.groupBy("h").agg(F.count("*").alias("k"), F.min("u").alias("u")).where("k = 1")
+    alone = alone.select("u", F.expr(f"int(h & {PARTS - 1})").alias("i")).groupBy("u").agg(F.collect_list("i").alias("alone"))  # at most a text's shingles
+    gone = F.coalesce("alone", F.array().cast("array<int>"))
+    rest = sets.select("u", "n", "parts").join(alone, "u", "left")
+    rest = rest.select("u", "n", F.transform("parts", lambda c, i: c - F.size(F.filter(gone, lambda x: x == i))).alias("parts"))
+    rest = rest.withColumn("most", up * F.aggregate("parts", F.lit(0), lambda s, c: s + c) - F.col("n") + 1e-6)
+    ids = written(ids.join(rest.where(F.col("most") >= similarity * F.col("n")), "u"), "near-ids")
+    entry = F.struct("p", "lo", "hi", "least", "most", "k")
+    prints = ids.groupBy("p").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.max("most").alias("most"), F.count("*").alias("k"))
+    all_ = prints.select(_ball24().alias("x"), entry.alias("e")).groupBy("x.v").agg(F.collect_list("e").alias("all"))  # at most BITS + 1
+    able = F.filter("all", lambda e: e["most"] >= F.array_min(F.transform("all", lambda o: o["least"])))
+    fit = lambda x, y: (x["p"] <= y["p"]) & (F.least(x["lo"], y["lo"]) < F.greatest(x["hi"], y["hi"])) & (x["most"] >= y["least"]) & (y["most"] >= x["least"])
+    few = lambda x, y: F.when(x["k"] <= y["k"], F.struct(x["p"].alias("p"), y.alias("o"))).otherwise(F.struct(y["p"].alias("p"), x.alias("o")))
+    two = F.flatten(F.transform(able, lambda x: F.transform(F.filter(able, lambda y: fit(x, y)), lambda y: few(x, y))))
+    two = written(all_.select(F.explode(two).alias("x")).select("x.p", "x.o").distinct(), "near-two")
+    a = ids.select("p", F.col("u").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("parts").alias("pa"))
+    b = ids.select(F.col("p").alias("q"), F.col("u").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("parts").alias("pb"))
+    one = two.join(a, "p").where("(o.lo <> o.hi or o.lo <> ra) and ma >= o.least and na <= o.most").withColumn("q", F.col("o.p"))
+    met = one.join(b, "q").where("ra <> rb and na <= mb and nb <= ma").where(up * _common("pa", "pb") >= F.col("na") + F.col("nb") - 1e-6)
+    return written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-between")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, x, root): one row per row of docs; x is XXH64 of the text, root the smallest id of its group of near copies.
+
+    Equal texts (null is empty) are joined first, and one of each goes on. Texts link when the Jaccard similarity of
+    their sets of n-word shingles is at least similarity; texts without words link with their equals only. Candidates are the
+    pairs whose prints (see near_prints) differ by at most two bits in one of TABLES tables, found by ball
+    hashing. A linear number of them (met_prints) is verified exactly and makes groups; then all that lie
+    between different groups are (pairs_between). With p the chance that a SimHash bit differs, a pair of similarity s is a
+    candidate in a table with s * P(Bin(24, p) <= 2): over all tables 0.97 at 0.8, 0.99 at 0.85. Groups are
+    the same whatever the order of rows. Repeated rows repeat; two texts may share an id; null ids count as no id. No
+    documents give no rows; other columns of docs are ignored.
+    """
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([long_simhash(t.as_py(), n) for t in b.column(4)], pa.list_(pa.int64()))], ["id", "x", "crc", "len", "f"])
+            sets = (shingle_set(t.as_py(), n) for t in b.column(4))
+            found = [near_prints(s).view(np.int64) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(found, pa.list_(pa.int64()))], ["id", "x", "crc", "len", "f"])
 
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t.as_py(), n) for t in b.column(4)]
+            parts = [np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype(np.int32) for s in found]
+            cols = [pa.array([len(s) for s in found], pa.int32()), pa.array(parts, pa.list_(pa.int32())), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *cols], ["id", "x", "crc", "len", "n", "parts", "s"])
+
+    key = ["x", "crc", "len"]
     t = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).cast("long").alias("id"), t.alias("t"))
-    keyed = d.select("id", F.xxhash64("t").alias("x"), F.crc32(F.encode("t", "utf-8")).alias("crc"), F.octet_length("t").cast("long").alias("len"), "t")
-    fps = written(keyed.mapInArrow(run, "id long, x long, crc long, len long, f array<long>"), "near-prints")
-    key = ["x", "crc", "len"]
-    texts = written(fps.groupBy(*key).agg(F.min("id").alias("id"), F.first("f").alias("f")), "near-texts")
-    some = texts.where("len > 0").select("id", "f")
-    rounds = [list(range(at, min(at + tables_at_once, 2 * WORDS))) for at in range(0, 2 * WORDS, tables_at_once)]
-
-    def all_of(parts: Iterator[DataFrame]) -> DataFrame:
-        pairs = None
-        for part in parts:  # a few tables at a time bound the shuffle
-            p = written(part, "near-pairs")
-            pairs = p if pairs is None else pairs.union(p)
-            docs.sparkSession.sparkContext._jvm.System.gc()  # lets the driver's cleaner drop the last round's shuffle files
-        return pairs.distinct()
-
-    bits = 64 * WORDS
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    most = int(bits * p + 3 * np.sqrt(bits * p * (1 - p)))
-    f = texts.select("id", "f")
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 1) for x in shingles(t.as_py(), n)), np.uint64)).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "s"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        likely = pairs.join(f.select(F.col("id").alias("a"), F.col("f").alias("fa")), "a").join(f.select(F.col("id").alias("b"), F.col("f").alias("fb")), "b").where(apart <= most).select("a", "b")
-        likely = written(likely, "near-likely")
-        ids = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-        s = written(d.join(ids, "id", "left_semi").mapInArrow(sets, "id long, s array<long>").dropDuplicates(["id"]), "near-sets")
-        met = likely.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        return written(met.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "near-edges")
-
-    first = [_table_pairs(some, t) for t in rounds]
-    edges = verified(all_of(x[0] for x in first))
-    cc = connected_components(edges)
-    more = verified(all_of(_other_pairs(some, t, x[1], x[2], cc) for t, x in zip(rounds, first, strict=True)))
+    d = d.select("id", F.xxhash64("t").alias("x"), F.crc32(F.encode("t", "utf-8")).alias("crc"), F.octet_length("t").cast("long").alias("len"), "t")
+    fps = written(d.mapInArrow(prints, "id long, x long, crc long, len long, f array<long>"), "near-prints")
+    texts = fps.groupBy(*key).agg(F.min("id").alias("id"), F.first("f").alias("f"))
+    texts = written(texts.withColumn("u", F.monotonically_increasing_id()), "near-texts")
+    each = texts.where("f is not null").select("u", F.explode("f").alias("p"))
+    shared, pairs = met_prints(each)
+    each = written(each.join(shared, "p", "left_semi").select("u", "p"), "near-each")
+    own = written(texts.join(each.select("u").distinct(), "u", "left_semi").select("u", "id", *key), "near-own")
+    sets = only(d, own, id=F.col("id"), x=F.col("x")).mapInArrow(sets_of, "id long, x long, crc long, len long, n int, parts array<int>, s array<long>")
+    # rows that repeat an id and a text come once; a text that another one's id and XXH64 let through is told apart by the rest of the key
+    sets = sets.join(own.select("u", *key), key).groupBy("u").agg(*[F.first(c).alias(c) for c in ("n", "parts", "s")])
+    sets = written(sets, "near-sets")
+    edges = linked_pairs(pairs, sets, similarity)
+    roots = connected_components(edges)
+    more = linked_pairs(pairs_between(each, roots, sets, similarity), sets, similarity)
     if not more.isEmpty():
-        cc = connected_components(edges.union(more))
-    of = texts.select(*key, "id").join(cc.select(F.col("node").alias("id"), "root"), "id", "left").select(*key, F.coalesce("root", "id").alias("root"))
-    return fps.select("id", *key).join(of, key).select("id", "root")
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    of = written(texts.join(roots, texts.u == roots.node, "left").select(*key, "id", F.coalesce("root", "u").alias("u")), "near-groups")
+    label = of.join(of.groupBy("u").agg(F.min("id").alias("root")), "u").select(*key, "root")
+    return fps.select("id", *key).join(label, key).select("id", "x", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs, unchanged, without those whose group of near copies has a smaller id. Rows that share an id and a text stay or go together."""
-    gone = written(near_duplicates(docs, id_col, text_col, n, similarity).where("id <> root").select(F.col("id").alias(id_col)).distinct(), "near-gone")
-    return docs.join(gone, id_col, "left_anti").select(*[docs[c] for c in docs.columns])
+    """The rows of docs, unchanged, without those whose group of near copies has a smaller id, or has one where they have none.
+
+    Rows that share an id and a text stay or go together. No text that stays is shuffled, but for what a filter of fixed
+    size lets through.
+    """
+    gone = near_duplicates(docs, id_col, text_col, n, similarity).where("not id <=> root").select("id", "x")
+    return without(docs, gone, id=F.col(id_col).cast("long"), x=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from subloom.llm import decontaminate, knlm, pieces, pii, quality_rules, secrets, sharding, simhash, suffix_dedup, warc
-from subloom.llm.common import connected_components
+from subloom.llm.common import connected_components, key_filter, only, without
 
 # secrets
 
@@ -28,7 +28,8 @@ def test_secret_spans(make, edge, spark):
 
 
 def test_base_spans_use_ascii_letters_only():
-    assert secrets.base_spans("paſſword=abcdefgh toKen=abcdefgh") == []
+    assert secrets.base_spans("paſſword=abcdefgh to\u212aen=abcdefgh") == []  # the Kelvin sign is no ASCII letter
+    assert [k for _, k, _ in secrets.base_spans("toKen=abcdefgh")] == [0]
     assert [k for _, k, _ in secrets.base_spans("API_KEY='abcdefgh'")] == [0]
 
 
@@ -474,28 +475,96 @@ def test_near_copies_keep_one(make, edge):
     assert kept.columns == d.columns and sorted(ids) == [1, 3, 4, 4, 7, 8, 10, 11, 50, 53]
 
 
-def test_long_fingerprints_take_repeats_once():
+def test_near_prints_take_repeats_once():
     rng = random.Random(3)
     words = [f"w{rng.randrange(10**6)}" for _ in range(850)]
-    once, often = simhash.long_simhash(" ".join(words)), simhash.long_simhash(" ".join(words + words[-10:] * 30))
-    assert sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(once, often, strict=True)) <= 60
+    once, often = (simhash.near_prints(simhash.shingle_set(" ".join(w), 5)) for w in (words, words + words[-10:] * 30))
+    near = sum((int(a) ^ int(b)).bit_count() <= 2 for a, b in zip(once, often, strict=True))
+    assert near >= 10 and len(set(once.tolist())) == simhash.TABLES
 
 
-def test_other_pairs_are_all_that_lie_between_groups(spark):
+def edited(rng, words, edits):
+    out = list(words)
+    for k in rng.sample(range(len(out)), edits):
+        out[k] = f"v{rng.randrange(10**6)}"
+    return out
+
+
+def jaccard(a, b):
+    x, y = (set(simhash.shingle_set(t, 5).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def groups(links, ids):
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_near_duplicates_equal_brute_force_in_a_family(make, edge):
+    """A family whose members are not all similar to each other: a member that its first partner fails finds others."""
+    rng = random.Random(16)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    rows = [(100 + i, " ".join(edited(rng, base, rng.randrange(9)))) for i in range(150)]
+    rows += [(300 + i, " ".join(edited(rng, [f"w{rng.randrange(900)}" for _ in range(40)], 0)) + " " + " ".join(base[:50])) for i in range(40)]
+    some = dict(rows)
+    links = [(a, b) for a in some for b in some if a < b and jaccard(some[a], some[b]) >= 0.8]
+    want = groups(links, some)
+    got = {r.id: r.root for r in simhash.near_duplicates(make([*edge, *rows])).collect()}
+    assert {i: got[i] for i in some} == want and len(set(want.values())) < 150
+    assert all(got[a] != got[b] for a in some for b in some if want[a] != want[b])
+
+
+def test_near_duplicates_recall_by_similarity(make):
+    rng = random.Random(17)
+    rows, bands = [], {}
+    for i in range(400):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(220)]
+        other = edited(rng, base, rng.choice((1, 2, 3, 4)))
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+        j = jaccard(rows[-1][1], rows[-2][1])
+        bands.setdefault(0.8 if 0.8 <= j < 0.85 else 0.85 if j >= 0.85 else 0, []).append(2 * i)
+    got = {r.id: r.root for r in simhash.near_duplicates(make(rows)).collect()}
+    found = {b: sum(got[i + 1] == i for i in x) / len(x) for b, x in bands.items()}
+    assert found[0.85] >= 0.98 and found.get(0.8, 1) >= 0.9 and not found.get(0)
+
+
+def test_pairs_between_leave_no_similar_pair_out(spark):
     rng = random.Random(12)
-    centre, prints = rng.getrandbits(32), []
-    for i in range(60):
-        x = centre
-        for k in rng.sample(range(32), rng.randrange(3)):
-            x ^= 1 << k
-        prints.append((i, [x]))
-    fps = spark.createDataFrame([(i, [x[0]]) for i, x in prints], "id long, f array<long>")
-    roots = {i: min(i, i % 7) for i in range(40)}
-    first, low, met = simhash._table_pairs(fps, [0])
-    got = {(r.a, r.b) for r in simhash._other_pairs(fps, [0], low, met, spark.createDataFrame(list(roots.items()), "node long, root long")).collect()}
-    want = {(i, j) for i, x in prints for j, y in prints if i < j and (x[0] ^ y[0]).bit_count() <= 2}
-    assert got == {(i, j) for i, j in want if roots.get(i, i) != roots.get(j, j)}
-    assert {(r.a, r.b) for r in first.collect()} < want  # the first candidates alone are not all
+    base = [f"w{rng.randrange(900)}" for _ in range(100)]
+    texts = [" ".join(edited(rng, base, rng.randrange(7))) for _ in range(60)]
+    found = [simhash.shingle_set(t, 5) for t in texts]
+    each = spark.createDataFrame([(i, int(p)) for i, s in enumerate(found) for p in simhash.near_prints(s).view(np.int64)], "u long, p long")
+    sets = spark.createDataFrame([(i, len(s), np.bincount((s & np.uint64(63)).astype(int), minlength=64).tolist(), s.view(np.int64).tolist()) for i, s in enumerate(found)], "u long, n int, parts array<int>, s array<long>")
+    root = {i: min(i, i % 7) for i in range(40)}
+    got = {(r.a, r.b) for r in simhash.pairs_between(each, spark.createDataFrame(list(root.items()), "node long, root long"), sets, 0.8).collect()}
+    prints = [simhash.near_prints(s).tolist() for s in found]
+    meet = {(i, j) for i in range(60) for j in range(i) if any((x ^ y).bit_count() <= 2 for x, y in zip(prints[i], prints[j], strict=True))}
+    apart = {(j, i) for i, j in meet if root.get(i, i) != root.get(j, j)}
+    similar = {(a, b) for a, b in apart if jaccard(texts[a], texts[b]) >= 0.8}
+    assert similar and similar <= got <= apart
+    links = {(r.a, r.b) for r in simhash.linked_pairs(spark.createDataFrame(sorted(apart), "a long, b long"), sets, 0.8).collect()}
+    assert links == similar
+
+
+def test_rows_are_told_apart_in_place(make, spark):
+    d = make([(1, "a"), (1, "b"), (2, None), (2, None), (None, "c"), (3, "")])
+    keys = spark.createDataFrame([(1, "b"), (2, None), (None, "c"), (9, "z"), (1, "b")], "k long, t string")
+    at = {"k": F.col("doc_id"), "t": F.col("text")}
+    out, kept = without(d, keys, **at), only(d, keys, **at)
+    assert out.columns == d.columns == kept.columns and sorted((r.doc_id, r.text) for r in out.collect()) == [(1, "a"), (3, "")]
+    assert kept.count() == 4 and without(d, keys.limit(0), **at).count() == 6 and only(make([]), keys, **at).count() == 0
+    many = spark.range(5000).select(F.col("id").alias("k"))
+    hit = key_filter(many, bits=12)  # too small on purpose: it lets others through and loses none
+    assert many.where(hit(F.col("k"))).count() == 5000
 
 
 def test_pipeline_stages_keep_the_columns(spark, sf):
