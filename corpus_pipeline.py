@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subloom.llm import decontaminate, pieces, pii, quality_rules, simhash
-from subloom.llm.common import table, written
+from subloom.llm.common import table, without, written
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, verbatim or with other numbers, names and units, go."""
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).where("id is not null")
+    return without(docs, found, id=F.col("doc_id").cast("long"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_pieces, score, ids): the best segmentation of what is left."""
     best = pieces.encode(docs).select("id", F.get("best", F.lit(0)).alias("a"))
-    return best.select(F.col("id").alias("doc_id"), F.size("a.ids").cast("long").alias("n_pieces"), F.col("a.score").alias("score"), F.col("a.ids").alias("ids"))
+    return best.select(
+        F.col("id").alias("doc_id"), F.size("a.ids").cast("long").alias("n_pieces"),
+        F.col("a.score").alias("score"), F.col("a.ids").alias("ids"),
+    )
 
 
 STAGES = [("quality_rules", rules), ("simhash", near_copies), ("decontaminate", benchmark_leaks), ("pii", personal_data), ("pieces", encoding)]
