@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -10,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subloom.config import AddedToken
+from subloom.config import AddedToken, WordPieceConfig
 from subloom.functions import encoding as E
 from subloom.functions import sql as sql_functions
 from subloom.functions import text as T
@@ -92,15 +93,20 @@ def _content_ctes(source: str, name: str = "tok", prefix: str = "") -> str:
 {p}pos AS (SELECT word, unnest(range(0, length(word))) AS pos FROM {p}dw WHERE length(word) <= 200),
 {p}sub AS (SELECT word, pos, unnest(range(1, least({longest}, length(word) - pos) + 1)) AS len FROM {p}pos),
 {p}best AS (SELECT word, pos, max(len) AS len, arg_max(v.id, len) AS id, arg_max(v.token, len) AS token FROM {p}sub JOIN vocab v ON v.piece = substr(word, pos + 1, len) AND v.cont = (pos > 0) GROUP BY word, pos),
-{p}walk(word, n, pos, len, id, token) AS (SELECT word, 0, pos, len, id, token FROM {p}best WHERE pos = 0 UNION ALL SELECT b.word, w.n + 1, b.pos, b.len, b.id, b.token FROM {p}walk w JOIN {p}best b ON b.word = w.word AND b.pos = w.pos + w.len),
-{p}good AS (SELECT word FROM {p}walk GROUP BY word HAVING max(pos + len) = length(word)),
-{p}pc AS (SELECT word, n, pos, len, id, token FROM {p}walk WHERE word IN (SELECT word FROM {p}good) UNION ALL SELECT word, 0, 0, length(word), 1, '[UNK]' FROM {p}dw WHERE word NOT IN (SELECT word FROM {p}good)),
+{p}walk(word, n, pos, len, id, token) AS (SELECT word, 0, pos, len, id, token FROM {p}best WHERE pos = 0
+ UNION ALL SELECT b.word, w.n + 1, b.pos, b.len, b.id, b.token FROM {p}walk w JOIN {p}best b ON b.word = w.word AND b.pos = w.pos + w.len),
+{p}steps AS (SELECT * FROM {p}walk),
+{p}good AS (SELECT word FROM {p}steps GROUP BY word HAVING max(pos + len) = length(word)),
+{p}pc AS (SELECT word, n, pos, len, id, token FROM {p}steps SEMI JOIN {p}good USING (word)
+ UNION ALL SELECT word, 0, 0, length(word), 1, '[UNK]' FROM {p}dw ANTI JOIN {p}good USING (word)),
 {name} AS (SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY s, n) - 1 AS INTEGER) AS i, token, CAST(id AS INTEGER) AS id, CAST(s + pos AS INTEGER) AS a, CAST(s + pos + len AS INTEGER) AS b, CAST(w AS INTEGER) AS w FROM {p}word JOIN {p}pc USING (word)),
 {name}n AS (SELECT s.k, CAST(count(t.k) AS INTEGER) AS n FROM {p}src s LEFT JOIN {name} t USING (k) GROUP BY s.k)"""
 
 
 def _with(*ctes: str) -> str:
-    return f"WITH RECURSIVE vocab(piece, cont, id, token) AS (VALUES {_vocab_values()})," + ",".join(ctes) + "\n"
+    """All tables but the recursive walk are computed once, however often they are named."""
+    once = re.sub(r"(?m)^(\w+) AS \(", r"\1 AS MATERIALIZED (", ",".join(ctes))
+    return f"WITH RECURSIVE vocab(piece, cont, id, token) AS MATERIALIZED (VALUES {_vocab_values()})," + once + "\n"
 
 
 _TURNS = "SELECT conv_id * 1000 + turn AS k, text FROM conversations"
@@ -115,12 +121,12 @@ def _single_ctes(content: str = "tok", counts: str = "tokn", out: str = "enc") -
  UNION ALL SELECT k, n + 1, '[SEP]', 3, 0, 1, 1, NULL, NULL, 0, 0 FROM {counts})"""
 
 
-def _cut_ctes(n: str, left: bool, content: str = "tok", counts: str = "tokn", out: str = "cut") -> str:
-    """Content and counts cut to n (an expression of the key's row in lim(k, n)) tokens."""
+def _cut_ctes(n: str, left: bool, content: str = "tok", counts: str = "tokn", out: str = "cut", limits: str = "") -> str:
+    """Content and counts cut to n tokens, an expression over counts and what limits joins to it."""
     keep = "t.i >= c.n - m" if left else "t.i < m"
     move = "t.i - greatest(c.n - m, 0)" if left else "t.i"
     return f"""
-{out}m AS (SELECT c.k, c.n, CAST({n} AS INTEGER) AS m FROM {counts} c),
+{out}m AS (SELECT c.k, c.n, CAST({n} AS INTEGER) AS m FROM {counts} c{limits}),
 {out} AS (SELECT t.k, CAST({move} AS INTEGER) AS i, token, id, a, b, w FROM {content} t JOIN {out}m c USING (k) WHERE {keep}),
 {out}n AS (SELECT k, least(n, m) AS n FROM {out}m)"""
 
@@ -247,23 +253,43 @@ _PAIR_CONTENT = (_content_ctes(_PAIR_A, "ta", "pa_"), _content_ctes(_PAIR_B, "tb
 
 
 def _pair_cut(strategy: str, limit: int, left: bool) -> tuple[str, ...]:
-    """Both contents cut: longest first takes tokens one at a time from the longer, which leaves these lengths."""
+    """Both contents cut: longest first takes tokens one at a time from the longer, which leaves these lengths. The other
+    strategies cut one text alone, and only pairs are asked for whose other text leaves it a token."""
     v = limit - 3
-    both = "(SELECT x.k, x.n AS na, y.n AS nb FROM tan x JOIN tbn y USING (k))"
+    some = "true"
     if strategy == "longest_first":
         s = f"least(na, nb, {v} // 2)"
         na, nb = f"CASE WHEN na <= nb THEN {s} ELSE {v} - {s} END", f"CASE WHEN na <= nb THEN {v} - {s} ELSE {s} END"
     else:
         na, nb = (f"{v} - nb", "nb") if strategy == "only_first" else ("na", f"{v} - na")
-    lim = f"\nlim AS (SELECT k, CASE WHEN na + nb <= {v} THEN na ELSE {na} END AS ca, CASE WHEN na + nb <= {v} THEN nb ELSE {nb} END AS cb FROM {both})"
-    return lim, _cut_ctes("(SELECT ca FROM lim WHERE lim.k = c.k)", left, "ta", "tan", "xa"), _cut_ctes("(SELECT cb FROM lim WHERE lim.k = c.k)", left, "tb", "tbn", "xb")
+        some = f"{'nb' if strategy == 'only_first' else 'na'} < {v}"
+    lim = f"""
+lim AS (SELECT k, CASE WHEN na + nb <= {v} THEN na ELSE {na} END AS ca, CASE WHEN na + nb <= {v} THEN nb ELSE {nb} END AS cb
+ FROM (SELECT x.k, x.n AS na, y.n AS nb FROM tan x JOIN tbn y USING (k)) WHERE {some})"""
+    return lim, _cut_ctes("ca", left, "ta", "tan", "xa", " JOIN lim USING (k)"), _cut_ctes("cb", left, "tb", "tbn", "xb", " JOIN lim USING (k)")
+
+
+def _cut_pairs(strategy: str, limit: int, left: bool) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        pairs, t = _pairs(spark, d), tokenizer()
+        if strategy != "longest_first":  # a text that alone fills the limit leaves nothing of the other, which is an error
+            pairs = pairs.where(t.count("reply" if strategy == "only_first" else "text") < limit - 3)
+        return rows(t.with_truncation(limit, "left" if left else "right", strategy).encode_pair(pairs, "text", "reply"))
+
+    return run
 
 
 query("encode_pair", lambda s, d: rows(tokenizer().encode_pair(_pairs(s, d), "text", "reply")), _with(*_PAIR_CONTENT, _pair_ctes()) + f"SELECT {_ENC_COLUMNS} FROM enc")
-for _name, _strategy, _limit, _left in (("truncate_pair_longest_first", "longest_first", 32, False), ("truncate_pair_longest_first_left", "longest_first", 33, True), ("truncate_pair_only_first", "only_first", 100_000, False), ("truncate_pair_only_second", "only_second", 100_000, True)):
-    query(_name, lambda s, d, st=_strategy, n=_limit, left=_left: rows(tokenizer().with_truncation(n, "left" if left else "right", st).encode_pair(_pairs(s, d), "text", "reply")),
-          _with(*_PAIR_CONTENT, *_pair_cut(_strategy, _limit, _left), _pair_ctes("xa", "xb")) + f"SELECT {_ENC_COLUMNS} FROM enc")
+for _strategy, _limit, _left in (
+    ("longest_first", 32, False), ("longest_first", 33, True), ("only_first", 300, False), ("only_first", 260, True),
+    ("only_second", 300, True), ("only_second", 260, False),
+):
+    _name = f"truncate_pair_{_strategy}" + ("_left" if _left else "")
+    _sql = _with(*_PAIR_CONTENT, *_pair_cut(_strategy, _limit, _left), _pair_ctes("xa", "xb")) + f"SELECT {_ENC_COLUMNS} FROM enc"
+    query(_name, _cut_pairs(_strategy, _limit, _left), _sql)
 query("truncate_pair_do_not_truncate", lambda s, d: rows(tokenizer().with_truncation(8, strategy="do_not_truncate").encode_pair(_pairs(s, d), "text", "reply")), ORACLES["encode_pair"])
+query("encode_pair_batch", lambda s, d: rows(tokenizer().with_padding().encode_pair_batch(_pairs(s, d), "text", "reply", "conv_id", num_workers=3)),
+      _with(*_PAIR_CONTENT, _pair_ctes(), _LEN) + _padded("max(n) OVER (PARTITION BY k // 1000)"))
 query("n_sequences", lambda s, d: tokenizer().encode_pair(_pairs(s, d), "text", "reply").select("k", E.n_sequences("encoding").alias("n_sequences")),
       _with(*_PAIR_CONTENT) + "SELECT x.k, CASE WHEN y.n > 0 THEN 2 WHEN x.n > 0 THEN 1 ELSE 0 END AS n_sequences FROM tan x JOIN tbn y USING (k)")
 
@@ -284,6 +310,13 @@ query("encode_pretokenized_pair", lambda s, d: rows(tokenizer().encode_pretokeni
       _with(_content_ctes(_ITEMS), _WORD_ENC, _pair_ctes("flat", "flat")) + "SELECT k, CAST(i AS INTEGER) AS i, CAST(id AS INTEGER) AS id, CAST(ty AS INTEGER) AS type_id, CAST(w AS INTEGER) AS word_id, CAST(sq AS INTEGER) AS sequence_id FROM enc")
 
 
+_PADDED_IDS = f"SELECT k, i, id, attention FROM ({_padded('CAST(ceil(n / 8.0) * 8 AS BIGINT)')})"
+query("encode_pretokenized_batch", lambda s, d: rows(tokenizer().with_padding(10, 8).encode_batch(_words(s, d), "words", pretokenized=True, num_workers=2), fields=("ids", "attention_mask")),
+      _with(_content_ctes(_ITEMS), _WORD_ENC, _single_ctes("flat", "flatn"), _LEN) + _PADDED_IDS.replace("ceil(n", "ceil(greatest(n, 10)"))
+query("encode_pretokenized_pair_batch", lambda s, d: rows(tokenizer().with_padding(8, 8).encode_pair_batch(_words(s, d), "words", "words", pretokenized=True, num_workers=2), fields=("ids", "attention_mask")),
+      _with(_content_ctes(_ITEMS), _WORD_ENC, _pair_ctes("flat", "flat"), _LEN) + _PADDED_IDS)
+
+
 def _labels(spark: SparkSession, d: str) -> DataFrame:
     x = tokenizer().encode_pretokenized(_words(spark, d), "words").withColumn("labels", F.transform("words", lambda w, i: i % 7))
     return x.select("k", F.posexplode(E.label_tokens("encoding", "labels")).alias("i", "label"))
@@ -328,7 +361,16 @@ CAST(CASE WHEN a = 0 AND b = 0 THEN 0 ELSE a + dc END AS INTEGER) AS start, CAST
 FROM enc JOIN sh USING (k)""", """
 ext AS (SELECT k, k // 1000 AS conv_id, coalesce(max(b), 0) AS mc, coalesce(max(w), 0) + 1 AS mw FROM enc GROUP BY k),
 sh AS (SELECT k, conv_id, coalesce(sum(mc) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dc, coalesce(sum(mw) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dw FROM ext)"""))
-query("encoding_to_json", lambda s, d: _encoded()(s, d).select("k", F.get_json_object(E.to_json("encoding"), "$.ids").alias("ids_json")), _single_sql("SELECT k, '[' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY i) || ']' AS ids_json FROM enc GROUP BY k"))
+
+
+def _json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every field of the JSON text, read back."""
+    x = _encoded()(spark, d)
+    text = x.select("k", E.to_json("encoding").alias("j"))
+    return rows(text.select("k", F.from_json("j", x.schema["encoding"].dataType).alias("encoding")))
+
+
+query("encoding_to_json", _json_round_trip, _single_sql())
 
 # added tokens that are no pieces, so that their id stands for nothing else
 
@@ -344,41 +386,101 @@ def _added(token: AddedToken) -> Query:
     return run
 
 
-def _added_sql(pattern: str, group: int) -> str:
+def _added_sql(pattern: str, group: int, text: str = "text") -> str:
     """Places of a literal from the texts between its matches."""
     return f"""
 SELECT doc_id AS k, CAST(len(m) AS INTEGER) AS n, CAST(coalesce((SELECT sum(3 * s + e) FROM (
   SELECT sum(length(g)) OVER (ORDER BY j ROWS UNBOUNDED PRECEDING) + coalesce(sum(length(h)) OVER (ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s,
          sum(length(g)) OVER (ORDER BY j ROWS UNBOUNDED PRECEDING) + sum(length(h)) OVER (ORDER BY j ROWS UNBOUNDED PRECEDING) AS e
   FROM (SELECT unnest(p[1:len(m)]) AS g, unnest(m) AS h, unnest(range(0, len(m))) AS j))), 0) AS BIGINT) AS places
-FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}', {group}) AS m, regexp_split_to_array(text, '{pattern}') AS p FROM documents)"""
+FROM (SELECT doc_id, regexp_extract_all({text}, '{pattern}', {group}) AS m, regexp_split_to_array({text}, '{pattern}') AS p FROM documents)"""
 
 
 query("added_token_raw", _added(AddedToken("ation", normalized=False)), _added_sql("ation", 0))
-query("added_token_single_word", _added(AddedToken("then", single_word=True, normalized=False)))
+query("added_token_single_word", _added(AddedToken("then", single_word=True, normalized=False)), """
+WITH p AS MATERIALIZED (SELECT doc_id, string_split(text, 'then') AS p FROM documents),
+g AS MATERIALIZED (SELECT doc_id, unnest(p) AS g, unnest(range(0, len(p))) AS j FROM p),
+h AS (SELECT doc_id, j, g, lead(g) OVER w AS g2, lead(j, 2) OVER w IS NOT NULL AS more, sum(length(g)) OVER w + 4 * j AS s FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
+m AS (SELECT doc_id, s FROM h WHERE g2 IS NOT NULL AND NOT regexp_matches(
+  right(CASE WHEN g <> '' THEN g WHEN j > 0 THEN 'n' ELSE ' ' END, 1) || left(CASE WHEN g2 <> '' THEN g2 WHEN more THEN 't' ELSE ' ' END, 1), '[\\p{L}\\p{M}\\p{Nd}_]'))
+SELECT doc_id AS k, CAST(count(s) AS INTEGER) AS n, CAST(coalesce(sum(4 * s + 4), 0) AS BIGINT) AS places FROM documents LEFT JOIN m USING (doc_id) GROUP BY doc_id""")
 query("added_token_strip", _added(AddedToken("then", lstrip=True, rstrip=True, normalized=False)), _added_sql("[ \\t\\n\\r]*then[ \\t\\n\\r]*", 0))
-query("added_token_normalized", _added(AddedToken("ÉAU", normalized=True)))
+query("added_token_normalized", _added(AddedToken("ÉAU", normalized=True)), _added_sql("eau", 0, "lower(strip_accents(text))"))
+
+
+def _added_special(spark: SparkSession, d: str) -> DataFrame:
+    """A special token of our own: found as it is written, and left out by decoding."""
+    t, _ = tokenizer().add_special_tokens(["<then>"])
+    x = _turns(spark, d).withColumn("text", F.replace("text", F.lit(" then "), F.lit("<then>")))
+    x = t.encode(x, "text", add_special_tokens=False)
+    new = t.vocab.token_to_id("<then>")
+    return x.select("k", F.size(F.filter("encoding.ids", lambda i: i == new)).alias("n"), F.contains(t.decode("encoding.ids"), F.lit("then>")).alias("shown"))
+
+
+query("added_special_token", _added_special, "SELECT conv_id * 1000 + turn AS k, CAST(len(string_split(text, ' then ')) - 1 AS INTEGER) AS n, false AS shown FROM conversations")
 
 # a tokenizer.json with its own template, cleanup and padding
 
 
-def json_tokenizer() -> WordPieceTokenizer:
+def json_settings() -> dict:
     ids = {t: i for i, t in enumerate(LINES)}
-    return WordPieceTokenizer.from_tokenizer_json_string(json.dumps({
+    return {
         "model": {"type": "WordPiece", "vocab": ids, "unk_token": "[UNK]", "continuing_subword_prefix": "##", "max_input_chars_per_word": 200},
-        "normalizer": {"type": "BertNormalizer", "clean_text": True, "handle_chinese_chars": True, "strip_accents": None, "lowercase": True}, "pre_tokenizer": {"type": "BertPreTokenizer"},
-        "post_processor": {"type": "BertProcessing", "cls": ["[CLS]", 2], "sep": ["[SEP]", 3]}, "decoder": {"type": "WordPiece", "prefix": "##", "cleanup": True},
-        "added_tokens": [{"id": i, "content": t, "special": True, "normalized": False} for i, t in enumerate(LINES[:5])], "truncation": None, "padding": None,
-    }))
+        "normalizer": {"type": "BertNormalizer", "clean_text": True, "handle_chinese_chars": True, "strip_accents": None, "lowercase": True},
+        "pre_tokenizer": {"type": "BertPreTokenizer"},
+        "post_processor": {"type": "BertProcessing", "cls": ["[CLS]", 2], "sep": ["[SEP]", 3]},
+        "decoder": {"type": "WordPiece", "prefix": "##", "cleanup": True},
+        "added_tokens": [{"id": i, "content": t, "special": True, "normalized": False} for i, t in enumerate(LINES[:5])],
+        "truncation": None, "padding": None,
+    }
+
+
+def json_tokenizer(config: WordPieceConfig | None = None, **changes) -> WordPieceTokenizer:
+    return WordPieceTokenizer.from_tokenizer_json_string(json.dumps(json_settings() | changes), config)
 
 
 query("json_encode", lambda s, d: rows(json_tokenizer().encode(_turns(s, d), "text")), ORACLES["encode_single"])
 
 
+def _stored(spark: SparkSession, text: str) -> str:
+    """The path of a file with this text in the shared folder."""
+    path = f"{_shared(spark)}/file-{uuid.uuid4().hex}"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+query("vocab_file_encode", lambda s, d: rows(WordPieceTokenizer.from_vocab_file(_stored(s, "\n".join(LINES)), s).encode(_turns(s, d), "text")), ORACLES["encode_single"])
+query("json_file_encode", lambda s, d: rows(WordPieceTokenizer.from_tokenizer_json(_stored(s, json.dumps(json_settings())), s).encode(_turns(s, d), "text")), ORACLES["encode_single"])
+query("vocabulary_from_string", lambda s, d: Vocabulary.from_string("b \n\n##a\r\nab\nb\n[X]\n").dataframe(s).select("token", "id"),
+      "SELECT token, CAST(id AS INTEGER) AS id FROM (VALUES ('##a', 2), ('ab', 3), ('b', 4), ('[X]', 5)) v(token, id)")
+
+#: B before A, with types of their own, and one separator.
+_TEMPLATE = {"type": "TemplateProcessing", "single": [{"SpecialToken": {"id": "[CLS]", "type_id": 3}}, {"Sequence": {"id": "A", "type_id": 0}}],
+             "pair": [{"Sequence": {"id": "B", "type_id": 2}}, {"SpecialToken": {"id": "[SEP]", "type_id": 4}}, {"Sequence": {"id": "A", "type_id": 5}}],
+             "special_tokens": {t: {"id": t, "ids": [i], "tokens": [t]} for t, i in (("[CLS]", 2), ("[SEP]", 3))}}
+query("json_template_pair", lambda s, d: rows(json_tokenizer(post_processor=_TEMPLATE).encode_pair(_pairs(s, d), "text", "reply")), _with(*_PAIR_CONTENT, """
+enc AS (SELECT k, i, token, id, 2 AS ty, 1 AS att, 0 AS sp, w, 1 AS sq, a, b FROM tb
+ UNION ALL SELECT k, n, '[SEP]', 3, 4, 1, 1, NULL, NULL, 0, 0 FROM tbn
+ UNION ALL SELECT k, i + 1 + y.n, token, id, 5, 1, 0, w, 0, a, b FROM ta JOIN tbn y USING (k))""") + f"SELECT {_ENC_COLUMNS} FROM enc")
+query("json_without_processor_pair", lambda s, d: rows(json_tokenizer(post_processor=None).encode_pair(_pairs(s, d), "text", "reply")), _with(*_PAIR_CONTENT, """
+enc AS (SELECT k, i, token, id, 0 AS ty, 1 AS att, 0 AS sp, w, 0 AS sq, a, b FROM ta
+ UNION ALL SELECT k, i + x.n, token, id, 1, 1, 0, w, 1, a, b FROM tb JOIN tan x USING (k))""") + f"SELECT {_ENC_COLUMNS} FROM enc")
+query("json_config_override", lambda s, d: rows(json_tokenizer(WordPieceConfig(), post_processor=_TEMPLATE).encode(_turns(s, d), "text")), ORACLES["encode_single"])
+query("decode_without_decoder", lambda s, d: json_tokenizer(decoder=None).encode(_turns(s, d), "text").select("k", json_tokenizer(decoder=None).decode("encoding.ids").alias("decoded")),
+      _with(_content_ctes(_TURNS)) + "SELECT k, coalesce(string_agg(token, ' ' ORDER BY i) FILTER (id > 4), '') AS decoded FROM tokn LEFT JOIN tok USING (k) GROUP BY k")
+
+
+def _shared(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see; on a local master one of our own will do."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (at or f"file://{tempfile.mkdtemp(prefix='subloom-')}").rstrip("/")
+
+
 def _streamed(spark: SparkSession, d: str) -> DataFrame:
     """The turns encoded as a stream into a table in the shared folder, all that is there in one go."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='subloom-')}"
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
     turns = read_texts(spark, d, "conv_id long, turn long, role string, text string", glob="conversations.parquet")
     out = encode_stream(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text"), tokenizer(), "text").select("k", "encoding")
     out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()

@@ -87,7 +87,7 @@ class Vocabulary:
         if spark is None:
             with open(path, encoding="utf-8") as f:
                 return cls.from_string(f.read(), prefix)
-        return cls.from_string(spark.read.text(path, wholetext=True).first()[0], prefix)
+        return cls.from_string(whole_file(spark, path), prefix)
 
     @classmethod
     def from_map(cls, ids: Mapping[str, int], prefix: str = "##") -> Vocabulary:
@@ -139,5 +139,13 @@ class Vocabulary:
         return f"Vocabulary(size: {self.size}, prefix: {self.prefix!r})"
 
 
+def whole_file(spark: SparkSession, path: str) -> str:
+    """The text of the one file at a path that Spark reads; a folder must hold a single file."""
+    found = spark.read.text(path, wholetext=True).limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{path} must be one file")
+    return found[0][0]
+
+
 def bracket_shaped(token: str) -> bool:
     return token.startswith("[") and token.endswith("]")

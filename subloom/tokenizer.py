@@ -13,7 +13,7 @@ from subloom.operators.encode import content_udf, count_udf, ids_udf, lookup_udf
 from subloom.operators.kernel import Added, Kernel
 from subloom.plans.batch import pad_batch
 from subloom.sources.tokenizer_json import TokenizerJson, parse
-from subloom.sources.vocabulary import Vocabulary, bracket_shaped
+from subloom.sources.vocabulary import Vocabulary, bracket_shaped, whole_file
 
 
 class WordPieceTokenizer:
@@ -38,7 +38,7 @@ class WordPieceTokenizer:
         if spark is None:
             with open(path, encoding="utf-8") as f:
                 return cls.from_tokenizer_json_string(f.read(), config)
-        return cls.from_tokenizer_json_string(spark.read.text(path, wholetext=True).first()[0], config)
+        return cls.from_tokenizer_json_string(whole_file(spark, path), config)
 
     @classmethod
     def from_tokenizer_json_string(cls, text: str, config: WordPieceConfig | None = None) -> WordPieceTokenizer:
