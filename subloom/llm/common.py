@@ -72,6 +72,18 @@ def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+_HELD: dict = {}
+
+
+def held(name: str, make: Callable[[], object] = lambda: None):
+    """What an operator remembers in this worker process. Workers serve many operators in turn, so whoever asks drops
+    what others have left: a worker holds one memory at a time."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 FILTER_BITS = 25  # 4 MB, whatever the number of keys
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from subloom.llm.common import table, written
+from subloom.llm.common import held, table, written
 
 #: Unit words that a re-parameterised question may exchange.
 UNITS = frozenset(
@@ -76,16 +76,6 @@ def canonical(word: bytes) -> tuple[tuple[int, str], tuple[int, str]]:
     return ((NAME, low) if x[0] == LITERAL and core[:1].isupper() else x), x
 
 
-_OWN: list[Lexicon] = []
-
-
-def _lexicon() -> Lexicon:
-    """One for each worker process, which serves many tasks."""
-    if not _OWN:
-        _OWN.append(Lexicon())
-    return _OWN[0]
-
-
 def template(text: str | None, lex: Lexicon, n: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word index, starts, kind, window hash) of a text's words. Windows of n words; fewer words form one window.
 
@@ -178,7 +168,7 @@ def windows(texts: DataFrame, n: int = WINDOW, keep: np.ndarray | None = None, b
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = _lexicon()
+        lex = held("decontaminate", Lexicon)
         schema = pa.schema([("id", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.int32()), ("base", pa.int64()), ("h", pa.int64()), ("template", pa.string()), ("slots", pa.list_(pa.string()))])
         for b in batches:
             rows = []

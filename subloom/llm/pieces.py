@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from subloom.llm.common import table
+from subloom.llm.common import held, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -21,6 +22,7 @@ class Vocabulary:
 
     def __init__(self, pieces: dict[str, tuple[int, float]], spelled: list[bytes], byte_ids: list[int], unk_id: int):
         self.pieces, self.spelled, self.byte_ids, self.unk_id = pieces, spelled, byte_ids, unk_id
+        self.mark = zlib.crc32(b"\0".join(spelled))
         self.unk_score = min((s for _, s in pieces.values()), default=0.0) - 10.0
         #: every beginning of a piece; the whole pieces carry (id, score)
         self.begins: dict[str, tuple[int, float] | None] = {p[:k]: None for p in pieces for k in range(1, len(p))} | pieces
@@ -197,15 +199,9 @@ class Segments(dict):
         return out
 
 
-_MEMO: dict = {}
-
-
 def _segments(v: Vocabulary, n: int) -> Segments:
-    """One memo per worker process and N; workers serve many tasks."""
-    if n not in _MEMO or _MEMO[n].v.spelled != v.spelled:
-        _MEMO.clear()
-        _MEMO[n] = Segments(v, n)
-    return _MEMO[n]
+    """One memo per worker process, vocabulary and N; workers serve many tasks."""
+    return held(f"pieces {n} {v.mark}", lambda: Segments(v, n))
 
 
 def decode_ids(v: Vocabulary, ids: bytes) -> str:

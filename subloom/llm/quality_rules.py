@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from subloom.llm.common import small, table, written
+from subloom.llm.common import held, small, table, written
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_bangs")
 _SPACES, _SYMBOLS, _WINDOW = " \t\n\x0b\x0c\r", "#*$%&|<>", 5
@@ -75,7 +75,8 @@ def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     d = docs.select(F.col(id_col).cast("long").alias("id"), stratum.alias("stratum"), F.col(text_col).alias("t"), *row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        held("quality")
+        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             cols = list(zip(*[text_stats(t.as_py()) for t in b.column(2)], strict=True)) or [[] for _ in STATS]
             more = [b.column(3)] if carry else []
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *more, *[pa.array(c, pa.int64()) for c in cols]], ["id", "stratum", *(["row"] if carry else []), *STATS])

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subloom.llm.common import connected_components, only, partitions, table, without, written
+from subloom.llm.common import connected_components, held, only, partitions, table, without, written
 
 
 def shingles(text: str | None, n: int) -> list[bytes]:
@@ -45,6 +45,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): the 64-bit fingerprint of every whole text, as a long. Null and empty texts get zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("simhash")
         for b in batches:
             fps = [_signed(simhash(t.as_py(), n)[0]) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
@@ -256,13 +257,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("simhash")
         for b in batches:
             sets = (shingle_set(t.as_py(), n) for t in b.column(4))
-            found = [near_prints(s).view(np.int64) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(found, pa.list_(pa.int64()))], ["id", "x", "crc", "len", "f"])
+            found = pa.array([near_prints(s).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], found], ["id", "x", "crc", "len", "f"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             found = [shingle_set(t.as_py(), n) for t in b.column(4)]
             parts = [np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype(np.int32) for s in found]
             cols = [pa.array([len(s) for s in found], pa.int32()), pa.array(parts, pa.list_(pa.int32())), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))]
