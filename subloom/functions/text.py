@@ -6,6 +6,7 @@ Same results as the kernel outside the few code points on which Java's and Pytho
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,10 +23,15 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) where f names its argument more than once: x is worked out a single time."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def clean_text(text: Column | str) -> Column:
     """Control and format characters dropped, each white space character a space."""
     dropped = F.regexp_replace(_c(text), r"[\x00\x{fffd}\p{Cc}\p{Cf}&&[^ \t\n\r]]", "")
-    return F.regexp_replace(dropped, r"[\t\n\r\p{Zs}]", " ")
+    return F.regexp_replace(dropped, r"[\t\n\r\p{Zs}&&[^ ]]", " ")  # spaces, the most of them, stay as they are
 
 
 def space_cjk(text: Column | str) -> Column:
@@ -40,18 +46,16 @@ def _accents(limit: int = 0x250) -> tuple[str, str]:
 
 def strip_accents(text: Column | str) -> Column:
     """Latin letters (below U+0250) without accents and combining marks U+0300-U+036F dropped; use the kernel beyond them."""
-    text = _c(text)
     marks = "".join(f"\\x{{{c:x}}}" for c in range(0x300, 0x370) if unicodedata.category(chr(c)) == "Mn")
     a, b = _accents()
-    plain = F.regexp_like(text, F.lit(r"^\p{ASCII}*+$"))  # most texts need no look at each character
-    return F.when(plain, text).otherwise(F.translate(F.regexp_replace(text, f"[{marks}]", ""), a, b))
+    plain = r"^\p{ASCII}*+$"  # such texts need no look at each character
+    return _once(_c(text), lambda t: F.when(F.regexp_like(t, F.lit(plain)), t).otherwise(F.translate(F.regexp_replace(t, f"[{marks}]", ""), a, b)))
 
 
 def lowercase(text: Column | str) -> Column:
     """Each character in lower case on its own. Only sigma depends on its neighbours, so only texts with one are taken apart."""
-    text = _c(text)
-    apart = F.array_join(F.transform(F.split(text, ""), F.lower), "")
-    return F.when(F.contains(text, F.lit("Σ")), apart).otherwise(F.lower(text))
+    apart = lambda t: F.array_join(F.transform(F.split(t, ""), F.lower), "")
+    return _once(_c(text), lambda t: F.when(F.contains(t, F.lit("Σ")), apart(t)).otherwise(F.lower(t)))
 
 
 def normalize(text: Column | str, lower: bool = True, accents: bool = True, cjk: bool = True, clean: bool = True) -> Column:

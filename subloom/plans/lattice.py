@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subloom.sources.vocabulary import Vocabulary
+from subloom.sources.vocabulary import PrefixSet, Vocabulary
 
 #: A vocabulary has one row a token; up to this many (about 20 MB) it is broadcast, above that the joins shuffle.
 BROADCAST_TOKENS = 300_000
@@ -29,14 +31,11 @@ def prefixes(spark: SparkSession, texts: DataFrame, text: str, vocab: Vocabulary
 
 
 def word_pieces(spark: SparkSession, words: DataFrame, vocab: Vocabulary, unk_id: int, max_word_length: int = 200) -> DataFrame:
-    """(word, ids) for words(word), which should be distinct: greedy longest-match ids, one unknown id where it fails.
+    """(word, ids) for words(word), which should be distinct and dealt by word: greedy longest-match ids, one unknown id where it fails.
 
     Candidate substrings are matched by a hash join with the vocabulary; the best at each place is a max, and the walk
     over a word's best matches is an array fold.
     """
-    # dealt by word once and for all: the substrings, both groupings and the last join stay where they are, and the
-    # explosion is not left to the few tasks that a small table of words would be merged into
-    words = words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word")
     v = vocabulary_rows(spark, vocab)
     longest = max([*map(len, vocab.words), *map(len, vocab.continuations)], default=1)
     n = F.length("word")
@@ -60,14 +59,61 @@ def word_pieces(spark: SparkSession, words: DataFrame, vocab: Vocabulary, unk_id
     return words.join(good, "word", "left").select("word", F.coalesce("ids", F.array(F.lit(unk_id))).alias("ids"))
 
 
-def token_counts(spark: SparkSession, docs: DataFrame, pieces: str, vocab: Vocabulary, unk_id: int, by: list[str]) -> DataFrame:
-    """(by, n_words, n_tokens, n_unk, id_sum): counts per group of rows with an array of words, summed before any shuffle
-    of words: (group, word) pairs are counted first, the lattice sees each distinct word once."""
+#: A vocabulary of up to so many tokens is a constant hash set within an expression; above, the joins of word_pieces serve.
+FOLD_TOKENS = 50_000
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def walked(word: str, vocab: Vocabulary, max_word_length: int = 200) -> Column:
+    """array<string>: the greedy longest matches of the word column, which begins the word and which continue it told by
+    their place; null where they don't cover the word.
+
+    A fold over the places; at each one that the walk comes to, the longest piece is asked for first. No joins, no Python.
+    """
+
+    def longest(pieces: PrefixSet) -> str:
+        by_length: dict[int, list[str]] = {}
+        for p in pieces:
+            by_length.setdefault(len(p), []).append(_quoted(p))
+        cases = [f"when substring(`{word}`, i + 1, {n}) in ({', '.join(by_length[n])}) then {n}" for n in sorted(by_length, reverse=True) if n]
+        return f"case {' '.join(cases)} else 0 end" if cases else "0"
+
+    step = f"""get(transform(array(if(i = 0, {longest(vocab.words)}, {longest(vocab.continuations)})), n ->
+        named_struct('pos', if(n = 0, -1, i + n), 'found', if(n = 0, acc.found, array_append(acc.found, substring(`{word}`, i + 1, n))))), 0)"""
+    return F.expr(f"""if(length(`{word}`) not between 1 and {max_word_length}, null,
+        aggregate(sequence(0, length(`{word}`) - 1), named_struct('pos', 0, 'found', cast(array() as array<string>)),
+            (acc, i) -> if(acc.pos = i, {step}, acc), acc -> if(acc.pos = length(`{word}`), acc.found, null)))""")
+
+
+def token_counts(
+    spark: SparkSession, docs: DataFrame, pieces: str, vocab: Vocabulary, unk_id: int, by: list[str],
+    change: Callable[[Column], Column] = lambda word: word, fold_tokens: int = FOLD_TOKENS,
+) -> DataFrame:
+    """(by, n_words, n_tokens, n_unk, id_sum): counts per group of rows with an array of words.
+
+    (group, word) pairs are counted first and each is split once; what is shuffled then are counts of (group, piece).
+    change is what is still to be done to each word, whole texts spared; words that it empties don't count.
+    A word without a full segmentation is one unknown token.
+    """
     pairs = docs.select(*by, F.explode(pieces).alias("word")).groupBy(*by, "word").agg(F.count("*").alias("c"))
-    ids = word_pieces(spark, pairs.select("word").distinct(), vocab, unk_id)
-    x = pairs.join(ids, "word")
-    total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, i: a + i)
-    return x.groupBy(*by).agg(
-        F.sum("c").alias("n_words"), F.sum(F.col("c") * F.size("ids")).alias("n_tokens"),
-        F.sum(F.when(F.get("ids", F.lit(0)) == unk_id, F.col("c")).otherwise(0)).alias("n_unk"), F.sum(F.col("c") * total).alias("id_sum"),
+    # dealt out row by row: a small table of pairs would be left to a few tasks, and the walks are what takes time
+    pairs = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = pairs.select(*by, change(F.col("word")).alias("word"), "c").where("word <> ''")
+    if vocab.size > fold_tokens:
+        words = pairs.select("word").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word").distinct()
+        x = pairs.join(word_pieces(spark, words, vocab, unk_id), "word")
+        ids = x.select(*by, "c", F.posexplode("ids").alias("pos", "id"))
+    else:
+        found = pairs.select(*by, "c", F.posexplode(F.coalesce(walked("word", vocab), F.array(F.lit(None).cast("string")))).alias("pos", "piece"))
+        found = found.groupBy(*by, "piece", (F.col("pos") > 0).alias("is_continuation")).agg(F.sum("c").alias("c"))
+        known = vocabulary_rows(spark, vocab).select("piece", "is_continuation", "id")
+        ids = found.join(known, ["piece", "is_continuation"], "left")
+        ids = ids.select(*by, "c", F.col("is_continuation").cast("int").alias("pos"), F.coalesce("id", F.lit(unk_id)).alias("id"))
+    begins, c = F.col("pos") == 0, F.col("c")
+    return ids.groupBy(*by).agg(
+        F.sum(F.when(begins, c)).alias("n_words"), F.sum("c").alias("n_tokens"),
+        F.sum(F.when(F.col("id") == unk_id, c).otherwise(0)).alias("n_unk"), F.sum(c * F.col("id")).alias("id_sum"),
     )

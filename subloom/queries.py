@@ -164,10 +164,10 @@ def query(name: str, run: Query, oracle: str | None = None) -> None:
 
 
 def wordpiece_token_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Token counts per language by the join-based plan: no Python runs."""
-    docs = _table(spark, d, "documents").select("lang", T.pieces(T.normalize("text")).alias("words"))
+    """Token counts per language by a plan without Python. Accents and case, which change no boundary, wait for the distinct words."""
+    docs = _table(spark, d, "documents").select("lang", T.pieces(T.normalize("text", lower=False, accents=False)).alias("words"))
     v = vocabulary()
-    return token_counts(spark, docs, "words", v, v.unk_id, ["lang"])
+    return token_counts(spark, docs, "words", v, v.unk_id, ["lang"], lambda w: T.lowercase(T.strip_accents(w)))
 
 
 query("wordpiece_token_counts", wordpiece_token_counts, _with(_content_ctes("SELECT doc_id AS k, text FROM documents"), """
