@@ -148,12 +148,16 @@ def _template(p: dict, key: str, vocab: dict[str, int]) -> tuple[Part, ...]:
     return tuple(parts)
 
 
+def _one_of(x: object, known: dict) -> bool:
+    return (x is None or isinstance(x, str)) and x in known
+
+
 def _truncation(j: dict) -> Truncation | None:
     t = _object(j, "truncation")
     if t is None:
         return None
     _need((t.get("stride") or 0) == 0, "truncation with a stride is not supported")
-    _need(_int(t.get("max_length"), 0, 1 << 62) and t.get("direction") in _DIRECTION and t.get("strategy") in _STRATEGY, "bad truncation")
+    _need(_int(t.get("max_length"), 0, 1 << 62) and _one_of(t.get("direction"), _DIRECTION) and _one_of(t.get("strategy"), _STRATEGY), "bad truncation")
     return Truncation(t["max_length"], _DIRECTION[t.get("direction")], _STRATEGY[t["strategy"]])
 
 
@@ -165,5 +169,5 @@ def _padding(j: dict) -> Padding | None:
     fixed = isinstance(s, dict) and len(s) == 1 and _int(s.get("Fixed"), 0, 1 << 62)
     _need(s == "BatchLongest" or fixed, "unsupported padding strategy")
     multiple = p.get("pad_to_multiple_of")
-    _need(p.get("direction") in _DIRECTION and _int(p.get("pad_id")) and isinstance(p.get("pad_token"), str) and _int(p.get("pad_type_id"), 0, 255) and (multiple is None or _int(multiple, 1, 1 << 62)), "bad padding")
+    _need(_one_of(p.get("direction"), _DIRECTION) and _int(p.get("pad_id")) and isinstance(p.get("pad_token"), str) and _int(p.get("pad_type_id"), 0, 255) and (multiple is None or _int(multiple, 1, 1 << 62)), "bad padding")
     return Padding(s["Fixed"] if fixed else None, multiple, _DIRECTION[p.get("direction")], p["pad_id"], p["pad_token"], p["pad_type_id"])

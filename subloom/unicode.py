@@ -28,8 +28,11 @@ def is_white(c: str) -> bool:
 
 
 def is_word(c: str) -> bool:
-    """A character that a single-word token must not touch: alphabetic, mark, digit, connector or joiner."""
-    return _WORD.match(c) is not None
+    """A character that a single-word token must not touch: alphabetic, mark, digit, connector or joiner.
+
+    As far as Python's Unicode assigns it: the pattern's tables may be of a later version.
+    """
+    return _WORD.match(c) is not None and unicodedata.category(c) != "Cn"
 
 
 @functools.lru_cache(maxsize=1 << 16)
