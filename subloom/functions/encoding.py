@@ -78,7 +78,7 @@ def _cut_array(a: Column, n: Column, direction: str) -> Column:
 def truncate(enc: C, max_length: int | Column, direction: str = RIGHT) -> Column:
     """A finished encoding (or a content) cut to max_length tokens; special tokens may go too."""
     x, n = _c(enc), max_length if isinstance(max_length, Column) else F.lit(max_length)
-    return F.when(F.size(x["ids"]) <= n, x).otherwise(_struct(lambda k: _cut_array(x[k], n, direction)))
+    return F.when(x.isNull() | (F.size(x["ids"]) <= n), x).otherwise(_struct(lambda k: _cut_array(x[k], n, direction)))
 
 
 def truncate_content(content: C, n: Column, direction: str = RIGHT) -> Column:

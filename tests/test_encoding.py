@@ -1,23 +1,30 @@
 """Encodings as columns: templates, truncation, padding, decoding, alignment, merging, streaming and SQL."""
 
 import itertools
+import random
 import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
-from subloom.config import AddedToken, Normalizer
+from subloom.config import Normalizer
 from subloom.functions import encoding as E
 from subloom.functions import sql as sql_functions
 from subloom.functions import text as T
 from subloom.operators.kernel import normalize
 from subloom.operators.merge import merge_groups
-from subloom.plans.lattice import word_pieces
+from subloom.plans.lattice import token_counts, walked, word_pieces
 from subloom.sources.vocabulary import Vocabulary
 from subloom.streaming.encode import encode_batches, encode_stream, read_texts
 from subloom.tokenizer import WordPieceTokenizer
 
-LINES = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "hello", "world", ",", "cafe", "a", "##b", "😀"]
+LINES = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", *"nomei;", *("##" + x for x in "nome"), "mono", "##non", "##;", "omen", "##i"]
+FIELDS = ("tokens", "ids", "type_ids", "attention_mask", "special_tokens_mask", "offsets", "word_ids", "sequence_ids")
+
+
+def texts(seed, n=24):
+    rng = random.Random(seed)
+    return [None, "", *("".join(rng.choice("nomeii; é?") for _ in range(rng.randrange(1, 18))) for _ in range(n))]
 
 
 @pytest.fixture(scope="module")
@@ -27,42 +34,73 @@ def t():
 
 @pytest.fixture(scope="module")
 def df(spark):
-    return spark.createDataFrame([(1, "Hello, world ab", "a hello", ["hello", "", "ab"]), (2, "", "world", []), (3, None, "x", None)], "k long, t string, u string, w array<string>")
+    rows = [(k, a, b, None if a is None else a.split(" ")) for k, (a, b) in enumerate(zip(texts(1), reversed(texts(2)), strict=True))]
+    return spark.createDataFrame(rows, "k long, t string, u string, w array<string>")
+
+
+# the slow side: encodings as lists of (token, id, type, attention, special, (start, end), word, sequence)
+
+
+def special(t, token, type_id):
+    return (token, t.vocab.special_id(token), type_id, 1, 1, (0, 0), None, None)
+
+
+def content(c, type_id=0, sequence=0):
+    return [(tok, i, type_id, 1, 0, (a, b), w, sequence) for tok, i, a, b, w in zip(*c, strict=True)]
+
+
+def slow_single(t, c):
+    return [special(t, "[CLS]", 0), *content(c), special(t, "[SEP]", 0)]
+
+
+def slow_pair(t, c, d):
+    return [*slow_single(t, c), *content(d, 1, 1), special(t, "[SEP]", 1)]
+
+
+def cut(c, n, direction="right"):
+    return tuple(x[:n] if direction == "right" else x[max(0, len(x) - n) :] for x in c)
+
+
+def padded(x, n, direction="right"):
+    fill = [("[PAD]", 0, 0, 0, 1, (0, 0), None, None)] * max(0, n - len(x))
+    return fill + x if direction == "left" else x + fill
 
 
-def one(df, col, k=1):
-    return {r["k"]: r[col] for r in df.select("k", col).collect()}[k]
+def seen(df, col="encoding", key="k"):
+    out = {}
+    for r in df.select(key, col).collect():
+        e = r[col]
+        out[r[key]] = None if e is None else [tuple(tuple(v) if f == "offsets" else v for f, v in zip(FIELDS, x, strict=True)) for x in zip(*(e[f] for f in FIELDS), strict=True)]
+    return out
 
 
-def test_single_and_null(t, df):
-    e = t.encode(df, "t")
-    x = one(e, "encoding")
-    assert x["tokens"] == ["[CLS]", "hello", ",", "world", "a", "##b", "[SEP]"] and x["ids"] == [2, 5, 7, 6, 9, 10, 3]
-    assert x["word_ids"] == [None, 0, 1, 2, 3, 3, None] and x["sequence_ids"] == [None, 0, 0, 0, 0, 0, None] and x["special_tokens_mask"] == [1, 0, 0, 0, 0, 0, 1]
-    assert one(e, "encoding", 3) is None and one(e, "encoding", 2)["tokens"] == ["[CLS]", "[SEP]"]
-    assert e.schema["encoding"].dataType.simpleString() == E.SCHEMA
+def inputs(df):
+    return {r.k: r for r in df.collect()}
 
 
-def test_pair_and_pretokenized(t, df):
-    x = one(t.encode_pair(df, "t", "u"), "encoding")
-    assert x["type_ids"] == [0] * 7 + [1] * 3 and x["sequence_ids"][7:9] == [1, 1]
-    x = one(t.encode_pretokenized(df, "w"), "encoding")
-    assert x["word_ids"] == [None, 0, 2, 2, None]
-    assert one(t.encode_pretokenized_pair(df, "w", "w"), "encoding")["word_ids"] == [None, 0, 2, 2, None, 0, 2, 2, None]
+def test_singles_pairs_and_words(t, df):
+    k, rows = t.kernel(), inputs(df)
+    assert seen(t.encode(df, "t")) == {i: None if r.t is None else slow_single(t, k.content(r.t)) for i, r in rows.items()}
+    assert seen(t.encode(df, "t", add_special_tokens=False)) == {i: None if r.t is None else content(k.content(r.t)) for i, r in rows.items()}
+    assert seen(t.encode_pair(df, "t", "u")) == {i: None if r.t is None or r.u is None else slow_pair(t, k.content(r.t), k.content(r.u)) for i, r in rows.items()}
+    assert seen(t.encode_pretokenized(df, "w")) == {i: None if r.w is None else slow_single(t, k.words_content(r.w)) for i, r in rows.items()}
+    assert seen(t.encode_pretokenized_pair(df, "w", "w")) == {i: None if r.w is None else slow_pair(t, k.words_content(r.w), k.words_content(r.w)) for i, r in rows.items()}
+    assert t.encode(df, "t").schema["encoding"].dataType.simpleString() == E.SCHEMA
 
 
 def test_limits_that_cannot_hold_the_special_tokens_fail_before_any_row(t, df):
-    with pytest.raises(ValueError):
-        t.with_truncation(1).encode(df, "t")
-    with pytest.raises(ValueError):
-        t.encode_batch(df, "t", num_workers=0)
-    assert one(t.with_truncation(2).encode(df, "t"), "encoding")["tokens"] == ["[CLS]", "[SEP]"]
+    for f in (lambda: t.with_truncation(1).encode(df, "t"), lambda: t.with_truncation(2).encode_pair(df, "t", "u"), lambda: t.encode_batch(df, "t", num_workers=0)):
+        with pytest.raises(ValueError):
+            f()
 
 
-def test_truncation_keeps_the_asked_end(t, df):
-    assert one(t.with_truncation(4).encode(df, "t"), "encoding")["tokens"] == ["[CLS]", "hello", ",", "[SEP]"]
-    x = one(t.with_truncation(4, "left", "do_not_truncate").encode(df, "t"), "encoding")
-    assert x["tokens"] == ["[CLS]", "a", "##b", "[SEP]"] and x["word_ids"] == [None, 3, 3, None]
+@pytest.mark.parametrize(("n", "direction"), [(2, "right"), (5, "right"), (5, "left"), (30, "left")])
+def test_truncation_keeps_the_asked_end(t, df, n, direction):
+    k, rows = t.kernel(), inputs(df)
+    want = {i: None if r.t is None else slow_single(t, cut(k.content(r.t), n - 2, direction)) for i, r in rows.items()}
+    assert seen(t.with_truncation(n, direction).encode(df, "t")) == want
+    e = seen(t.encode(df, "t").withColumn("encoding", E.truncate("encoding", n, direction)))
+    assert e == {i: None if r.t is None else (slow_single(t, k.content(r.t))[:n] if direction == "right" else slow_single(t, k.content(r.t))[-n:]) for i, r in rows.items()}
 
 
 def iterative(a, b, avail):
@@ -85,67 +123,130 @@ def test_longest_first_equals_taking_one_token_at_a_time(spark):
         assert sorted((r.na, r.nb)) == sorted(iterative(r.a, r.b, r.m))
 
 
-def test_only_one_sequence_gives_way(t, df):
-    x = one(t.encode_pair(df, "t", "u", max_length=8, strategy="only_first"), "encoding")
-    assert x["tokens"] == ["[CLS]", "hello", ",", "world", "[SEP]", "a", "hello", "[SEP]"]
-    with pytest.raises(Exception, match="too short"):
-        t.encode_pair(df, "t", "u", max_length=5, strategy="only_second").collect()
-    assert one(t.encode_pair(df, "t", "u", max_length=3, strategy="only_second"), "encoding")["tokens"] == ["[CLS]", "[SEP]", "[SEP]"]
-
-
-def test_padding(t, df):
-    x = one(t.with_padding(9, direction="left").encode(df, "t"), "encoding")
-    assert x["tokens"][:2] == ["[PAD]"] * 2 and x["attention_mask"][:3] == [0, 0, 1] and x["special_tokens_mask"][:2] == [1, 1] and x["word_ids"][0] is None
-    assert len(one(t.with_padding(3, 4).encode(df, "t"), "encoding")["ids"]) == 8
-    assert len(one(t.with_padding(multiple=4).encode(df, "t"), "encoding", 2)["ids"]) == 4
-    b = t.with_padding(multiple=2).encode_batch(df, "t")
-    assert len(one(b, "encoding")["ids"]) == 8 == len(one(b, "encoding", 2)["ids"]) and one(b, "encoding", 3) is None
-    by = t.with_padding().encode_batch(df.withColumn("g", F.col("k").cast("string")), "t", "g")
-    assert len(one(by, "encoding", 2)["ids"]) == 2
-
-
-def test_decoding(t, df):
-    e = t.encode(df, "t")
-    assert one(e.select("k", t.decode("encoding.ids").alias("x")), "x") == "hello , world ab"
-    assert one(e.select("k", t.decode("encoding.ids", False).alias("x")), "x").startswith("[CLS] hello")
-    ids = F.lit([5, 999, -1, 10]).cast("array<int>")
-    got = df.select("k", t.ids_to_tokens(ids).alias("n"), t.decode(ids).alias("d"), t.tokens_to_ids(F.lit(["hello", "zz"])).alias("i"))
-    assert one(got, "n") == ["hello", "[UNK]", "[UNK]", "##b"] and one(got, "d") == "hellob" and one(got, "i") == [5, 1]
-    sparse = WordPieceTokenizer(Vocabulary.from_map({"[UNK]": 0, "x": 2_000_000_000}))
-    assert one(df.select("k", sparse.ids_to_tokens(F.lit([2_000_000_000, 7])).alias("n")), "n") == ["x", "[UNK]"]
-
-
-def test_special_added_tokens_are_left_out_by_id(t, df):
-    s, _ = t.add_tokens([AddedToken("CAFÉ", normalized=True, special=True)])
-    i = s.vocab.token_to_id("CAFÉ")
-    got = df.select("k", s.decode(F.array(F.lit(i))).alias("a"), s.decode(F.array(F.lit(i)), False).alias("b"))
-    assert one(got, "a") == "" and one(got, "b") == "cafe"
-
-
-def test_alignment(t, df):
-    e = t.encode_pretokenized(df, "w")
-    c = {
-        "a": E.char_to_token("encoding", 0), "b": E.char_to_token("encoding", 0, word=2), "c": E.char_to_word("encoding", 1, word=2), "d": E.char_to_token("encoding", -1), "e": E.word_to_tokens("encoding", 2), "f": E.word_to_chars("encoding", 2),
-        "g": E.token_to_word("encoding", -1), "h": E.token_to_chars("encoding", 0), "i": E.token_to_sequence("encoding", 3), "j": E.n_sequences("encoding"), "l": E.word_to_tokens("encoding", 99), "m": E.label_tokens("encoding", F.lit([7, 8, 9])),
-    }
-    r = e.select("k", *[v.alias(n) for n, v in c.items()]).where("k = 1").first()
-    assert (r.a, r.b, r.c, r.d, tuple(r.e), tuple(r.f)) == (1, 2, 2, None, (2, 4), (0, 2))
-    assert (r.g, r.h, r.i, r.j, r.l, r.m) == (None, None, 0, 1, None, [-100, 7, 9, -100, -100])
-
-
-def test_merge(t, df):
-    m = merge_groups(t.encode(df.where("k < 3").withColumn("g", F.lit(1)), "t", add_special_tokens=False).union(t.encode(df.where("k = 1").withColumn("k", F.lit(9)).withColumn("g", F.lit(1)), "t", add_special_tokens=False)), ["g"], "k", "encoding")
-    x = m.first()["encoding"]
-    assert x["word_ids"] == [0, 1, 2, 3, 3, 5, 6, 7, 8, 8] and x["offsets"][5]["start"] == 15
+@pytest.mark.parametrize("direction", ["right", "left"])
+def test_only_one_sequence_gives_way(t, df, direction):
+    k = t.kernel()
+    some = df.where("t is not null and u is not null")
+    rows, lim = inputs(some), 12
+    sizes = {i: (len(k.content(r.t)[0]), len(k.content(r.u)[0])) for i, r in rows.items()}
+    for strategy, other in (("only_first", 1), ("only_second", 0)):
+        fit = [i for i, n in sizes.items() if sum(n) <= lim - 3 or n[other] < lim - 3]
+        got = seen(t.with_truncation(lim, direction, strategy).encode_pair(some.where(F.col("k").isin(fit)), "t", "u"))
+        want = {}
+        for i in fit:
+            c = [k.content(rows[i].t), k.content(rows[i].u)]
+            if sum(sizes[i]) > lim - 3:
+                c[1 - other] = cut(c[1 - other], lim - 3 - sizes[i][other], direction)
+            want[i] = slow_pair(t, *c)
+        assert got == want and any(sum(sizes[i]) > lim - 3 for i in fit)
+        over = [i for i, n in sizes.items() if n[other] >= lim - 3 and sum(n) > lim - 3]
+        assert over
+        with pytest.raises(Exception, match="too short"):
+            t.with_truncation(lim, direction, strategy).encode_pair(some.where(F.col("k").isin(over)), "t", "u").collect()
+    none = seen(t.encode_pair(some, "t", "u", max_length=3))
+    assert all(v == [special(t, "[CLS]", 0), special(t, "[SEP]", 0), special(t, "[SEP]", 1)] for v in none.values())
+
+
+@pytest.mark.parametrize(("length", "multiple", "direction"), [(9, None, "left"), (9, None, "right"), (7, 4, "left"), (None, 8, "right")])
+def test_padding_to_a_length(t, df, length, multiple, direction):
+    rows = seen(t.encode(df, "t"))
+    top = lambda n: -(-max(n, length or 0) // (multiple or 1)) * (multiple or 1)
+    got = seen(t.with_padding(length, multiple, direction).encode(df, "t"))
+    assert got == {i: None if x is None else padded(x, top(len(x)), direction) for i, x in rows.items()}
+
+
+def test_padding_to_the_longest_of_a_batch(t, df):
+    d = df.withColumn("g", F.col("k") % 3)
+    rows = seen(t.encode(d, "t"))
+    most = {g: max(len(x) for i, x in rows.items() if i % 3 == g and x is not None) for g in range(3)}
+    assert seen(t.with_padding().encode_batch(d, "t", "g")) == {i: None if x is None else padded(x, most[i % 3]) for i, x in rows.items()}
+    whole = -(-max(most.values()) // 8) * 8
+    assert seen(t.with_padding(multiple=8, direction="left").encode_batch(d, "t", num_workers=3)) == {i: None if x is None else padded(x, whole, "left") for i, x in rows.items()}
+    pairs = seen(t.encode_pair(d, "t", "u"))
+    both = t.with_padding().encode_pair_batch(d, "t", "u", "g", pretokenized=False, num_workers=2)
+    most = {g: max(len(x) for i, x in pairs.items() if i % 3 == g and x is not None) for g in range(3)}
+    assert seen(both) == {i: None if x is None else padded(x, most[i % 3]) for i, x in pairs.items()}
+    words = seen(t.encode_pretokenized_pair(d, "w", "w"))
+    top = max(len(x) for x in words.values() if x is not None)
+    got = seen(t.with_padding().encode_pair_batch(d, "w", "w", pretokenized=True, num_workers=2))
+    assert got == {i: None if x is None else padded(x, top) for i, x in words.items()}
+
+
+def slow_decoded(names):
+    return "".join(n[2:] if n.startswith("##") else (" " if i else "") + n for i, n in enumerate(names))
+
+
+def test_decoding_and_names(t, df, spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.randrange(-2, len(LINES) + 3) for _ in range(rng.randrange(9))]) for i in range(40)]
+    d = spark.createDataFrame(rows, "k long, ids array<int>")
+    got = d.select("k", t.ids_to_tokens("ids").alias("n"), t.decode("ids").alias("a"), t.decode("ids", False).alias("b"), t.tokens_to_ids(t.ids_to_tokens("ids")).alias("i")).collect()
+    for (k, ids), r in zip(rows, sorted(got, key=lambda r: r.k), strict=True):
+        names = [LINES[i] if 0 <= i < len(LINES) else "[UNK]" for i in ids]
+        assert r.n == names and r.i == [LINES.index(x) for x in names]
+        assert r.a == slow_decoded([x for x in names if x[0] != "["]) and r.b == slow_decoded(names), ids
+    sparse = WordPieceTokenizer(Vocabulary.from_map({"[UNK]": 3, "omen": 1_999_999_999}))
+    assert spark.range(1).select(sparse.ids_to_tokens(F.lit([1_999_999_999, 4])).alias("n")).first().n == ["omen", "[UNK]"]
+
+
+def test_added_special_tokens_are_left_out_when_decoding(t, spark):
+    s, _ = t.add_special_tokens(["<omen>"])
+    i = s.vocab.token_to_id("<omen>")
+    r = spark.range(1).select(s.decode(F.lit([i, 5]).cast("array<int>")).alias("a"), s.decode(F.lit([i, 5]).cast("array<int>"), False).alias("b")).first()
+    assert (r.a, r.b) == ("n", "<omen> n")
+
+
+def test_alignment_answers_every_position(t, df):
+    """Every lookup at every position, against a search through the encoding."""
+    some = df.where("w is not null")
+    e = t.encode_pretokenized_pair(some, "w", "w")
+    asked = range(-1, 8)
+    one = lambda i: F.struct(
+        E.token_to_word("encoding", i).alias("word"), E.token_to_chars("encoding", i).alias("chars"), E.token_to_sequence("encoding", i).alias("seq"),
+        E.word_to_tokens("encoding", i).alias("tokens"), E.word_to_chars("encoding", i).alias("span"), E.char_to_token("encoding", i, word=2).alias("at"), E.char_to_word("encoding", i, word=2).alias("at_word"),
+    )
+    labels = E.label_tokens("encoding", F.transform("w", lambda x, i: 10 + i)).alias("labels")
+    got = {r.k: r for r in e.select("k", labels, E.n_sequences("encoding").alias("n"), *[one(i).alias(f"i{i}") for i in asked]).collect()}
+    for k, x in seen(e).items():
+        assert got[k].n == max([y[7] + 1 for y in x if y[7] is not None], default=0)
+        assert got[k].labels == [-100 if y[6] is None or y[6] == z[6] else 10 + y[6] for y, z in zip(x, [special(t, "[CLS]", 0), *x], strict=False)]
+        for i in asked:
+            g, y = got[k][f"i{i}"], x[i] if 0 <= i < len(x) else None
+            own = y is not None and y[4] == 0
+            assert (g.word, g.seq, tuple(g.chars) if g.chars else None) == ((y[6], y[7], y[5]) if own else (None, None, None))
+            mine = [j for j, z in enumerate(x) if z[6] == i and z[7] == 0]
+            assert (tuple(g.tokens) if g.tokens else None) == ((mine[0], mine[-1] + 1) if mine else None)
+            assert (tuple(g.span) if g.span else None) == ((x[mine[0]][5][0], x[mine[-1]][5][1]) if mine else None)
+            hit = [j for j, z in enumerate(x) if z[6] == 2 and z[7] == 0 and z[5][0] <= i < z[5][1]]
+            assert (g.at, g.at_word) == ((hit[0], 2) if hit else (None, None))
+
+
+def test_merging_shifts_spans_and_words(t, df):
+    some = df.where("t is not null").withColumn("g", F.col("k") % 2)
+    x = seen(t.encode(some, "t"))
+    got = seen(merge_groups(t.encode(some, "t"), ["g"], "k", "encoding"), key="g")
+    for g in range(2):
+        want, chars, words = [], 0, 0
+        for k in sorted(k for k in x if k % 2 == g):
+            want += [(*y[:5], (y[5][0] + chars, y[5][1] + chars) if y[5] != (0, 0) else (0, 0), None if y[6] is None else y[6] + words, y[7]) for y in x[k]]
+            chars += max(y[5][1] for y in x[k])
+            words += max([y[6] for y in x[k] if y[6] is not None], default=0) + 1
+        assert got[g] == want
     assert t.encode(df, "t").select(E.length(E.empty())).first()[0] == 0
 
 
-def test_lattice_equals_the_kernel(spark, t):
-    words = ["".join(w) for n in range(1, 6) for w in itertools.product("abh", repeat=n)] + ["hello", "helloab", "cafe", "x"]
-    v = Vocabulary.from_tokens([*LINES, "ab", "##bh", "h", "##a"])
+def test_lattice_and_fold_equal_the_kernel(spark):
+    words = ["".join(w) for n in range(1, 6) for w in itertools.product("moe", repeat=n)] + ["x", "mononon", "o'n", "\\"]
+    v = Vocabulary.from_tokens([*LINES, "mo", "##oe", "##mo", "'", "##'"])
     k = WordPieceTokenizer(v).kernel()
-    got = {r.word: r.ids for r in word_pieces(spark, spark.createDataFrame([(w,) for w in words], "word string"), v, 1).collect()}
-    assert got == {w: [p[1] for p in k.word(w)] for w in words}
+    d = spark.createDataFrame([(w,) for w in words], "word string")
+    want = {w: [p[1] for p in k.word(w)] for w in words}
+    assert {r.word: r.ids for r in word_pieces(spark, d, v, 1).collect()} == want
+    found = {r.word: r.found for r in d.select("word", walked("word", v).alias("found")).collect()}
+    assert {w: [v.token_to_id(("##" if i else "") + p) for i, p in enumerate(x)] if x else [1] for w, x in found.items()} == want
+    docs = spark.createDataFrame([(i % 2, words[i : i + 40]) for i in range(0, len(words), 20)], "g int, w array<string>")
+    counts = [sorted(token_counts(spark, docs, "w", v, 1, ["g"], fold_tokens=n).collect()) for n in (0, 10_000)]
+    assert counts[0] == counts[1] and sum(r.n_words for r in counts[0]) == sum(len(words[i : i + 40]) for i in range(0, len(words), 20))
 
 
 def test_native_text_functions_equal_the_kernel(spark):
@@ -163,8 +264,12 @@ def test_results_do_not_depend_on_partitions(t, spark, sf):
 def test_sql(t, spark, df):
     sql_functions.register(spark, t)
     df.createOrReplaceTempView("texts")
-    assert spark.sql("SELECT wp_count(t), wp_ids(t) FROM texts WHERE k = 1").first()[:] == (5, [5, 7, 6, 9, 10])
-    assert spark.sql("SELECT count(*) FROM texts, LATERAL wp_tokens(texts.t)").first()[0] == 5
+    k = t.kernel()
+    got = {r.k: r for r in spark.sql("SELECT k, wp_count(t) AS n, wp_ids(t) AS ids FROM texts").collect()}
+    rows = inputs(df)
+    assert all((got[i].n, got[i].ids) == ((None, None) if r.t is None else (len(k.ids(r.t)), k.ids(r.t))) for i, r in rows.items())
+    flat = [tuple(r) for r in spark.sql("SELECT k, x.* FROM texts, LATERAL wp_tokens(texts.t) x").collect()]
+    assert sorted(flat) == sorted((i, j, *row) for i, r in rows.items() if r.t is not None for j, row in enumerate(zip(*k.content(r.t), strict=True)))
 
 
 def test_streams(t, spark, sf, tmp_path):
