@@ -84,7 +84,7 @@ def held(name: str, make: Callable[[], object] = lambda: None):
     return _HELD[name]
 
 
-FILTER_BITS = 25  # 4 MB, whatever the number of keys
+FILTER_BITS = 24  # 2 MB, whatever the number of keys
 
 
 def _places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -131,16 +131,27 @@ def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> Callable[[Column], C
     return maybe
 
 
-def _told_apart(docs: DataFrame, keys: DataFrame, at: dict[str, Column], how: str) -> tuple[DataFrame, DataFrame]:
-    """(rows of docs whose key is certainly not in keys, the others after a join of the kind how with keys)."""
-    keys = written(keys.select(*at).distinct(), "keys")
+def _told_apart(docs: DataFrame, keys: DataFrame, at: dict[str, Column], how: str, more: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs whose key is certainly not in keys, the others after a join of the kind how with keys).
+
+    more names columns of keys, one row a key, that come along; null in the first table.
+    """
+    more = more or []
+    keys = written(keys.select(*at, *more).distinct(), "keys")
     maybe = key_filter(keys.select(F.xxhash64(*at)))
     own = {n: f"_subloom_{n}" for n in at}
     d = docs.withColumns({own[n]: c for n, c in at.items()})
     test, names = maybe(F.xxhash64(*own.values())), [F.col(f"`{c}`") for c in docs.columns]
     some = d.where(test)
     same = functools.reduce(operator.and_, [some[own[n]].eqNullSafe(keys[n]) for n in at])
-    return d.where(~test).select(*names), some.join(keys, same, how).select(*names)
+    none = [F.lit(None).cast(keys.schema[m].dataType).alias(m) for m in more]
+    return d.where(~test).select(*names, *none), some.join(keys, same, how).select(*[some[c] for c in docs.columns], *[keys[m] for m in more])
+
+
+def beside(docs: DataFrame, keys: DataFrame, more: list[str], **at: Column) -> DataFrame:
+    """Every row of docs with the columns more of the row of keys that has its key; null where none has."""
+    clear, rest = _told_apart(docs, keys, at, "left", more)
+    return clear.unionAll(rest)
 
 
 def without(docs: DataFrame, keys: DataFrame, **at: Column) -> DataFrame:

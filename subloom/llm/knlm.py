@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subloom.llm.common import small, table, written
+from subloom.llm.common import held, only, small, table, written
 
 ORDER = 5  # symbols are bytes, so an n-gram of up to 7 fits a long without any hashing
 _START = 0  # pads the beginning of a text
@@ -35,21 +36,22 @@ def _distinct(docs: DataFrame, order: int, counted: bool) -> DataFrame:
     """(lang, k, c): distinct n-grams of each language with counts; blocks of text are pre-counted where they are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
+        held("knlm")
+        seen: dict[str, list[np.ndarray]] = {}
         size = 0
 
         def flush():
-            for lang, parts in held.items():
+            for lang, parts in seen.items():
                 k, c = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(c, pa.int64())], ["lang", "k", "c"])
-            held.clear()
+            seen.clear()
 
         for b in batches:
             for lang, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if raw := (t.as_py() or "").encode():
                     for at in range(0, len(raw), 4 << 20):  # a very long text in pieces; later ones keep their context
                         g = grams(raw[max(0, at - order + 1) : at + (4 << 20)], order)
-                        held.setdefault(lang, []).append(g if not at else g[order - 1 :])
+                        seen.setdefault(lang, []).append(g if not at else g[order - 1 :])
                     size += len(raw)
                 if size > 12 << 20:
                     yield from flush()
@@ -97,15 +99,16 @@ def kneser_ney(counts: DataFrame, wanted: DataFrame, order: int = ORDER) -> Data
 
 
 def perplexities(docs: DataFrame, logp: DataFrame, order: int = ORDER, shard_rows: int = 4_000_000) -> DataFrame:
-    """(row, id, lang, nll, n) sums of docs(row, id, lang, t) over all shards of the table logp.
+    """(id, lang, nll, n), one row per row of docs(id, lang, t): the sums over all n-grams of a text in the table logp.
 
-    A shard is the part of the table whose n-gram hash falls to it; there are as many shards as keep each under about
-    shard_rows n-grams, and each is shipped in turn as sorted arrays of 12 bytes an n-gram. Documents stay where
-    they are; every pass adds up what its shard knows, and only one narrow row a document and shard is shuffled.
+    The table is cut by a hash of the n-gram into shards of about shard_rows, whose number grows with the model. One shard
+    lives at a time: it is shipped as sorted arrays of 12 bytes an n-gram, every text adds up what the shard knows where it
+    is, the sums are written, and the shard is dropped. Sums meet by (id, language, XXH64 of the text), so no pass needs
+    row numbers that another agrees with; repeated rows have equal sums and come back as often as they stood.
     """
     spark = docs.sparkSession
-    total = logp.count()
-    shards = max(1, -(-total * 5 // (4 * shard_rows)))
+    shards = max(1, -(-logp.count() * 5 // (4 * shard_rows)))
+    d = docs.select("id", "lang", F.xxhash64("t").alias("x"), "t")
     passes = []
     for s in range(shards):
         part = logp if shards == 1 else logp.where(F.pmod(F.xxhash64("lang", "k"), F.lit(shards)) == s)
@@ -118,11 +121,13 @@ def perplexities(docs: DataFrame, logp: DataFrame, order: int = ORDER, shard_row
             tables[lang] = (k[at], v[at])
         del t
         model = spark.sparkContext.broadcast(tables)
+        del tables
 
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            held("knlm")
             for b in batches:
                 nll, n = [], []
-                for lang, t in zip(b.column(2).to_pylist(), b.column(3), strict=True):
+                for lang, t in zip(b.column(1).to_pylist(), b.column(3), strict=True):
                     raw, total = (t.as_py() or "").encode(), 0.0
                     keys, values = model.value.get(lang, (None, None))
                     for at in range(0, len(raw) if keys is not None else 0, 1 << 20):
@@ -134,15 +139,16 @@ def perplexities(docs: DataFrame, logp: DataFrame, order: int = ORDER, shard_row
                         total -= float(values[i[hit]].sum(dtype=np.float64))
                     nll.append(None if keys is None else total)
                     n.append(len(raw))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(nll, pa.float64()), pa.array(n, pa.int64())], ["row", "id", "lang", "nll", "n"])
+                cols = [b.column(0), b.column(1), b.column(2), pa.array(nll, pa.float64()), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "lang", "x", "nll", "n"])
 
-        passes.append(docs.mapInArrow(run, "row long, id long, lang string, nll double, n long"))
+        passes.append(written(d.mapInArrow(run, "id long, lang string, x long, nll double, n long"), "kn-pass"))
+        model.destroy()
     if shards == 1:
-        return passes[0]
-    out = passes[0]
-    for p in passes[1:]:
-        out = out.union(p)
-    return out.groupBy("row", "id", "lang").agg(F.sum("nll").alias("nll"), F.max("n").alias("n"))
+        return passes[0].select("id", "lang", "nll", "n")
+    sums = functools.reduce(DataFrame.unionAll, passes).groupBy("id", "lang", "x").agg(F.sum("nll").alias("nll"), F.max("n").alias("n"), F.count("*").alias("rows"))
+    times = (F.col("rows") / shards).cast("int")
+    return sums.select("id", "lang", (F.col("nll") / times).alias("nll"), "n", F.explode(F.array_repeat(F.lit(0), times))).select("id", "lang", "nll", "n")
 
 
 #: Quantiles of held-out trusted perplexity to choose from: at most 5 % of the trusted documents are lost.
@@ -176,17 +182,16 @@ def kn_quality(
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("t"))
     ids = trusted.select(F.col("id").cast("long").alias("id")).where("id is not null").distinct()
-    held = F.pmod(F.xxhash64("id"), F.lit(folds)) == 0
-    # one plan whatever the number of ids: both sides are shuffled and merged, so nothing that grows is broadcast
-    good = d.join(ids.where(~held).hint("merge"), "id", "left_semi")
+    unseen = F.pmod(F.xxhash64("id"), F.lit(folds)) == 0
+    good = only(d, ids.where(~unseen), id=F.col("id"))
     counts = written(_distinct(good.select("lang", "t"), order, True), "kn-counts")
     wanted = written(_distinct(d.select("lang", "t"), order, False).select("lang", "k").join(small(counts.select("lang").distinct()), "lang", "left_semi"), "kn-wanted")
     logp = written(kneser_ney(counts, wanted, order), "kn-logp")
-    scored = written(perplexities(d.select(F.monotonically_increasing_id().alias("row"), "id", "lang", "t"), logp, order, shard_rows), "kn-scored")
+    scored = written(perplexities(d, logp, order, shard_rows), "kn-scored")
     scored = scored.withColumn("perplexity", F.when(F.col("n") > 0, F.exp(F.col("nll") / F.col("n"))))
-    cut = scored.join(ids.where(held), "id", "left_semi").groupBy("lang").agg((slack * F.percentile_approx("perplexity", quantile, 10000)).alias("threshold"))
+    cut = scored.join(ids.where(unseen), "id", "left_semi").groupBy("lang").agg((slack * F.percentile_approx("perplexity", quantile, 10000)).alias("threshold"))
     if rejected is not None:
-        cut = cut.join(small(chosen_cut(scored, ids.where(held), rejected)), "lang", "left").select("lang", F.coalesce("chosen", "threshold").alias("threshold"))
+        cut = cut.join(small(chosen_cut(scored, ids.where(unseen), rejected)), "lang", "left").select("lang", F.coalesce("chosen", "threshold").alias("threshold"))
     out = scored.join(small(cut), "lang", "left")
     kept = F.when(F.col("n") == 0, False).when(F.col("threshold").isNull(), True).otherwise(F.col("perplexity") <= F.col("threshold"))
     return out.select("id", "lang", F.col("n").alias("n_bytes"), "perplexity", "threshold", kept.alias("kept"))

@@ -17,6 +17,10 @@ from subloom.llm.common import held, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Stands for a SPACE that the text itself holds, so that it comes back as it was: a lone surrogate, which no text has.
+LITERAL_SPACE = "\udc81"
+
+
 class Vocabulary:
     """Pieces, scores and byte fallback of a model file; small and of fixed size, so it travels with the tasks."""
 
@@ -56,10 +60,9 @@ class Vocabulary:
         return cls(pieces, spelled, byte_ids, sp.unk_id())
 
     def ids_of_unknown(self, c: str) -> list[int]:
-        ids = [self.byte_ids[b] for b in c.encode()]
+        ids = [self.byte_ids[b] for b in (SPACE if c == LITERAL_SPACE else c).encode()]
         return [self.unk_id] if -1 in ids else ids
 
-
     def cut(self, text: str) -> list[str]:
         """The parts of a text (space marks in place) between cuts."""
         k = self.kind[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
@@ -100,7 +103,8 @@ def nbest(v: Vocabulary, part: str, n: int) -> list[tuple[float, list[int]]]:
     """The n best segmentations (score, ids), best first.
 
     Forward: the Viterbi score of every prefix. Backward: A* from the end, whose estimate of what is left is that
-    score. It is exact, so paths complete in order of their score and no path outside the n best is finished.
+    score. It is exact, so paths complete in order of their score and no path outside the n best is finished. Of equal
+    scores the one whose last pieces are longer comes first.
     """
     best, into = lattice(v, part)
     found: list[tuple[float, list[int]]] = []
@@ -124,7 +128,8 @@ def nbest(v: Vocabulary, part: str, n: int) -> list[tuple[float, list[int]]]:
 def best_and_gap(v: Vocabulary, part: str) -> tuple[float, list[int], float]:
     """The best score and ids, and how much worse the second best is (infinite if there is none).
 
-    A path that isn't the best has an edge that isn't on it; the best path through each edge is a prefix score, the
+    The best path is read off the forward scores, longer last pieces first: A*, whose estimate they are, would expand
+    the same path alone. A path that isn't the best has an edge that isn't on it; the best path through each edge is a prefix score, the
     edge and the best score of the rest, so one pass backward gives the second best.
     """
     best, into = lattice(v, part)
@@ -175,7 +180,7 @@ class Segments(dict):
         Parts are independent, so an alternative of the whole differs in parts whose second choice costs little: only
         the n - 1 with the smallest gaps can take part in the n best, and only they are searched by A*.
         """
-        parts = self.v.cut(SPACE + text.replace(" ", SPACE)) if text else []
+        parts = self.v.cut(SPACE + text.replace(SPACE, LITERAL_SPACE).replace(" ", SPACE)) if text else []
         if len(self) + len(parts) > self.limit and len(self):
             self.reset()
         ix = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
@@ -237,19 +242,24 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
 
 
 def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
-    """encoded with a column text: the text of its ids. Null ids give null; byte runs that are not UTF-8 give U+FFFD."""
+    """encoded with a column text, last: the text of its ids; a column text that it has goes. Null ids give null; byte runs
+    that are not UTF-8 give U+FFFD."""
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
-    names = encoded.columns
-    at = names.index(ids)
+    if ids != "text":
+        encoded = encoded.drop("text")
+    names = [c for c in encoded.columns if c != "text"]
+    at = encoded.columns.index(ids)
+    stay = [i for i, c in enumerate(encoded.columns) if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         for b in batches:
             col = b.column(at)
             text = [None if x is None else decode_ids(v, np.asarray(x, np.int32).tobytes()) for x in (y.values.to_numpy(zero_copy_only=False) if y.is_valid else None for y in col)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*names, "text"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in stay), pa.array(text, pa.string())], [*names, "text"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())]))
+    kept = [f for f in encoded.schema.fields if f.name != "text"]
+    return encoded.mapInArrow(run, T.StructType([*kept, T.StructField("text", T.StringType())]))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -283,8 +283,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = written(texts.join(each.select("u").distinct(), "u", "left_semi").select("u", "id", *key), "near-own")
     sets = only(d, own, id=F.col("id"), x=F.col("x")).mapInArrow(sets_of, "id long, x long, crc long, len long, n int, parts array<int>, s array<long>")
     # rows that repeat an id and a text come once; a text that another one's id and XXH64 let through is told apart by the rest of the key
-    sets = sets.join(own.select("u", *key), key).groupBy("u").agg(*[F.first(c).alias(c) for c in ("n", "parts", "s")])
-    sets = written(sets, "near-sets")
+    sets = sets.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("n", "parts", "s")])
+    sets = written(sets.join(own.select("u", *key), key).select("u", "n", "parts", "s"), "near-sets")
     edges = linked_pairs(pairs, sets, similarity)
     roots = connected_components(edges)
     more = linked_pairs(pairs_between(each, roots, sets, similarity), sets, similarity)

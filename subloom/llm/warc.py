@@ -28,7 +28,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from subloom.llm.common import scratch, table
+from subloom.llm.common import beside, scratch, table, written
 
 SCHEMA = (
     "record_id string, record_type string, target_uri string, date string, content_type string, payload_digest string, "
@@ -358,14 +358,16 @@ URN = "urn:page:"
 def archive_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", uri_col: str = "url", min_revisit_bytes: int = 1000) -> DataFrame:
     """The records to write, one per row of pages: equal payloads of min_revisit_bytes or more point to the largest id.
 
-    Payloads are equal if length and SHA-256 are. Null payloads are empty. Only digests that occur twice go into
-    the join, so it moves payloads only if that table is too large to broadcast. If one id has several rows,
-    the first record of that id is the response for them all only where the rows' payloads agree.
+    Payloads are equal if length and SHA-256 are. Keys alone are grouped and joined; the pages, payloads with them, stay where
+    they are, but for those that revisit another and what a filter of fixed size lets through beside them. If one id has several rows,
+    a revisit names that id, and the first response record of the id stands for them only where the rows' payloads agree.
     """
     p = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("target_uri"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "utf-8").alias("payload"))
     p = p.withColumn("n", F.octet_length("payload").cast("long")).withColumn("k", F.when(F.col("n") >= min_revisit_bytes, F.sha2("payload", 256)))
-    twice = p.where("k is not null").groupBy("k").agg(F.max("id").alias("to"), F.count("*").alias("c")).where("c > 1").select("k", "to")
-    p = p.join(twice, "k", "left").withColumn("again", F.coalesce(F.expr("id <> to"), F.lit(False)))
+    keys = written(p.where("k is not null and id is not null").select("id", "k"), "warc-keys")
+    twice = keys.groupBy("k").agg(F.max("id").alias("to"), F.count("*").alias("c")).where("c > 1").select("k", "to")
+    again = keys.join(twice, "k").where("id <> to").select("id", "k", "to")
+    p = beside(p, again, ["to"], id=F.col("id"), k=F.col("k")).withColumn("again", F.col("to").isNotNull())
     return p.select(
         F.concat(F.lit(URN), "id").alias("record_id"),
         F.when(F.col("again"), "revisit").otherwise("response").alias("record_type"),
