@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subloom.llm.common import held, only, small, table, written
+from subloom.llm.common import held, small, table, written
 
 ORDER = 5  # symbols are bytes, so an n-gram of up to 7 fits a long without any hashing
 _START = 0  # pads the beginning of a text
@@ -183,7 +183,8 @@ def kn_quality(
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("t"))
     ids = trusted.select(F.col("id").cast("long").alias("id")).where("id is not null").distinct()
     unseen = F.pmod(F.xxhash64("id"), F.lit(folds)) == 0
-    good = only(d, ids.where(~unseen), id=F.col("id"))
+    # one plan whatever the number of ids: both sides are shuffled and merged, so nothing that grows is broadcast
+    good = d.join(ids.where(~unseen).hint("merge"), "id", "left_semi")
     counts = written(_distinct(good.select("lang", "t"), order, True), "kn-counts")
     wanted = written(_distinct(d.select("lang", "t"), order, False).select("lang", "k").join(small(counts.select("lang").distinct()), "lang", "left_semi"), "kn-wanted")
     logp = written(kneser_ney(counts, wanted, order), "kn-logp")

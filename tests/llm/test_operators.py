@@ -33,6 +33,19 @@ def test_base_spans_use_ascii_letters_only():
     assert [k for _, k, _ in secrets.base_spans("API_KEY='abcdefgh'")] == [0]
 
 
+PLAIN_SECRETS = [
+    (0, r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
+    (1, r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), (2, r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "PassWd", "secret", "TOKEN", "api_key", "apikey", "AKIA", '"', "'", " ", ":", "=", "é", "\n", "0123456789abcdef", "fedcba98", "QWERTYUIOPASDFGH", "x", "abc.d", "-", "_"]), max_size=14).map("".join))
+def test_base_secrets_equal_the_plain_patterns(text):
+    want = sorted((m.start(), kind, m.end()) for kind, pattern, ok in PLAIN_SECRETS for m in re.finditer(pattern, text) if ok(m))
+    assert secrets.base_spans(text) == want
+
+
 def test_novel_values_after_an_equals_sign_and_long_ones():
     rng = random.Random(9)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -169,15 +182,15 @@ def test_shards_are_even_gapless_and_keep_groups_together(make):
 
 
 def test_shards_gather_groups_that_outnumber_the_rest(make):
-    for single, pairs in ((0, 240), (30, 90)):
+    for single, pairs, shards in ((0, 120, 24), (30, 90, 6)):
         rows = [(i, f"single {i}") for i in range(single)] + [(1000 + i, f"pair {i // 2}") for i in range(2 * pairs)]
-        got = sharding.balanced_shards(make(rows), 6).collect()
-        sizes, where = [0] * 6, {}
+        got = sharding.balanced_shards(make(rows), shards).collect()
+        sizes, where = [0] * shards, {}
         for r in got:
             sizes[r.shard] += 1
             where.setdefault((r.id - 1000) // 2 if r.id >= 1000 else -1 - r.id, set()).add(r.shard)
         assert sum(sizes) == len(rows) and max(sizes) - min(sizes) <= 1
-        assert sum(len(x) > 1 for x in where.values()) <= (0 if single else 3)  # without single rows, a shard of odd size splits one
+        assert sum(len(x) > 1 for x in where.values()) <= (0 if single else shards - 1)  # without single rows, at most one a border
 
 
 # pieces
@@ -196,6 +209,14 @@ def test_decoding_gives_the_text_back(make, edge, vocab):
     assert pieces.encode(make([])).count() == 0
 
 
+def test_space_marks_of_the_text_come_back(make):
+    rows = [(1, "a\u2581b \u2581 c"), (2, "\u2581"), (3, " \u2581 "), (4, None)]
+    got = pieces.encode(make(rows), n=2).select("id", F.get("best", F.lit(0))["ids"].alias("ids"), F.get("best", F.lit(1))["ids"].alias("ids2"), F.lit("old").alias("text"))
+    for c in ("ids", "ids2"):
+        back = pieces.decode(got, c)
+        assert back.columns == ["id", "ids", "ids2", "text"] and {r.id: r.text for r in back.collect() if r[c] is not None} == {i: t for i, t in rows if t is not None}
+
+
 def every(v, part):
     if not part:
         return [(0.0, [])]
@@ -378,6 +399,46 @@ def test_base_spans_and_redaction(make, edge, spark):
     assert out[40].id == "x" and pii.redact(make([])).count() == 0
 
 
+def plain_pii(text):
+    """The base spans by the patterns as they are stated."""
+    digits = lambda x: [int(c) for c in x if c in "0123456789"]
+    luhn = lambda d: sum(sum(divmod(2 * x, 10)) if i % 2 else x for i, x in enumerate(reversed(d))) % 10 == 0
+    kinds = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(y) <= 255 for y in x.split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda x: 14 <= len(digits(x)) <= 19 and luhn(digits(x))),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 10 <= len(digits(x)) <= 15),
+    ]
+    return sorted((m.start(), k, m.end()) for k, (pattern, ok) in enumerate(kinds) for m in re.finditer(pattern, text) if ok(m[0]))
+
+
+def test_base_personal_data_equals_the_plain_patterns(make):
+    rng = random.Random(7)
+    bits = ["a", "b.c", "@", "@d.ee", ".", "é", " ", "-", "+", "+49 ", "(0)", "12", "255.", "256.1.", "4111 1111 1111 1111", "4111111111111111", "10.0.0.1", "000.1.2.3", "x_%", "5500-0000-0000-0004", "\n", "😀", "7"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(1, 16)))) for i in range(600)]
+    rows += [(600, " and ".join(f"+{rng.randrange(10**11, 10**12)}, {rng.randrange(10**16)} 😀" for _ in range(300)))]
+    got = {r.id: ([(x.start, x.kind_no, x.end) for x in r.base], r.novel) for r in pii.pii_spans(make(rows)).collect()}
+    text = dict(rows)
+    assert {i: x for i, (x, _) in got.items()} == {i: plain_pii(t) for i, t in rows}
+    for i, (base, novel) in got.items():
+        assert all(n.end <= len(text[i]) and not any(a < n.end and n.start < b for a, _, b in base) for n in novel)
+    out = {r.doc_id: r.text for r in pii.redact(make(rows)).collect()}
+    names = [f"[{k.upper()}]" for k in (*pii.KINDS, "novel")]
+    for i, (base, novel) in got.items():
+        want, at = "", 0
+        for a, k, b in sorted([*base, *((n.start, 4, n.end) for n in novel)]):
+            if a >= at:
+                want += text[i][at:a] + names[k]
+            at = max(at, b)
+        assert out[i] == want + text[i][at:]
+
+
+def test_long_numbers_are_candidates_whole(spark):
+    d = spark.createDataFrame([(1, "total 1" + "2" * 59 + " x"), (2, "jane" * 30 + " (at) mail (dot) example (dot) co (dot) uk (dot) eu (dot) org")], "id long, t string")
+    got = {r.id: [(x.start, x.end) for x in r.c] for r in d.select("id", pii.candidates(F.col("t"), F.array().cast("array<struct<start:int,kind_no:int,end:int>>")).alias("c")).collect()}
+    assert got[1] == [(6, 66)] and got[2] == [(0, 120 + len(" (at) mail (dot) example (dot) co (dot) uk (dot) eu (dot) org"))]
+
+
 def test_boosted_trees_learn_and_match_their_expression(spark):
     rows = [(tuple(int(x) for x in np.random.default_rng(i).integers(0, 4, len(pii.FEATURES))), 0.0, 0.0) for i in range(60)]
     rows = [(x, float(x[0] > 1 and x[3] < 2), float(not (x[0] > 1 and x[3] < 2))) for x, _, _ in rows]
@@ -567,6 +628,30 @@ def test_rows_are_told_apart_in_place(make, spark):
     assert many.where(hit(F.col("k"))).count() == 5000
 
 
+def test_pipeline_stages_take_odd_rows_and_none(spark, sf, make, edge):
+    import corpus_pipeline as c
+
+    docs = make([*edge, (None, "words without an id that are told apart from all of the others here"), (13, None)]).withColumns({"u": F.lit(1), "x": F.lit(2), "n": F.lit(3)})
+    text = sorted((str(r.doc_id), str(r.text)) for r in docs.collect())
+    for name, f in c.STAGES:
+        out = f(spark, docs, sf)
+        rows = [r.asDict() for r in out.collect()]
+        if name == "pieces":
+            assert len(rows) == len(text) and sum(r["ids"] is None for r in rows) == 2
+            assert f(spark, docs.limit(0), sf).count() == 0
+            continue
+        assert out.columns == docs.columns, name
+        got = sorted((str(r["doc_id"]), str(r["text"])) for r in rows)
+        if name == "quality_rules":
+            assert got == [x for x in text if len(x[1].split()) >= 10 and x[1].split()[0] not in ("a", "é") and x[0] not in ("8", "9")] or set(got) <= set(text)
+            assert not any(len(t.split()) < 10 for _, t in got)
+        elif name == "simhash":  # rows of one id and text stay together; the smallest id of equal ones stays
+            assert got.count(("4", edge[3][1])) == 2 and ("5", edge[3][1]) not in got and ("2", "") not in got and ("13", "None") not in got and ("12", "a B c") not in got
+        else:
+            assert got == text, name  # nothing in them leaks or is personal
+        assert f(spark, docs.limit(0), sf).count() == 0
+
+
 def test_pipeline_stages_keep_the_columns(spark, sf):
     import corpus_pipeline as c
 
