@@ -214,7 +214,8 @@ def test_space_marks_of_the_text_come_back(make):
     got = pieces.encode(make(rows), n=2).select("id", F.get("best", F.lit(0))["ids"].alias("ids"), F.get("best", F.lit(1))["ids"].alias("ids2"), F.lit("old").alias("text"))
     for c in ("ids", "ids2"):
         back = pieces.decode(got, c)
-        assert back.columns == ["id", "ids", "ids2", "text"] and {r.id: r.text for r in back.collect() if r[c] is not None} == {i: t for i, t in rows if t is not None}
+        assert back.columns == ["id", "ids", "ids2", "text"] and all(r.text == dict(rows)[r.id] for r in back.collect() if r[c] is not None)
+        assert back.where(F.col(c).isNull()).count() == (1 if c == "ids" else 2)  # the lone mark has one segmentation
 
 
 def every(v, part):
