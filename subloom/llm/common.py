@@ -131,7 +131,9 @@ def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> Callable[[Column], C
     return maybe
 
 
-def _told_apart(docs: DataFrame, keys: DataFrame, at: dict[str, Column], how: str, more: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def _told_apart(
+    docs: DataFrame, keys: DataFrame, at: dict[str, Column], how: str, more: list[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(rows of docs whose key is certainly not in keys, the others after a join of the kind how with keys).
 
     more names columns of keys, one row a key, that come along; null in the first table.
@@ -145,7 +147,9 @@ def _told_apart(docs: DataFrame, keys: DataFrame, at: dict[str, Column], how: st
     some = d.where(test)
     same = functools.reduce(operator.and_, [some[own[n]].eqNullSafe(keys[n]) for n in at])
     none = [F.lit(None).cast(keys.schema[m].dataType).alias(m) for m in more]
-    return d.where(~test).select(*names, *none), some.join(keys, same, how).select(*[some[c] for c in docs.columns], *[keys[m] for m in more])
+    return d.where(~test).select(*names, *none), some.join(keys, same, how).select(
+        *[some[c] for c in docs.columns], *[keys[m] for m in more]
+    )
 
 
 def beside(docs: DataFrame, keys: DataFrame, more: list[str], **at: Column) -> DataFrame:
@@ -190,7 +194,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def mark(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    e = written(
+        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges",
+    )
     before = mark(e)
     while before[0]:
         new = written(round_of(e), "edges")

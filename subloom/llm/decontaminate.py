@@ -107,7 +107,9 @@ def _hashes(h: np.ndarray, literal: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def readings(lex: Lexicon, ix, starts, kind, first, n: int, exact: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+def readings(
+    lex: Lexicon, ix, starts, kind, first, n: int, exact: bool,
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
     """(window hashes, starts, kind) of a text's readings of n words; first are the hashes of the literal one.
 
     In the literal reading a word that begins a sentence is a literal; in the second, given where it differs, a capital
@@ -158,7 +160,10 @@ def _maybe(filter_: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
 _ROWS = "id long, at array<int>, n int, base long, h long, template string, slots array<string>"
 
 
-def windows(texts: DataFrame, n: int = WINDOW, keep: np.ndarray | None = None, bits: int = 0, short: tuple[int, ...] = (), exact: bool = False) -> DataFrame:
+def windows(
+    texts: DataFrame, n: int = WINDOW, keep: np.ndarray | None = None, bits: int = 0, short: tuple[int, ...] = (),
+    exact: bool = False,
+) -> DataFrame:
     """(id, at, n, base, h, template, slots) of the template windows of texts(id, t), in all readings.
 
     Without a filter the texts are items: n is the length of a window, n words or all of a shorter text, and base the
@@ -169,7 +174,10 @@ def windows(texts: DataFrame, n: int = WINDOW, keep: np.ndarray | None = None, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = held("decontaminate", Lexicon)
-        schema = pa.schema([("id", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.int32()), ("base", pa.int64()), ("h", pa.int64()), ("template", pa.string()), ("slots", pa.list_(pa.string()))])
+        schema = pa.schema([
+            ("id", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.int32()), ("base", pa.int64()),
+            ("h", pa.int64()), ("template", pa.string()), ("slots", pa.list_(pa.string())),
+        ])
         for b in batches:
             rows = []
             for id_, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -179,9 +187,13 @@ def windows(texts: DataFrame, n: int = WINDOW, keep: np.ndarray | None = None, b
                 for m in (min(n, len(ix)),) if keep is None else (n, *short):
                     if m > len(ix):
                         continue
-                    first = full if m == min(n, len(ix)) else _hashes(lex.hash[starts.astype(np.int8), ix], kind == LITERAL, m)
+                    first = full if m == min(n, len(ix)) else _hashes(
+                        lex.hash[starts.astype(np.int8), ix], kind == LITERAL, m,
+                    )
                     seen: dict[tuple, list[int]] = {}
-                    for h, s, k in readings(lex, ix, starts, kind, first, m, exact if keep is not None else not first.any()):
+                    for h, s, k in readings(
+                        lex, ix, starts, kind, first, m, exact if keep is not None else not first.any(),
+                    ):
                         some = h != 0
                         if keep is not None:
                             some &= _maybe(keep, h, bits)
@@ -193,12 +205,20 @@ def windows(texts: DataFrame, n: int = WINDOW, keep: np.ndarray | None = None, b
                                 seen[key].append(at)
                             else:
                                 seen[key] = [at]
-                                rows.append((id_, seen[key], m, int(base[at].astype(np.int64)), int(h[at].astype(np.int64)), what, slots))
+                                rows.append((
+                                    id_, seen[key], m, int(base[at].astype(np.int64)), int(h[at].astype(np.int64)),
+                                    what, slots,
+                                ))
                 if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)],
+                        schema=schema,
+                    )
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema,
+                )
 
     return texts.mapInArrow(run, _ROWS)
 
@@ -220,8 +240,13 @@ def leaks(
     and empty texts match nothing; null ids are kept as they are; repeated rows of an id count as one document;
     no items give no rows.
     """
-    it = written(windows(items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("t")), n), "items")
-    it = it.select(F.col("id").alias("item_id"), F.get("at", F.lit(0)).alias("item_at"), F.col("n").alias("len"), "base", "h", "template", F.col("slots").alias("item_slots"))
+    it = written(
+        windows(items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("t")), n), "items",
+    )
+    it = it.select(
+        F.col("id").alias("item_id"), F.get("at", F.lit(0)).alias("item_at"), F.col("n").alias("len"), "base", "h",
+        "template", F.col("slots").alias("item_slots"),
+    )
     spark = docs.sparkSession
     # the filter is built in parts of fixed size and or-ed: the driver sees no hashes
     bits = bloom_bits
@@ -238,9 +263,16 @@ def leaks(
     n_win = it.groupBy("item_id").agg(F.count_distinct("base").alias("n_windows"))
     short = tuple(r["len"] for r in it.where(F.col("len") < n).select("len").distinct().collect())  # at most n - 1
     exact = not it.where(F.col("template").startswith("= ")).isEmpty()
-    hit = windows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), n, f, bits, short, exact)
+    hit = windows(
+        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), n, f, bits, short, exact,
+    )
     hit = hit.select("id", "at", "h", "template", "slots").distinct()
-    met = written(hit.join(it, ["h", "template"]).select("id", "item_id", "base", "len", "slots", "item_slots", F.explode("at").alias("at"), "item_at"), "leaks")
+    met = written(
+        hit.join(it, ["h", "template"]).select(
+            "id", "item_id", "base", "len", "slots", "item_slots", F.explode("at").alias("at"), "item_at",
+        ),
+        "leaks",
+    )
     by = W.partitionBy("id", "item_id").orderBy("diag")
     met = met.withColumn("diag", F.col("at") - F.col("item_at"))
     met = met.withColumn("new", (F.col("diag") - F.lag("diag").over(by) > F.col("len") / 2).cast("int"))
@@ -250,11 +282,18 @@ def leaks(
     share = met.groupBy(*key).agg(F.count_distinct("base").alias("n_shared"))
     pair = met.select(*key, F.explode(F.arrays_zip("item_slots", "slots")).alias("x")).select(*key, F.col("x.item_slots").alias("a"), F.col("x.slots").alias("b")).distinct()
     other = (F.col("occ") < 0) | (F.col("a") != F.col("b"))
-    fits = pair.groupBy(*key).agg(F.count_distinct(F.when(other, F.col("a"))).alias("na"), F.count_distinct(F.when(other, F.col("b"))).alias("nb"), F.count_if(~other).alias("same"), F.count("*").alias("np"))
+    fits = pair.groupBy(*key).agg(
+        F.count_distinct(F.when(other, F.col("a"))).alias("na"),
+        F.count_distinct(F.when(other, F.col("b"))).alias("nb"), F.count_if(~other).alias("same"),
+        F.count("*").alias("np"),
+    )
     out = share.join(n_win, "item_id").join(fits, key, "left")
     out = out.withColumn("consistency", F.coalesce((F.col("same") + F.least("na", "nb")) / F.col("np"), F.lit(1.0)))
     out = out.where((F.col("n_shared") >= min_share * F.col("n_windows")) & (F.col("consistency") >= min_consistency))
-    return out.groupBy("id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.max("n_windows").alias("n_windows"), F.max("consistency").alias("consistency"))
+    return out.groupBy("id", "item_id").agg(
+        F.max("n_shared").alias("n_shared"), F.max("n_windows").alias("n_windows"),
+        F.max("consistency").alias("consistency"),
+    )
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

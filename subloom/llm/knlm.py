@@ -43,7 +43,10 @@ def _distinct(docs: DataFrame, order: int, counted: bool) -> DataFrame:
         def flush():
             for lang, parts in seen.items():
                 k, c = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(c, pa.int64())], ["lang", "k", "c"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(c, pa.int64())],
+                    ["lang", "k", "c"],
+                )
             seen.clear()
 
         for b in batches:
@@ -75,7 +78,9 @@ def kneser_ney(counts: DataFrame, wanted: DataFrame, order: int = ORDER) -> Data
     """
     tables = {order: counts}
     for m in range(order - 1, 0, -1):  # distinct left extensions, from the order above
-        tables[m] = written(tables[m + 1].groupBy("lang", F.expr(f"k & {_pow(m)}").alias("k")).agg(F.count("*").alias("c")), f"kn{m}")
+        tables[m] = written(
+            tables[m + 1].groupBy("lang", F.expr(f"k & {_pow(m)}").alias("k")).agg(F.count("*").alias("c")), f"kn{m}",
+        )
     # p of the empty context, for every wanted last byte
     prob = wanted.select("lang", F.expr("k & 255").alias("k")).distinct().withColumn("p", F.lit(1 / 256.0))
     for m in range(1, order + 1):
@@ -86,9 +91,13 @@ def kneser_ney(counts: DataFrame, wanted: DataFrame, order: int = ORDER) -> Data
         n = n.select("lang", *[x.alias(f"d{i + 1}") for i, x in enumerate(d)])
         disc = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         t = t.join(small(n), "lang").select("lang", "k", "c", disc.alias("d"))
-        ctx = t.groupBy("lang", F.expr("shiftright(k, 8)").alias("h")).agg(F.sum("c").alias("total"), F.sum("d").alias("freed"))
+        ctx = t.groupBy("lang", F.expr("shiftright(k, 8)").alias("h")).agg(
+            F.sum("c").alias("total"), F.sum("d").alias("freed"),
+        )
         want = wanted.select("lang", F.expr(f"k & {_pow(m)}").alias("k")).distinct() if m < order else wanted.select("lang", "k")
-        x = want.select("lang", "k", F.expr("shiftright(k, 8)").alias("h"), F.expr(f"k & {_pow(max(1, m - 1))}").alias("low"))
+        x = want.select(
+            "lang", "k", F.expr("shiftright(k, 8)").alias("h"), F.expr(f"k & {_pow(max(1, m - 1))}").alias("low"),
+        )
         x = x.join(prob.select("lang", F.col("k").alias("low"), F.col("p").alias("p_low")), ["lang", "low"])
         x = x.join(ctx, ["lang", "h"], "left").join(t, ["lang", "k"], "left")
         p = F.when(F.col("total").isNull(), F.col("p_low")).otherwise((F.coalesce(F.col("c") - F.col("d"), F.lit(0.0)) + F.col("freed") * F.col("p_low")) / F.col("total"))
@@ -146,7 +155,9 @@ def perplexities(docs: DataFrame, logp: DataFrame, order: int = ORDER, shard_row
         model.destroy()
     if shards == 1:
         return passes[0].select("id", "lang", "nll", "n")
-    sums = functools.reduce(DataFrame.unionAll, passes).groupBy("id", "lang", "x").agg(F.sum("nll").alias("nll"), F.max("n").alias("n"), F.count("*").alias("rows"))
+    sums = functools.reduce(DataFrame.unionAll, passes).groupBy("id", "lang", "x").agg(
+        F.sum("nll").alias("nll"), F.max("n").alias("n"), F.count("*").alias("rows"),
+    )
     times = (F.col("rows") / shards).cast("int")
     return sums.select("id", "lang", (F.col("nll") / times).alias("nll"), "n", F.explode(F.array_repeat(F.lit(0), times))).select("id", "lang", "nll", "n")
 
@@ -180,19 +191,29 @@ def kn_quality(
     most: the mean over the kinds of the share above it, less the share of the held-out trusted above it. Null and empty texts have no perplexity and aren't kept; a language without trusted text has no model and keeps all
     it has. Null languages form the language ''. Repeated rows repeat. Only the named columns are read.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("t"))
+    d = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
+        F.col(text_col).alias("t"),
+    )
     ids = trusted.select(F.col("id").cast("long").alias("id")).where("id is not null").distinct()
     unseen = F.pmod(F.xxhash64("id"), F.lit(folds)) == 0
     # one plan whatever the number of ids: both sides are shuffled and merged, so nothing that grows is broadcast
     good = d.join(ids.where(~unseen).hint("merge"), "id", "left_semi")
     counts = written(_distinct(good.select("lang", "t"), order, True), "kn-counts")
-    wanted = written(_distinct(d.select("lang", "t"), order, False).select("lang", "k").join(small(counts.select("lang").distinct()), "lang", "left_semi"), "kn-wanted")
+    wanted = written(
+        _distinct(d.select("lang", "t"), order, False).select("lang", "k").join(
+            small(counts.select("lang").distinct()), "lang", "left_semi",
+        ),
+        "kn-wanted",
+    )
     logp = written(kneser_ney(counts, wanted, order), "kn-logp")
     scored = written(perplexities(d, logp, order, shard_rows), "kn-scored")
     scored = scored.withColumn("perplexity", F.when(F.col("n") > 0, F.exp(F.col("nll") / F.col("n"))))
     cut = scored.join(ids.where(unseen), "id", "left_semi").groupBy("lang").agg((slack * F.percentile_approx("perplexity", quantile, 10000)).alias("threshold"))
     if rejected is not None:
-        cut = cut.join(small(chosen_cut(scored, ids.where(unseen), rejected)), "lang", "left").select("lang", F.coalesce("chosen", "threshold").alias("threshold"))
+        cut = cut.join(small(chosen_cut(scored, ids.where(unseen), rejected)), "lang", "left").select(
+            "lang", F.coalesce("chosen", "threshold").alias("threshold"),
+        )
     out = scored.join(small(cut), "lang", "left")
     kept = F.when(F.col("n") == 0, False).when(F.col("threshold").isNull(), True).otherwise(F.col("perplexity") <= F.col("threshold"))
     return out.select("id", "lang", F.col("n").alias("n_bytes"), "perplexity", "threshold", kept.alias("kept"))
@@ -206,7 +227,9 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def rejected_ids(labels: DataFrame) -> DataFrame:
     """(id, kind) of the documents that a label calls bad or toxic; toxic ones count as such whatever their quality."""
     x = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x"))
-    return x.where("x = 1 or q = 0").select(F.col("doc_id").alias("id"), F.when(F.col("x") == 1, "toxic").otherwise("bad").alias("kind"))
+    return x.where("x = 1 or q = 0").select(
+        F.col("doc_id").alias("id"), F.when(F.col("x") == 1, "toxic").otherwise("bad").alias("kind"),
+    )
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

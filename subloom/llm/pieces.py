@@ -194,7 +194,11 @@ class Segments(dict):
         options: list[tuple[float, tuple]] = [(0.0, ())]
         for at in near.tolist():
             own = nbest(self.v, parts[at], self.n)
-            options = heapq.nsmallest(self.n, ((d + own[0][0] - s, (*c, (at, ids)) if j else c) for d, c in options for j, (s, ids) in enumerate(own)), key=lambda x: x[0])
+            options = heapq.nsmallest(
+                self.n,
+                ((d + own[0][0] - s, (*c, (at, ids)) if j else c) for d, c in options for j, (s, ids) in enumerate(own)),
+                key=lambda x: x[0],
+            )
         out = []
         for d, changes in options:
             mine = base if not changes else list(base)
@@ -215,7 +219,9 @@ def decode_ids(v: Vocabulary, ids: bytes) -> str:
     return out[1:] if out.startswith(" ") else out
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 1, model: str = MODEL) -> DataFrame:
+def encode(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 1, model: str = MODEL,
+) -> DataFrame:
     """(id, best array<struct<score double, ids array<int>>>): the n best segmentations of every whole text, best first.
 
     A null text gives a null list; an empty one the empty segmentation. Unknown characters become their UTF-8
@@ -233,12 +239,22 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
                 flat = [x for found in lists if found for x in found]
                 ids = np.frombuffer(b"".join(x for _, x in flat), np.int32)
                 ends = np.concatenate([[0], np.cumsum([len(x) // 4 for _, x in flat])]).astype(np.int32)
-                inner = pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.float64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))], ["score", "ids"])
+                inner = pa.StructArray.from_arrays(
+                    [
+                        pa.array([s for s, _ in flat], pa.float64()),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32())),
+                    ],
+                    ["score", "ids"],
+                )
                 outer = np.concatenate([[0], np.cumsum([len(x or ()) for x in lists])]).astype(np.int32)
                 mask = pa.array([x is None for x in lists])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(outer), inner, mask=mask).cast(one)], ["id", "best"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.ListArray.from_arrays(pa.array(outer), inner, mask=mask).cast(one)], ["id", "best"],
+                )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, best array<struct<score:double,ids:array<int>>>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(
+        run, "id long, best array<struct<score:double,ids:array<int>>>",
+    )
 
 
 def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
@@ -256,15 +272,22 @@ def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFram
         for b in batches:
             col = b.column(at)
             text = [None if x is None else decode_ids(v, np.asarray(x, np.int32).tobytes()) for x in (y.values.to_numpy(zero_copy_only=False) if y.is_valid else None for y in col)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in stay), pa.array(text, pa.string())], [*names, "text"])
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(i) for i in stay), pa.array(text, pa.string())], [*names, "text"],
+            )
 
     kept = [f for f in encoded.schema.fields if f.name != "text"]
     return encoded.mapInArrow(run, T.StructType([*kept, T.StructField("text", T.StringType())]))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = encode(table(spark, sf_dir, "documents"), n=2).select("id", F.get("best", F.lit(0)).alias("a"), F.get("best", F.lit(1)).alias("b"))
-    back = decode(best.select("id", F.col("a.ids").alias("ids"), F.col("a.score").alias("score"), F.col("b.score").alias("second_score"), F.xxhash64("b.ids").alias("second_hash")))
+    best = encode(table(spark, sf_dir, "documents"), n=2).select(
+        "id", F.get("best", F.lit(0)).alias("a"), F.get("best", F.lit(1)).alias("b"),
+    )
+    back = decode(best.select(
+        "id", F.col("a.ids").alias("ids"), F.col("a.score").alias("score"), F.col("b.score").alias("second_score"),
+        F.xxhash64("b.ids").alias("second_hash"),
+    ))
     return back.select(
         F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), "score", "second_score",
         F.xxhash64("ids").alias("ids_hash"), "second_hash", F.crc32(F.encode("text", "utf-8")).alias("decoded_crc32"),

@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 
 from subloom.llm.common import held, small, table, written
 
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_bangs")
+STATS = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_bangs",
+)
 _SPACES, _SYMBOLS, _WINDOW = " \t\n\x0b\x0c\r", "#*$%&|<>", 5
 _UPPER = bytes(range(65, 91))
 
@@ -65,7 +67,10 @@ def text_stats(text: str | None) -> tuple[int, ...]:
     )
 
 
-def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", carry: bool = False) -> DataFrame:
+def corpus_stats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang",
+    carry: bool = False,
+) -> DataFrame:
     """(id, stratum, *STATS, base_failed, severity) for every row; severity is the first level that rejects, NEVER if none.
 
     With carry the whole row goes along as the struct row, so that it needs no join to come back.
@@ -79,9 +84,15 @@ def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             cols = list(zip(*[text_stats(t.as_py()) for t in b.column(2)], strict=True)) or [[] for _ in STATS]
             more = [b.column(3)] if carry else []
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *more, *[pa.array(c, pa.int64()) for c in cols]], ["id", "stratum", *(["row"] if carry else []), *STATS])
-
-    schema = T.StructType([d.schema["id"], d.schema["stratum"], *([d.schema["row"]] if carry else []), *[T.StructField(c, T.LongType()) for c in STATS]])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), *more, *[pa.array(c, pa.int64()) for c in cols]],
+                ["id", "stratum", *(["row"] if carry else []), *STATS],
+            )
+
+    schema = T.StructType([
+        d.schema["id"], d.schema["stratum"], *([d.schema["row"]] if carry else []),
+        *[T.StructField(c, T.LongType()) for c in STATS],
+    ])
     s = d.mapInArrow(run, schema)
     per = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     value = {
@@ -146,7 +157,14 @@ def cutoff_levels(stats: DataFrame, labels: DataFrame, alpha: float = 0.03, delt
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in frames:
             rows = [
-                (r.stratum, x := certified_level(r.n_good, [getattr(r, f"f{i}") for i in lev], [getattr(r, f"c{i}") for i in lev], alpha, delta / n_strata), r.n_good, getattr(r, f"f{x}") if x else 0, n_strata)
+                (
+                    r.stratum,
+                    x := certified_level(
+                        r.n_good, [getattr(r, f"f{i}") for i in lev], [getattr(r, f"c{i}") for i in lev], alpha,
+                        delta / n_strata,
+                    ),
+                    r.n_good, getattr(r, f"f{x}") if x else 0, n_strata,
+                )
                 for r in p.itertuples()
             ]
             yield pd.DataFrame(rows, columns=["stratum", "level", "n_good", "n_false", "n_strata"])
@@ -154,7 +172,10 @@ def cutoff_levels(stats: DataFrame, labels: DataFrame, alpha: float = 0.03, delt
     return counts.mapInPandas(choose, "stratum string, level int, n_good long, n_false long, n_strata long")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", alpha: float = 0.03, delta: float = 0.05) -> DataFrame:
+def quality_rules(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    stratum_col: str | None = "lang", alpha: float = 0.03, delta: float = 0.05,
+) -> DataFrame:
     """One row per row of docs: id, stratum, STATS, base_failed, severity, level, kept.
 
     kept is false if the base rule fails, or if the document's severity is within its stratum's certified level.
@@ -171,7 +192,10 @@ def _judged(stats: DataFrame, levels: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.expr("not base_failed and severity > level"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", alpha: float = 0.03, delta: float = 0.05) -> DataFrame:
+def keep_good(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    stratum_col: str | None = "lang", alpha: float = 0.03, delta: float = 0.05,
+) -> DataFrame:
     """The rows of docs, unchanged, that quality_rules keeps.
 
     The statistics of all rows are taken where the rows are and joined to the labels without their texts; a second pass takes

@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 
 from subloom.llm.common import table
 
-ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+ASSIGN = re.compile(
+    r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII,
+)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs [0-9a-f]+ of 24 or more
 #: Words that make what follows them sensitive, and the strings looked at there.
-CONTEXT = re.compile(r"(?:key|secret|token|passw|pwd|auth|credential|private|bearer|signature|session|access)", re.IGNORECASE | re.ASCII)
+CONTEXT = re.compile(
+    r"(?:key|secret|token|passw|pwd|auth|credential|private|bearer|signature|session|access)", re.IGNORECASE | re.ASCII,
+)
 #: A string begins after anything else or after '=', which also ends a base64 string.
 START = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-](?=[A-Za-z0-9+/_=-]{15})")
 BODY = re.compile(r"[A-Za-z0-9+/_=-]*")
@@ -54,7 +58,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def novel_spans(text: str, known: list[tuple[int, int, int]], novelty: Novelty, min_bits: float = 4.0) -> list[tuple[int, int, int]]:
+def novel_spans(
+    text: str, known: list[tuple[int, int, int]], novelty: Novelty, min_bits: float = 4.0,
+) -> list[tuple[int, int, int]]:
     """Strings within REACH characters after a sensitive word whose marginal cost is at least min_bits a character.
 
     A string begins at a boundary, after '=' or where '_' or '-' joins it to the sensitive word (then it holds no '='

@@ -18,7 +18,10 @@ def ranked(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     s = df.repartitionByRange(partitions(df.sparkSession), group, *order).sortWithinPartitions(group, *order).withColumn("_m", F.monotonically_increasing_id())
     s = written(s, name).withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.expr("_m & 8589934591"))
     part = s.groupBy(group, "_p").agg(F.min("_i").alias("_f"), F.count("*").alias("_c"))
-    off = part.select(group, "_p", "_f", F.coalesce(F.sum("_c").over(W.partitionBy(group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    off = part.select(
+        group, "_p", "_f",
+        F.coalesce(F.sum("_c").over(W.partitionBy(group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"),
+    )
     off = written(off, f"{name}-offsets")
     return s.join(small(off), [group, "_p"]).withColumn("rank", F.col("_o") + F.col("_i") - F.col("_f")).drop("_m", "_p", "_i", "_f", "_o")
 
@@ -61,7 +64,9 @@ def circulation(want: dict[tuple[int, int], int]) -> dict[tuple[int, int], int]:
     return out
 
 
-def propagate(linked: DataFrame, singles: int | list[int], shards: int, rounds: int | None = None, salt: int = 0) -> tuple[DataFrame, list[int]]:
+def propagate(
+    linked: DataFrame, singles: int | list[int], shards: int, rounds: int | None = None, salt: int = 0,
+) -> tuple[DataFrame, list[int]]:
     """(linked(u, gid, shard), free) after balanced label propagation; free[b] is how many unlinked rows shard b holds.
 
     Each round, every group looks for the shard that holds most of its members (ties by a hash of the group and the
@@ -80,8 +85,13 @@ def propagate(linked: DataFrame, singles: int | list[int], shards: int, rounds:
         turn += 1
         cnt = linked.groupBy("gid", "shard").agg(F.count("*").alias("n"))
         tie = F.xxhash64("gid", "shard", F.lit(salt + turn))
-        best = cnt.groupBy("gid").agg(F.max(F.when((F.col("n") < rows[F.col("shard")]) & ~F.col("shard").isin(*closed), F.struct("n", tie.alias("h"), "shard"))).alias("b"), F.count("*").alias("k"))
-        best = best.where("k > 1 and b is not null").select("gid", F.col("b.shard").alias("to"), F.col("b.n").alias("n_to"))
+        best = cnt.groupBy("gid").agg(
+            F.max(F.when((F.col("n") < rows[F.col("shard")]) & ~F.col("shard").isin(*closed), F.struct("n", tie.alias("h"), "shard"))).alias("b"),
+            F.count("*").alias("k"),
+        )
+        best = best.where("k > 1 and b is not null").select(
+            "gid", F.col("b.shard").alias("to"), F.col("b.n").alias("n_to"),
+        )
         ask = cnt.join(best, "gid").where("shard <> to and n <= n_to").select("gid", "shard", "to", "n")
         ask = written(ask, "shard-asks")
         want = {(r["shard"], r["to"]): r["n"] for r in ask.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}  # at most a row a pair of shards
@@ -106,9 +116,16 @@ def propagate(linked: DataFrame, singles: int | list[int], shards: int, rounds:
             continue
         still, closed = 0, blocked
         quota = F.create_map(*[F.lit(x) for k, n in go.items() for x in (k, n)])
-        movers = linked.join(ask.select("gid", "shard", "to"), ["gid", "shard"]).select("u", "gid", "to", (F.col("shard") * shards + F.col("to")).alias("way"))
-        moves = written(ranked(movers, "way", ["gid", "u"], "shard-movers").where(F.col("rank") < quota[F.col("way")]).select("u", "to"), "shard-moves")
-        new = written(linked.join(moves, "u", "left").select("u", "gid", F.coalesce("to", "shard").alias("shard")), "shard-rows")
+        movers = linked.join(ask.select("gid", "shard", "to"), ["gid", "shard"]).select(
+            "u", "gid", "to", (F.col("shard") * shards + F.col("to")).alias("way"),
+        )
+        moves = written(
+            ranked(movers, "way", ["gid", "u"], "shard-movers").where(F.col("rank") < quota[F.col("way")]).select("u", "to"),
+            "shard-moves",
+        )
+        new = written(
+            linked.join(moves, "u", "left").select("u", "gid", F.coalesce("to", "shard").alias("shard")), "shard-rows",
+        )
         for x in (linked, ask, moves):
             remove(x)
         linked = new
@@ -132,7 +149,9 @@ def settle(linked: DataFrame, shards: int) -> DataFrame:
         end -= held[b]
     # later whens are outermost: the lowest shard whose end lies beyond the rank wins
     dealt = ranked(rows, "one", ["gid", "u"], "shard-settled").select("u", to.alias("to"))
-    return written(linked.join(dealt, "u", "left").select("u", "gid", F.coalesce("to", "shard").alias("shard")), "shard-rows")
+    return written(
+        linked.join(dealt, "u", "left").select("u", "gid", F.coalesce("to", "shard").alias("shard")), "shard-rows",
+    )
 
 
 def gather(linked: DataFrame, singles: int, shards: int, max_rounds: int) -> tuple[DataFrame, list[int]]:
@@ -158,7 +177,9 @@ def seat(u: F.Column, singles: int, shards: int, free: list[int]) -> F.Column:
     return F.when(j < F.create_map(*[F.lit(v) for x in range(shards) for v in (x, free[x])])[b], b).otherwise(to)
 
 
-def balanced_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", max_rounds: int = 16) -> DataFrame:
+def balanced_shards(
+    docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", max_rounds: int = 16,
+) -> DataFrame:
     """(id, size, text_crc32, shard, slot, linked): shards whose row counts differ by one at most, and gapless slots.
 
     Documents are linked when their texts are equal (null counts as empty): XXH64, CRC-32 and length agree. They
@@ -166,20 +187,38 @@ def balanced_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     the groups. Repeated rows are rows of their own. No documents give no rows. Only the two columns named are read.
     """
     t = F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")
-    d = docs.select(F.col(id_col).cast("long").alias("id"), t.alias("t")).select("id", (F.octet_length("t") + 8).cast("long").alias("size"), F.crc32("t").alias("text_crc32"), F.xxhash64("t").alias("x"))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), t.alias("t")).select(
+        "id", (F.octet_length("t") + 8).cast("long").alias("size"), F.crc32("t").alias("text_crc32"),
+        F.xxhash64("t").alias("x"),
+    )
     d = written(d, "shard-docs")
     key = ["x", "text_crc32", "size"]
     group = d.groupBy(*key).agg(F.min("id").alias("gid"), F.count("*").alias("n")).where("n > 1").select(*key, "gid")
     d = d.join(group, key, "left").withColumn("one", F.lit(0)).withColumn("linked", F.col("gid").isNotNull()).withColumn("r", F.xxhash64("id", F.lit(11)))
-    d = written(ranked(d, "one", ["linked", "r", "id", "x"], "shard-start").select(F.col("rank").alias("u"), "id", "size", "text_crc32", "gid"), "shard-dealt")
+    d = written(
+        ranked(d, "one", ["linked", "r", "id", "x"], "shard-start").select(
+            F.col("rank").alias("u"), "id", "size", "text_crc32", "gid",
+        ),
+        "shard-dealt",
+    )
     begin = (F.col("u") % shards).cast("int").alias("shard")
     singles = d.where("gid is null").count()
-    linked, free = gather(written(d.where("gid is not null").select("u", "gid", begin), "shard-rows"), singles, shards, max_rounds)
+    linked, free = gather(
+        written(d.where("gid is not null").select("u", "gid", begin), "shard-rows"), singles, shards, max_rounds,
+    )
     moved = linked.select("u", F.col("shard").alias("new"))
-    placed = d.join(moved, "u", "left").select("u", "id", "size", "text_crc32", F.col("gid").isNotNull().alias("linked"), F.coalesce("new", seat(F.col("u"), singles, shards, free)).alias("shard"))
-    return ranked(placed, "shard", ["u"], "shard-slots").select("id", "size", "text_crc32", "shard", F.col("rank").alias("slot"), "linked")
+    placed = d.join(moved, "u", "left").select(
+        "u", "id", "size", "text_crc32", F.col("gid").isNotNull().alias("linked"),
+        F.coalesce("new", seat(F.col("u"), singles, shards, free)).alias("shard"),
+    )
+    return ranked(placed, "shard", ["u"], "shard-slots").select(
+        "id", "size", "text_crc32", "shard", F.col("rank").alias("slot"), "linked",
+    )
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = balanced_shards(table(spark, sf_dir, "documents"))
-    return s.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return s.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )

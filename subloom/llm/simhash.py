@@ -58,7 +58,10 @@ def ball(fp: str, radius: int, bits: int = 64) -> F.Column:
     flips = [0]
     for _ in range(radius):
         flips = sorted({f ^ (1 << k) for f in flips for k in range(bits)} | set(flips))
-    return F.transform(F.array(*[F.lit(_signed(f)) for f in flips]), lambda m: F.struct(F.col(fp).bitwiseXOR(m).alias("v"), m.alias("m")))
+    return F.transform(
+        F.array(*[F.lit(_signed(f)) for f in flips]),
+        lambda m: F.struct(F.col(fp).bitwiseXOR(m).alias("v"), m.alias("m")),
+    )
 
 
 def fingerprint_edges(fps: DataFrame, max_bits: int = 2) -> DataFrame:
@@ -88,11 +91,15 @@ def fingerprint_edges(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     if max_bits == 2:  # a star on the lowest fingerprint: all of a variant's members are mutual neighbours
         pairs = pairs.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
     else:  # only the pairs with the centre itself are one bit apart
-        pairs = pairs.where(F.array_contains("fps", F.col("v"))).select(F.col("v").alias("a"), F.explode("fps").alias("b"))
+        pairs = pairs.where(F.array_contains("fps", F.col("v"))).select(
+            F.col("v").alias("a"), F.explode("fps").alias("b"),
+        )
     return pairs.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).distinct()
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, max_bits: int = 2) -> DataFrame:
+def simhash_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, max_bits: int = 2,
+) -> DataFrame:
     """(id, fp, component): one row per document; component is the smallest id reachable over links.
 
     Copies share a fingerprint and collapse before any ball is hashed. Null or wordless texts have fingerprint
@@ -102,7 +109,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fp = written(fingerprints(docs, id_col, text_col, n), "simhash")
     low = written(fp.groupBy("fp").agg(F.min("id").alias("low")), "simhash-low")
     cc = connected_components(fingerprint_edges(low, max_bits))
-    of = low.join(cc.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
+    of = low.join(cc.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), "low",
+    )
     of = written(of, "simhash-roots")
     label = of.join(of.groupBy("root").agg(F.min("low").alias("component")), "root").select("fp", "component")
     return fp.join(label, "fp").select("id", "fp", "component")
@@ -156,7 +165,9 @@ def _members() -> Column:
     """The prints that emitted the variant v, from the mask of their marks; at most BITS + 1."""
     own = F.when(F.col("mask").bitwiseAND(F.lit(1 << BITS)) != 0, F.array("v")).otherwise(F.array().cast("array<long>"))
     bits = F.array(*[F.lit(1 << k) for k in range(BITS)])
-    flipped = F.transform(F.filter(bits, lambda m: F.col("mask").bitwiseAND(m) != 0), lambda m: F.col("v").bitwiseXOR(m.cast("long")))
+    flipped = F.transform(
+        F.filter(bits, lambda m: F.col("mask").bitwiseAND(m) != 0), lambda m: F.col("v").bitwiseXOR(m.cast("long")),
+    )
     return F.concat(own, flipped)
 
 
@@ -180,7 +191,9 @@ def met_prints(each: DataFrame) -> tuple[DataFrame, DataFrame]:
     twice = low.where("n > 1")
     same = each.join(twice.select("p", F.col("u").alias("a")), "p").where("u <> a").select("a", F.col("u").alias("b"))
     other = near.select("p", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("q")).where("p <> q")
-    other = other.join(low.select("p", F.col("u").alias("a")), "p").join(low.select(F.col("p").alias("q"), F.col("u").alias("b")), "q")
+    other = other.join(low.select("p", F.col("u").alias("a")), "p").join(
+        low.select(F.col("p").alias("q"), F.col("u").alias("b")), "q",
+    )
     other = other.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return written(near.select("p").union(twice.select("p")).distinct(), "near-shared"), written(same.union(other).distinct(), "near-pairs")
 
@@ -197,7 +210,9 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     full = lambda x: sets.select(F.col("u").alias(x), F.col("s").alias(f"s{x}"))
     both = likely.join(full("a"), "a").join(full("b"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return written(both.where(shared >= similarity * (F.col("na") + F.col("nb") - shared)).select("a", "b"), "near-edges")
+    return written(
+        both.where(shared >= similarity * (F.col("na") + F.col("nb") - shared)).select("a", "b"), "near-edges",
+    )
 
 
 def _common(x: str, y: str) -> Column:
@@ -217,7 +232,9 @@ def pairs_between(each: DataFrame, roots: DataFrame, sets: DataFrame, similarity
     ids = each.join(roots.select(F.col("node").alias("u"), "root"), "u", "left").select("u", "p", F.coalesce("root", "u").alias("root"))
     ids = written(ids, "near-members")
     part = ids.groupBy("p").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    ball = part.select(_ball24().alias("x"), "lo", "hi").groupBy("x.v").agg(F.bit_or("x.m").alias("mask"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    ball = part.select(_ball24().alias("x"), "lo", "hi").groupBy("x.v").agg(
+        F.bit_or("x.m").alias("mask"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+    )
     mixed = written(ball.where("lo <> hi").select(F.explode(_members()).alias("p")).distinct(), "near-mixed")
     ids = ids.join(mixed, "p", "left_semi")
     held = sets.join(ids.select("u").distinct(), "u", "left_semi").select("u", F.explode("s").alias("h"))
@@ -225,25 +242,38 @@ def pairs_between(each: DataFrame, roots: DataFrame, sets: DataFrame, similarity
     alone = alone.select("u", F.expr(f"int(h & {PARTS - 1})").alias("i")).groupBy("u").agg(F.collect_list("i").alias("alone"))  # at most a text's shingles
     gone = F.coalesce("alone", F.array().cast("array<int>"))
     rest = sets.select("u", "n", "parts").join(alone, "u", "left")
-    rest = rest.select("u", "n", F.transform("parts", lambda c, i: c - F.size(F.filter(gone, lambda x: x == i))).alias("parts"))
+    rest = rest.select(
+        "u", "n", F.transform("parts", lambda c, i: c - F.size(F.filter(gone, lambda x: x == i))).alias("parts"),
+    )
     rest = rest.withColumn("most", up * F.aggregate("parts", F.lit(0), lambda s, c: s + c) - F.col("n") + 1e-6)
     ids = written(ids.join(rest.where(F.col("most") >= similarity * F.col("n")), "u"), "near-ids")
     entry = F.struct("p", "lo", "hi", "least", "most", "k")
-    prints = ids.groupBy("p").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.max("most").alias("most"), F.count("*").alias("k"))
+    prints = ids.groupBy("p").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.max("most").alias("most"),
+        F.count("*").alias("k"),
+    )
     all_ = prints.select(_ball24().alias("x"), entry.alias("e")).groupBy("x.v").agg(F.collect_list("e").alias("all"))  # at most BITS + 1
     able = F.filter("all", lambda e: e["most"] >= F.array_min(F.transform("all", lambda o: o["least"])))
     fit = lambda x, y: (x["p"] <= y["p"]) & (F.least(x["lo"], y["lo"]) < F.greatest(x["hi"], y["hi"])) & (x["most"] >= y["least"]) & (y["most"] >= x["least"])
     few = lambda x, y: F.when(x["k"] <= y["k"], F.struct(x["p"].alias("p"), y.alias("o"))).otherwise(F.struct(y["p"].alias("p"), x.alias("o")))
     two = F.flatten(F.transform(able, lambda x: F.transform(F.filter(able, lambda y: fit(x, y)), lambda y: few(x, y))))
     two = written(all_.select(F.explode(two).alias("x")).select("x.p", "x.o").distinct(), "near-two")
-    a = ids.select("p", F.col("u").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("parts").alias("pa"))
-    b = ids.select(F.col("p").alias("q"), F.col("u").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("parts").alias("pb"))
+    a = ids.select(
+        "p", F.col("u").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("most").alias("ma"),
+        F.col("parts").alias("pa"),
+    )
+    b = ids.select(
+        F.col("p").alias("q"), F.col("u").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"),
+        F.col("most").alias("mb"), F.col("parts").alias("pb"),
+    )
     one = two.join(a, "p").where("(o.lo <> o.hi or o.lo <> ra) and ma >= o.least and na <= o.most").withColumn("q", F.col("o.p"))
     met = one.join(b, "q").where("ra <> rb and na <= mb and nb <= ma").where(up * _common("pa", "pb") >= F.col("na") + F.col("nb") - 1e-6)
     return written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-between")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8,
+) -> DataFrame:
     """(id, x, root): one row per row of docs; x is XXH64 of the text, root the smallest id of its group of near copies.
 
     Equal texts (null is empty) are joined first, and one of each goes on. Texts link when the Jaccard similarity of
@@ -267,13 +297,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             found = [shingle_set(t.as_py(), n) for t in b.column(4)]
             parts = [np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype(np.int32) for s in found]
-            cols = [pa.array([len(s) for s in found], pa.int32()), pa.array(parts, pa.list_(pa.int32())), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))]
+            cols = [
+                pa.array([len(s) for s in found], pa.int32()), pa.array(parts, pa.list_(pa.int32())),
+                pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())),
+            ]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], *cols], ["id", "x", "crc", "len", "n", "parts", "s"])
 
     key = ["x", "crc", "len"]
     t = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).cast("long").alias("id"), t.alias("t"))
-    d = d.select("id", F.xxhash64("t").alias("x"), F.crc32(F.encode("t", "utf-8")).alias("crc"), F.octet_length("t").cast("long").alias("len"), "t")
+    d = d.select(
+        "id", F.xxhash64("t").alias("x"), F.crc32(F.encode("t", "utf-8")).alias("crc"),
+        F.octet_length("t").cast("long").alias("len"), "t",
+    )
     fps = written(d.mapInArrow(prints, "id long, x long, crc long, len long, f array<long>"), "near-prints")
     texts = fps.groupBy(*key).agg(F.min("id").alias("id"), F.first("f").alias("f"))
     texts = written(texts.withColumn("u", F.monotonically_increasing_id()), "near-texts")
@@ -281,7 +317,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared, pairs = met_prints(each)
     each = written(each.join(shared, "p", "left_semi").select("u", "p"), "near-each")
     own = written(texts.join(each.select("u").distinct(), "u", "left_semi").select("u", "id", *key), "near-own")
-    sets = only(d, own, id=F.col("id"), x=F.col("x")).mapInArrow(sets_of, "id long, x long, crc long, len long, n int, parts array<int>, s array<long>")
+    sets = only(d, own, id=F.col("id"), x=F.col("x")).mapInArrow(
+        sets_of, "id long, x long, crc long, len long, n int, parts array<int>, s array<long>",
+    )
     # rows that repeat an id and a text come once; a text that another one's id and XXH64 let through is told apart by the rest of the key
     sets = sets.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("n", "parts", "s")])
     sets = written(sets.join(own.select("u", *key), key).select("u", "n", "parts", "s"), "near-sets")
@@ -290,12 +328,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = linked_pairs(pairs_between(each, roots, sets, similarity), sets, similarity)
     if not more.isEmpty():
         roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    of = written(texts.join(roots, texts.u == roots.node, "left").select(*key, "id", F.coalesce("root", "u").alias("u")), "near-groups")
+    of = written(
+        texts.join(roots, texts.u == roots.node, "left").select(*key, "id", F.coalesce("root", "u").alias("u")),
+        "near-groups",
+    )
     label = of.join(of.groupBy("u").agg(F.min("id").alias("root")), "u").select(*key, "root")
     return fps.select("id", *key).join(label, key).select("id", "x", "root")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8,
+) -> DataFrame:
     """The rows of docs, unchanged, without those whose group of near copies has a smaller id, or has one where they have none.
 
     Rows that share an id and a text stay or go together. No text that stays is shuffled, but for what a filter of fixed
@@ -307,4 +350,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = simhash_components(table(spark, sf_dir, "documents"))
-    return c.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    return c.select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )

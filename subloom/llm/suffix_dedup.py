@@ -84,16 +84,25 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = ends - [len(x) for x in parts]
         of, first, last, anchor, h = runs(np.frombuffer(raw, np.uint8), starts, ends)
         rel = anchor - first
-        c = [xxhash.xxh64_intdigest(raw[a:e], r) for a, e, r in zip(first.tolist(), (last + SPAN).tolist(), rel.tolist(), strict=True)]
+        c = [xxhash.xxh64_intdigest(raw[a:e], r) for a, e, r in zip(
+            first.tolist(), (last + SPAN).tolist(), rel.tolist(), strict=True,
+        )]
         at, c, doc = first - starts[of] + np.array(offs, np.int64)[of], np.array(c, np.uint64), np.array(ids, np.int64)[of]
         order = np.lexsort((at, doc, c, h))
         head = np.concatenate([[True], (h[order[1:]] != h[order[:-1]]) | (c[order[1:]] != c[order[:-1]])]) if len(order) else np.zeros(0, bool)
         lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
         again = np.zeros(len(order), bool)
         again[order] = (doc[order] != doc[lead]) | (at[order] != at[lead])  # a repeated row of one document is no repeat
-        h = np.where(again, (h ^ (doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) + at.view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9), h)
+        h = np.where(
+            again,
+            (h ^ (doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) + at.view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9),
+            h,
+        )
         return pa.RecordBatch.from_arrays(
-            [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(at), pa.array((last - first + 1).astype(np.int16)), pa.array(again)],
+            [
+                pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(at),
+                pa.array((last - first + 1).astype(np.int16)), pa.array(again),
+            ],
             ["h", "c", "doc", "at", "n", "again"],
         )
 
@@ -174,7 +183,9 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, first, last = later_windows([r[3] for r in rows])
         doc = np.array([r[1] for r in rows], np.int64)[of]
         at = np.array([r[2] for r in rows], np.int64)[of]
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at + first), pa.array(at + last + SPAN)], ["doc", "start", "stop"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc), pa.array(at + first), pa.array(at + last + SPAN)], ["doc", "start", "stop"],
+        )
 
     rows: list[tuple] = []
     for b in batches:
@@ -197,10 +208,14 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = (t.as_py() or "").encode()
             out += [(m["h"], id_, m["at"], raw[m["at"] : m["at"] + m["n"] + SPAN - 1], m["hot"]) for m in marks]
             if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["h", "doc", "at", "ctx", "hot"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in zip(*out, strict=True)], ["h", "doc", "at", "ctx", "hot"],
+                )
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["h", "doc", "at", "ctx", "hot"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in zip(*out, strict=True)], ["h", "doc", "at", "ctx", "hot"],
+            )
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,9 +232,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s, e = (spans.values.field(f).to_numpy() for f in ("start", "stop"))
                 edge = np.bincount(s, minlength=len(raw) + 1) - np.bincount(e, minlength=len(raw) + 1)
                 gone = np.cumsum(edge)[: len(raw)] > 0
-                rows.append((id_, len(raw), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), np.frombuffer(raw, np.uint8)[~gone].tobytes()))
+                rows.append((
+                    id_, len(raw), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()),
+                    np.frombuffer(raw, np.uint8)[~gone].tobytes(),
+                ))
             kinds = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                ["id", "n_bytes", "n_removed", "n_spans", "kept"],
+            )
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -234,19 +255,30 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = d.mapInArrow(_anchor_rows, "h long, c long, doc long, at long, n short, again boolean")
     same, own = W.partitionBy("h", "c").orderBy("doc", "at"), W.partitionBy("h")
     met = anchors.withColumn("r", F.rank().over(same)).withColumn("contexts", F.sum((F.col("r") == 1).cast("int")).over(own)).where("r > 1 or contexts > 1 or again")
-    marks = written(met.select("h", "doc", "at", "n", F.expr("r > 1 or again").alias("whole"), (F.col("contexts") > hot).alias("hot")), "anchors")
+    marks = written(
+        met.select(
+            "h", "doc", "at", "n", F.expr("r > 1 or again").alias("whole"), (F.col("contexts") > hot).alias("hot"),
+        ),
+        "anchors",
+    )
     full = marks.where("whole").select("doc", F.col("at").alias("start"), F.expr(f"at + n + {SPAN - 1}").alias("stop"))
     part = marks.where("not whole").groupBy("doc").agg(F.collect_list(F.struct("h", "at", "n", "hot")).alias("marks"))
-    ctx = d.join(part, d.id == part.doc).select("id", "t", "marks").mapInArrow(_contexts, "h long, doc long, at long, ctx binary, hot boolean")
+    ctx = d.join(part, d.id == part.doc).select("id", "t", "marks").mapInArrow(
+        _contexts, "h long, doc long, at long, ctx binary, hot boolean",
+    )
     kind = "doc long, start long, stop long"
     cool = ctx.where("not hot").select("h", "doc", "at", "ctx").repartition("h").sortWithinPartitions("h", "doc", "at").mapInArrow(_refined, kind)
     parts = [full, cool]
     if marks.where("hot and not whole").limit(1).count():
-        each = ctx.where("hot").distinct().select("doc", "at", "ctx", F.explode(F.sequence(F.lit(0), F.octet_length("ctx") - SPAN)).alias("s"))
+        each = ctx.where("hot").distinct().select(
+            "doc", "at", "ctx", F.explode(F.sequence(F.lit(0), F.octet_length("ctx") - SPAN)).alias("s"),
+        )
         key = F.md5(F.substring("ctx", F.col("s") + 1, F.lit(SPAN)))
         each = each.select("doc", (F.col("at") + F.col("s")).alias("start"), key.alias("g"))
         low = each.groupBy("g").agg(F.min(F.struct("doc", "start")).alias("low"))
-        parts.append(each.join(low, "g").where("struct(doc, start) <> low").select("doc", "start", (F.col("start") + SPAN).alias("stop")))
+        parts.append(each.join(low, "g").where("struct(doc, start) <> low").select(
+            "doc", "start", (F.col("start") + SPAN).alias("stop"),
+        ))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -257,12 +289,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, n_bytes, n_removed, n_spans, kept binary): every row of docs without its repeated spans. No documents give no rows."""
     spans = repeated_spans(docs, id_col, text_col, hot).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return d.join(spans, d.id == spans.doc, "left").select("id", "t", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return d.join(spans, d.id == spans.doc, "left").select("id", "t", "spans").mapInArrow(
+        _cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary",
+    )
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+    )
 
 
 def brute(texts: list[tuple[int, str | None]], span: int = SPAN) -> list[tuple[int, int, int, int, str]]:
@@ -277,7 +313,10 @@ def brute(texts: list[tuple[int, str | None]], span: int = SPAN) -> list[tuple[i
                 gone[s : s + span] = b"\1" * span
             seen.add(w)
         runs_ = sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1]))
-        out.append((id_, len(raw), sum(gone), runs_, hashlib.sha256(bytes(x for x, g in zip(raw, gone, strict=True) if not g)).hexdigest()))
+        out.append((
+            id_, len(raw), sum(gone), runs_,
+            hashlib.sha256(bytes(x for x, g in zip(raw, gone, strict=True) if not g)).hexdigest(),
+        ))
     return out
 
 

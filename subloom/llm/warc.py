@@ -50,7 +50,10 @@ def _clean(v: object) -> str:
     return re.sub(r"[\r\n\x00]+", " ", str(v)).strip()
 
 
-def record(kind: str, record_id: str, payload: bytes = b"", *, uri: str | None = None, date: str = "1970-01-01T00:00:00Z", refers_to: str | None = None, digest: str | None = None, length: int | None = None, info: bool = False) -> bytes:
+def record(
+    kind: str, record_id: str, payload: bytes = b"", *, uri: str | None = None, date: str = "1970-01-01T00:00:00Z",
+    refers_to: str | None = None, digest: str | None = None, length: int | None = None, info: bool = False,
+) -> bytes:
     """One uncompressed record. Responses hold the HTTP head and the payload, revisits the head alone."""
     length = len(payload) if length is None else length
     digest = digest or hashlib.sha1(payload).hexdigest()
@@ -62,7 +65,10 @@ def record(kind: str, record_id: str, payload: bytes = b"", *, uri: str | None =
         head.append("Content-Type: application/warc-fields")
     else:
         block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
-        head += [f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}", f"X-Payload-Length: {length}"]
+        head += [
+            f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
+            f"X-Payload-Length: {length}",
+        ]
         if kind == "revisit":
             head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{_clean(refers_to)}>"]
         else:
@@ -244,7 +250,9 @@ class WarcReader(DataSourceReader):
         for f in filters:
             name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
             if isinstance(f, EqualTo | In | StringStartsWith) and name in _HEADER and name != "payload_length":
-                self.tests.append(("starts", name, f.value) if isinstance(f, StringStartsWith) else ("in", name, [f.value] if isinstance(f, EqualTo) else list(f.value)))
+                self.tests.append(("starts", name, f.value) if isinstance(f, StringStartsWith) else (
+                    "in", name, [f.value] if isinstance(f, EqualTo) else list(f.value),
+                ))
             elif isinstance(f, IsNotNull) and name in _HEADER:
                 self.tests.append(("some", name, None))
             else:
@@ -302,12 +310,18 @@ class WarcWriter(DataSourceArrowWriter):
         name = f"part-{uuid.uuid4().hex}.warc.gz"
         blocks, start, end, n = [], 0, 0, 0
         with fs.open_output_stream(f"{at}/{name}", compression=None) as out:
-            first = member(record("warcinfo", f"urn:uuid:{uuid.uuid4()}", b"format: WARC File Format 1.1\r\n", info=True), self.level)
+            first = member(
+                record("warcinfo", f"urn:uuid:{uuid.uuid4()}", b"format: WARC File Format 1.1\r\n", info=True),
+                self.level,
+            )
             out.write(first)
             end = len(first)
             for b in iterator:
                 for r in b.to_pylist():
-                    raw = record(r["record_type"], r["record_id"], r["payload"] or b"", uri=r.get("target_uri"), refers_to=r.get("refers_to"), digest=r.get("payload_digest"), length=r.get("payload_length"))
+                    raw = record(
+                        r["record_type"], r["record_id"], r["payload"] or b"", uri=r.get("target_uri"),
+                        refers_to=r.get("refers_to"), digest=r.get("payload_digest"), length=r.get("payload_length"),
+                    )
                     packed = member(raw, self.level)
                     if end - start > self.block:
                         blocks.append([start, end - start])
@@ -355,15 +369,23 @@ def register(spark: SparkSession) -> None:
 URN = "urn:page:"
 
 
-def archive_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", uri_col: str = "url", min_revisit_bytes: int = 1000) -> DataFrame:
+def archive_records(
+    pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", uri_col: str = "url",
+    min_revisit_bytes: int = 1000,
+) -> DataFrame:
     """The records to write, one per row of pages: equal payloads of min_revisit_bytes or more point to the largest id.
 
     Payloads are equal if length and SHA-256 are. Keys alone are grouped and joined; the pages, payloads with them, stay where
     they are, but for those that revisit another and what a filter of fixed size lets through beside them. If one id has several rows,
     a revisit names that id, and the first response record of the id stands for them only where the rows' payloads agree.
     """
-    p = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("target_uri"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "utf-8").alias("payload"))
-    p = p.withColumn("n", F.octet_length("payload").cast("long")).withColumn("k", F.when(F.col("n") >= min_revisit_bytes, F.sha2("payload", 256)))
+    p = pages.select(
+        F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("target_uri"),
+        F.encode(F.coalesce(F.col(payload_col), F.lit("")), "utf-8").alias("payload"),
+    )
+    p = p.withColumn("n", F.octet_length("payload").cast("long")).withColumn(
+        "k", F.when(F.col("n") >= min_revisit_bytes, F.sha2("payload", 256)),
+    )
     keys = written(p.where("k is not null and id is not null").select("id", "k"), "warc-keys")
     twice = keys.groupBy("k").agg(F.max("id").alias("to"), F.count("*").alias("c")).where("c > 1").select("k", "to")
     again = keys.join(twice, "k").where("id <> to").select("id", "k", "to")
