@@ -45,7 +45,11 @@ def empty() -> Column:
 def single(token: str, id_: int, type_id: int = 0) -> Column:
     """The encoding of one inserted special token."""
     span = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
-    value = {"tokens": F.lit(token), "ids": F.lit(id_), "type_ids": F.lit(type_id), "attention_mask": F.lit(1), "special_tokens_mask": F.lit(1), "offsets": span, "word_ids": F.lit(None).cast("int"), "sequence_ids": F.lit(None).cast("int")}
+    value = {
+        "tokens": F.lit(token), "ids": F.lit(id_), "type_ids": F.lit(type_id), "attention_mask": F.lit(1),
+        "special_tokens_mask": F.lit(1), "offsets": span, "word_ids": F.lit(None).cast("int"),
+        "sequence_ids": F.lit(None).cast("int"),
+    }
     return _struct(lambda k: F.array(value[k]))
 
 
@@ -53,7 +57,10 @@ def of_content(content: C, type_id: int = 0, sequence: int = 0) -> Column:
     """The encoding of a kernel's content struct, without special tokens."""
     x = _c(content)
     n = F.size(x["ids"])
-    value = {"type_ids": _fill(type_id, n, "smallint"), "attention_mask": _fill(1, n, "tinyint"), "special_tokens_mask": _fill(0, n, "tinyint"), "sequence_ids": _fill(sequence, n, "int")}
+    value = {
+        "type_ids": _fill(type_id, n, "smallint"), "attention_mask": _fill(1, n, "tinyint"),
+        "special_tokens_mask": _fill(0, n, "tinyint"), "sequence_ids": _fill(sequence, n, "int"),
+    }
     return _struct(lambda k: value[k] if k in value else x[k])
 
 
@@ -109,19 +116,29 @@ def pair_lengths(a: Column, b: Column, max_length: int | Column, reserved: int,
     return keep(a, na), keep(b, nb)
 
 
-def truncate_pair(a: C, b: C, max_length: int | Column, reserved: int = 0, strategy: str = LONGEST_FIRST, direction: str = RIGHT) -> tuple[Column, Column]:
+def truncate_pair(
+    a: C, b: C, max_length: int | Column, reserved: int = 0, strategy: str = LONGEST_FIRST, direction: str = RIGHT,
+) -> tuple[Column, Column]:
     """Both contents cut by pair_lengths."""
     a, b = _c(a), _c(b)
     na, nb = pair_lengths(F.size(a["ids"]), F.size(b["ids"]), max_length, reserved, strategy)
     return truncate_content(a, na, direction), truncate_content(b, nb, direction)
 
 
-def pad(enc: C, target: int | Column, pad_id: int = 0, pad_token: str = "[PAD]", pad_type_id: int = 0, direction: str = RIGHT) -> Column:
+def pad(
+    enc: C, target: int | Column, pad_id: int = 0, pad_token: str = "[PAD]", pad_type_id: int = 0,
+    direction: str = RIGHT,
+) -> Column:
     """Padded to target tokens; never shortened."""
     x = _c(enc)
     n = F.greatest((target if isinstance(target, Column) else F.lit(target)) - F.size(x["ids"]), F.lit(0)).cast("int")
     span = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
-    fill = {"tokens": F.array_repeat(F.lit(pad_token), n), "ids": _fill(pad_id, n, "int"), "type_ids": _fill(pad_type_id, n, "smallint"), "attention_mask": _fill(0, n, "tinyint"), "special_tokens_mask": _fill(1, n, "tinyint"), "offsets": F.array_repeat(span, n), "word_ids": _fill(None, n, "int"), "sequence_ids": _fill(None, n, "int")}
+    fill = {
+        "tokens": F.array_repeat(F.lit(pad_token), n), "ids": _fill(pad_id, n, "int"),
+        "type_ids": _fill(pad_type_id, n, "smallint"), "attention_mask": _fill(0, n, "tinyint"),
+        "special_tokens_mask": _fill(1, n, "tinyint"), "offsets": F.array_repeat(span, n),
+        "word_ids": _fill(None, n, "int"), "sequence_ids": _fill(None, n, "int"),
+    }
     return F.when(n == 0, x).otherwise(_struct(lambda k: F.concat(fill[k], x[k]) if direction == LEFT else F.concat(x[k], fill[k])))
 
 
@@ -138,7 +155,10 @@ def apply_padding(enc: C, p: Padding | None, pad_id: int, longest: Column | None
     """A configured padding: to its length, or to longest where that is given, then up to its multiple."""
     if p is None:
         return _c(enc)
-    how = {"pad_id": pad_id if p.pad_id is None else p.pad_id, "pad_token": p.pad_token, "pad_type_id": p.pad_type_id, "direction": p.direction}
+    how = {
+        "pad_id": pad_id if p.pad_id is None else p.pad_id, "pad_token": p.pad_token, "pad_type_id": p.pad_type_id,
+        "direction": p.direction,
+    }
     n = length(enc)
     base = F.greatest(n, F.lit(p.length)) if p.length is not None else F.greatest(n, longest) if longest is not None else n
     return pad(enc, rounded(base, p.multiple), **how)
@@ -228,7 +248,10 @@ def to_json(enc: C) -> Column:
 
 
 #: What clean-up shortens, in this order, within each token and the space before it.
-CLEANUP = ((" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" ' ", "'"), (" n't", "n't"), (" 'm", "'m"), (" 's", "'s"), (" 've", "'ve"), (" 're", "'re"))
+CLEANUP = (
+    (" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" ' ", "'"), (" n't", "n't"), (" 'm", "'m"), (" 's", "'s"),
+    (" 've", "'ve"), (" 're", "'re"),
+)
 
 
 def join_tokens(tokens: C, prefix: str | None, legacy: bool, cleanup: bool = False) -> Column:

@@ -49,7 +49,10 @@ def strip_accents(text: Column | str) -> Column:
     marks = "".join(f"\\x{{{c:x}}}" for c in range(0x300, 0x370) if unicodedata.category(chr(c)) == "Mn")
     a, b = _accents()
     plain = r"^\p{ASCII}*+$"  # such texts need no look at each character
-    return _once(_c(text), lambda t: F.when(F.regexp_like(t, F.lit(plain)), t).otherwise(F.translate(F.regexp_replace(t, f"[{marks}]", ""), a, b)))
+    return _once(
+        _c(text),
+        lambda t: F.when(F.regexp_like(t, F.lit(plain)), t).otherwise(F.translate(F.regexp_replace(t, f"[{marks}]", ""), a, b)),
+    )
 
 
 def lowercase(text: Column | str) -> Column:
@@ -58,7 +61,9 @@ def lowercase(text: Column | str) -> Column:
     return _once(_c(text), lambda t: F.when(F.contains(t, F.lit("Σ")), apart(t)).otherwise(F.lower(t)))
 
 
-def normalize(text: Column | str, lower: bool = True, accents: bool = True, cjk: bool = True, clean: bool = True) -> Column:
+def normalize(
+    text: Column | str, lower: bool = True, accents: bool = True, cjk: bool = True, clean: bool = True,
+) -> Column:
     out = _c(text)
     for on, f in ((clean, clean_text), (cjk, space_cjk), (accents, strip_accents), (lower, lowercase)):
         out = f(out) if on else out

@@ -15,7 +15,9 @@ from subloom.operators.kernel import Content, Kernel
 
 
 def _lists(ends: list[int], values: pa.Array, valid: list[bool]) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ends)]), pa.int32()), values, mask=pa.array([not v for v in valid]))
+    return pa.ListArray.from_arrays(
+        pa.array(np.concatenate([[0], np.cumsum(ends)]), pa.int32()), values, mask=pa.array([not v for v in valid]),
+    )
 
 
 def to_arrow(contents: list[Content | None]) -> pa.StructArray:
@@ -25,7 +27,10 @@ def to_arrow(contents: list[Content | None]) -> pa.StructArray:
     flat = [list(itertools.chain.from_iterable(c[k] for c in contents if c is not None)) for k in range(5)]
     spans = pa.StructArray.from_arrays([pa.array(flat[2], pa.int32()), pa.array(flat[3], pa.int32())], ["start", "end"])
     values = [pa.array(flat[0], pa.string()), pa.array(flat[1], pa.int32()), spans, pa.array(flat[4], pa.int32())]
-    return pa.StructArray.from_arrays([_lists(sizes, v, valid) for v in values], ["tokens", "ids", "offsets", "word_ids"], mask=pa.array([not v for v in valid]))
+    return pa.StructArray.from_arrays(
+        [_lists(sizes, v, valid) for v in values], ["tokens", "ids", "offsets", "word_ids"],
+        mask=pa.array([not v for v in valid]),
+    )
 
 
 def _function(kernel: Kernel, returns: str, one: Callable) -> Callable[[Column], Column]:
@@ -41,12 +46,16 @@ def _function(kernel: Kernel, returns: str, one: Callable) -> Callable[[Column],
 
 def content_udf(kernel: Kernel) -> Callable[[Column], Column]:
     """text -> content struct. A null text gives null."""
-    return _function(kernel, CONTENT, lambda k, b: to_arrow([k.content(t) if t is not None else None for t in b.to_pylist()]))
+    return _function(
+        kernel, CONTENT, lambda k, b: to_arrow([k.content(t) if t is not None else None for t in b.to_pylist()]),
+    )
 
 
 def words_udf(kernel: Kernel) -> Callable[[Column], Column]:
     """array of words -> content struct. A null array gives null, a null word counts as empty."""
-    return _function(kernel, CONTENT, lambda k, b: to_arrow([k.words_content(w) if w is not None else None for w in b.to_pylist()]))
+    return _function(
+        kernel, CONTENT, lambda k, b: to_arrow([k.words_content(w) if w is not None else None for w in b.to_pylist()]),
+    )
 
 
 def ids_udf(kernel: Kernel) -> Callable[[Column], Column]:
@@ -62,7 +71,10 @@ def ids_udf(kernel: Kernel) -> Callable[[Column], Column]:
 
 def count_udf(kernel: Kernel) -> Callable[[Column], Column]:
     """text -> number of content tokens."""
-    return _function(kernel, "int", lambda k, b: pa.array([len(k.ids(t)) if t is not None else None for t in b.to_pylist()], pa.int32()))
+    return _function(
+        kernel, "int", lambda k,
+        b: pa.array([len(k.ids(t)) if t is not None else None for t in b.to_pylist()], pa.int32()),
+    )
 
 
 def _each(table: dict, missing: object, kind: pa.DataType, returns: str) -> Callable[[Column], Column]:

@@ -119,7 +119,9 @@ class Added:
             tokens[id_] = t
         return Added(self.vocab.with_added(names) if names else self.vocab, self.normalizer, tokens), count
 
-    def matches(self, text: str, found: tuple[dict[str, int], re.Pattern | None]) -> Iterator[tuple[int, int, int | None]]:
+    def matches(
+        self, text: str, found: tuple[dict[str, int], re.Pattern | None],
+    ) -> Iterator[tuple[int, int, int | None]]:
         """(start, end, id) pieces that cover text; id is None between matches. Leftmost, longest first; a rejected match
         is not tried shorter. Stripping tokens take the white space beside them, but not what is already taken."""
         ids, pattern = found

@@ -20,17 +20,23 @@ def vocabulary_rows(spark: SparkSession, vocab: Vocabulary, broadcast_tokens: in
     return F.broadcast(df) if len(rows) <= broadcast_tokens else df
 
 
-def prefixes(spark: SparkSession, texts: DataFrame, text: str, vocab: Vocabulary, start: int = 0, continuation: bool = False) -> DataFrame:
+def prefixes(
+    spark: SparkSession, texts: DataFrame, text: str, vocab: Vocabulary, start: int = 0, continuation: bool = False,
+) -> DataFrame:
     """texts with a row for every vocabulary piece that begins at start: piece, id, end. A hash join on substrings."""
     v = vocabulary_rows(spark, vocab).where(F.col("is_continuation") == continuation).select("piece", "id")
     longest = max(map(len, vocab.continuations if continuation else vocab.words), default=0)
     top = F.least(F.length(text) - start, F.lit(longest))
-    d = texts.withColumn("_n", F.explode(F.when(top >= 1, F.sequence(F.lit(1), top)).otherwise(F.array().cast("array<int>"))))
+    d = texts.withColumn(
+        "_n", F.explode(F.when(top >= 1, F.sequence(F.lit(1), top)).otherwise(F.array().cast("array<int>"))),
+    )
     d = d.withColumn("piece", F.substring(F.col(text), F.lit(start + 1), F.col("_n")))
     return d.join(v, "piece").withColumn("end", F.col("_n") + start).drop("_n")
 
 
-def word_pieces(spark: SparkSession, words: DataFrame, vocab: Vocabulary, unk_id: int, max_word_length: int = 200) -> DataFrame:
+def word_pieces(
+    spark: SparkSession, words: DataFrame, vocab: Vocabulary, unk_id: int, max_word_length: int = 200,
+) -> DataFrame:
     """(word, ids) for words(word), which should be distinct and dealt by word: greedy longest-match ids, one unknown id where it fails.
 
     Candidate substrings are matched by a hash join with the vocabulary; the best at each place is a max, and the walk
@@ -41,8 +47,14 @@ def word_pieces(spark: SparkSession, words: DataFrame, vocab: Vocabulary, unk_id
     n = F.length("word")
     short = words.where(n.between(1, max_word_length))
     at = short.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("pos"))
-    sub = at.select("word", "pos", F.explode(F.sequence(F.lit(1), F.least(F.length("word") - F.col("pos"), F.lit(longest)))).alias("len"))
-    sub = sub.select("word", "pos", "len", F.substring("word", F.col("pos") + 1, F.col("len")).alias("piece"), (F.col("pos") > 0).alias("is_continuation"))
+    sub = at.select(
+        "word", "pos",
+        F.explode(F.sequence(F.lit(1), F.least(F.length("word") - F.col("pos"), F.lit(longest)))).alias("len"),
+    )
+    sub = sub.select(
+        "word", "pos", "len", F.substring("word", F.col("pos") + 1, F.col("len")).alias("piece"),
+        (F.col("pos") > 0).alias("is_continuation"),
+    )
     hit = sub.join(v.select("piece", "is_continuation", "id"), ["piece", "is_continuation"])
     best = hit.groupBy("word", "pos").agg(F.max(F.struct("len", "id")).alias("m"))
     table = best.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct(F.col("pos"), F.col("m")))).alias("best"))
@@ -107,11 +119,16 @@ def token_counts(
         x = pairs.join(word_pieces(spark, words, vocab, unk_id), "word")
         ids = x.select(*by, "c", F.posexplode("ids").alias("pos", "id"))
     else:
-        found = pairs.select(*by, "c", F.posexplode(F.coalesce(walked("word", vocab), F.array(F.lit(None).cast("string")))).alias("pos", "piece"))
+        found = pairs.select(
+            *by, "c",
+            F.posexplode(F.coalesce(walked("word", vocab), F.array(F.lit(None).cast("string")))).alias("pos", "piece"),
+        )
         found = found.groupBy(*by, "piece", (F.col("pos") > 0).alias("is_continuation")).agg(F.sum("c").alias("c"))
         known = vocabulary_rows(spark, vocab).select("piece", "is_continuation", "id")
         ids = found.join(known, ["piece", "is_continuation"], "left")
-        ids = ids.select(*by, "c", F.col("is_continuation").cast("int").alias("pos"), F.coalesce("id", F.lit(unk_id)).alias("id"))
+        ids = ids.select(
+            *by, "c", F.col("is_continuation").cast("int").alias("pos"), F.coalesce("id", F.lit(unk_id)).alias("id")
+        )
     begins, c = F.col("pos") == 0, F.col("c")
     return ids.groupBy(*by).agg(
         F.sum(F.when(begins, c)).alias("n_words"), F.sum("c").alias("n_tokens"),

@@ -45,7 +45,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "conv_id", "turn", "role", "text")
+    return _table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "conv_id", "turn", "role", "text",
+    )
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +56,14 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(nxt, ["conv_id", "turn"])
 
 
-def rows(df: DataFrame, enc: str = "encoding", keys: tuple[str, ...] = ("k",), fields: tuple[str, ...] = ()) -> DataFrame:
+def rows(
+    df: DataFrame, enc: str = "encoding", keys: tuple[str, ...] = ("k",), fields: tuple[str, ...] = (),
+) -> DataFrame:
     """A flat row for every token of an encoding column."""
-    names = {"tokens": "token", "ids": "id", "type_ids": "type_id", "attention_mask": "attention", "special_tokens_mask": "special", "word_ids": "word_id", "sequence_ids": "sequence_id"}
+    names = {
+        "tokens": "token", "ids": "id", "type_ids": "type_id", "attention_mask": "attention",
+        "special_tokens_mask": "special", "word_ids": "word_id", "sequence_ids": "sequence_id",
+    }
     chosen = fields or (*names, "offsets")
     x = df.select(*keys, F.posexplode(F.arrays_zip(*[F.col(enc)[f].alias(f) for f in chosen])).alias("i", "x"))
     out = [F.col(f"x.{f}").alias(n) if f == "tokens" else F.col(f"x.{f}").cast("int").alias(n) for f, n in names.items() if f in chosen]
@@ -121,7 +128,9 @@ def _single_ctes(content: str = "tok", counts: str = "tokn", out: str = "enc") -
  UNION ALL SELECT k, n + 1, '[SEP]', 3, 0, 1, 1, NULL, NULL, 0, 0 FROM {counts})"""
 
 
-def _cut_ctes(n: str, left: bool, content: str = "tok", counts: str = "tokn", out: str = "cut", limits: str = "") -> str:
+def _cut_ctes(
+    n: str, left: bool, content: str = "tok", counts: str = "tokn", out: str = "cut", limits: str = "",
+) -> str:
     """Content and counts cut to n tokens, an expression over counts and what limits joins to it."""
     keep = "t.i >= c.n - m" if left else "t.i < m"
     move = "t.i - greatest(c.n - m, 0)" if left else "t.i"
@@ -165,7 +174,9 @@ def query(name: str, run: Query, oracle: str | None = None) -> None:
 
 def wordpiece_token_counts(spark: SparkSession, d: str) -> DataFrame:
     """Token counts per language by a plan without Python. Accents and case, which change no boundary, wait for the distinct words."""
-    docs = _table(spark, d, "documents").select("lang", T.pieces(T.normalize("text", lower=False, accents=False)).alias("words"))
+    docs = _table(spark, d, "documents").select(
+        "lang", T.pieces(T.normalize("text", lower=False, accents=False)).alias("words"),
+    )
     v = vocabulary()
     return token_counts(spark, docs, "words", v, v.unk_id, ["lang"], lambda w: T.lowercase(T.strip_accents(w)))
 
@@ -180,7 +191,10 @@ def encode_document_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids of every whole document by the ids-only kernel, as length, sum and position-weighted sum."""
     x = _table(spark, d, "documents").select("doc_id", tokenizer().ids("text").alias("ids"))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, i: s + i)
-    return x.select("doc_id", F.size("ids").alias("n_tokens"), total("ids").alias("id_sum"), total(F.transform("ids", lambda v, i: v.cast("long") * (i % 97 + 1))).alias("weighted"))
+    return x.select(
+        "doc_id", F.size("ids").alias("n_tokens"), total("ids").alias("id_sum"),
+        total(F.transform("ids", lambda v, i: v.cast("long") * (i % 97 + 1))).alias("weighted"),
+    )
 
 
 query("encode_document_ids", encode_document_ids, _with(_content_ctes("SELECT doc_id AS k, text FROM documents")) + """
@@ -207,9 +221,18 @@ query("pretokenize_split", lambda s, d: _table(s, d, "documents").select("doc_id
 query("encode_single", lambda s, d: rows(_encoded()(s, d)), _single_sql())
 query("encode_without_special", lambda s, d: rows(tokenizer().encode(_turns(s, d), "text", add_special_tokens=False)),
       _with(_content_ctes(_TURNS)) + f"SELECT {_ENC_COLUMNS} FROM (SELECT *, 0 AS ty, 1 AS att, 0 AS sp, 0 AS sq FROM tok)")
-query("encode_offsets", lambda s, d: rows(_encoded()(s, d), fields=("tokens", "offsets")), _single_sql("SELECT k, CAST(i AS INTEGER) AS i, token, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS stop FROM enc"))
-query("encode_word_ids", lambda s, d: rows(_encoded()(s, d), fields=("word_ids", "sequence_ids")), _single_sql("SELECT k, CAST(i AS INTEGER) AS i, CAST(w AS INTEGER) AS word_id, CAST(sq AS INTEGER) AS sequence_id FROM enc"))
-query("encode_parallel_batch", lambda s, d: rows(tokenizer().encode_batch(_turns(s, d), "text", num_workers=4)), _single_sql())
+query(
+    "encode_offsets", lambda s, d: rows(_encoded()(s, d), fields=("tokens", "offsets")),
+    _single_sql("SELECT k, CAST(i AS INTEGER) AS i, token, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS stop FROM enc"),
+)
+query(
+    "encode_word_ids", lambda s, d: rows(_encoded()(s, d), fields=("word_ids", "sequence_ids")),
+    _single_sql("SELECT k, CAST(i AS INTEGER) AS i, CAST(w AS INTEGER) AS word_id, CAST(sq AS INTEGER) AS sequence_id FROM enc"),
+)
+query(
+    "encode_parallel_batch", lambda s, d: rows(tokenizer().encode_batch(_turns(s, d), "text", num_workers=4)),
+    _single_sql(),
+)
 
 
 def _sql_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -218,19 +241,39 @@ def _sql_tokens(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT t.k, x.i, x.token, x.id, x.start, x.`end` AS stop, x.word_id FROM subloom_turns t, LATERAL wp_tokens(t.text) x")
 
 
-query("sql_table_function", _sql_tokens, _with(_content_ctes(_TURNS)) + "SELECT k, i, token, id, a AS start, b AS stop, w AS word_id FROM tok")
+query(
+    "sql_table_function", _sql_tokens,
+    _with(_content_ctes(_TURNS)) + "SELECT k, i, token, id, a AS start, b AS stop, w AS word_id FROM tok",
+)
 
 # truncation and padding
 
 for _name, _left in (("truncate_right", False), ("truncate_left", True)):
     query(_name, lambda s, d, left=_left: rows(_encoded(lambda t: t.with_truncation(12, "left" if left else "right"))(s, d)),
           _with(_content_ctes(_TURNS), _cut_ctes("10", _left), _single_ctes("cut", "cutn")) + f"SELECT {_ENC_COLUMNS} FROM enc")
-query("truncate_finished", lambda s, d: rows(_encoded()(s, d).withColumn("encoding", E.truncate("encoding", 7))), _single_sql(f"SELECT {_ENC_COLUMNS} FROM enc WHERE i < 7"))
-query("pad_fixed_right", lambda s, d: rows(_encoded(lambda t: t.with_padding(64))(s, d)), _single_sql(_padded("64"), _LEN))
-query("pad_fixed_left", lambda s, d: rows(_encoded(lambda t: t.with_padding(64, direction="left"))(s, d)), _single_sql(_padded("64", True), _LEN))
-query("pad_to_multiple", lambda s, d: rows(_encoded(lambda t: t.with_padding(multiple=16))(s, d)), _single_sql(_padded("CAST(ceil(n / 16.0) * 16 AS BIGINT)"), _LEN))
-query("pad_fixed_and_multiple", lambda s, d: rows(_encoded(lambda t: t.with_padding(50, 8))(s, d)), _single_sql(_padded("CAST(ceil(greatest(n, 50) / 8.0) * 8 AS BIGINT)"), _LEN))
-query("pad_batch_longest", lambda s, d: rows(tokenizer().with_padding().encode_batch(_turns(s, d), "text", "conv_id")), _single_sql(_padded("max(n) OVER (PARTITION BY k // 1000)"), _LEN))
+query(
+    "truncate_finished", lambda s, d: rows(_encoded()(s, d).withColumn("encoding", E.truncate("encoding", 7))),
+    _single_sql(f"SELECT {_ENC_COLUMNS} FROM enc WHERE i < 7"),
+)
+query(
+    "pad_fixed_right", lambda s, d: rows(_encoded(lambda t: t.with_padding(64))(s, d)), _single_sql(_padded("64"), _LEN),
+)
+query(
+    "pad_fixed_left", lambda s, d: rows(_encoded(lambda t: t.with_padding(64, direction="left"))(s, d)),
+    _single_sql(_padded("64", True), _LEN),
+)
+query(
+    "pad_to_multiple", lambda s, d: rows(_encoded(lambda t: t.with_padding(multiple=16))(s, d)),
+    _single_sql(_padded("CAST(ceil(n / 16.0) * 16 AS BIGINT)"), _LEN),
+)
+query(
+    "pad_fixed_and_multiple", lambda s, d: rows(_encoded(lambda t: t.with_padding(50, 8))(s, d)),
+    _single_sql(_padded("CAST(ceil(greatest(n, 50) / 8.0) * 8 AS BIGINT)"), _LEN),
+)
+query(
+    "pad_batch_longest", lambda s, d: rows(tokenizer().with_padding().encode_batch(_turns(s, d), "text", "conv_id")),
+    _single_sql(_padded("max(n) OVER (PARTITION BY k // 1000)"), _LEN),
+)
 query("pad_batch_whole_table", lambda s, d: rows(tokenizer().with_padding(multiple=8).with_truncation(30).encode_batch(_turns(s, d), "text"), fields=("ids", "attention_mask")),
       _with(_content_ctes(_TURNS), _cut_ctes("28", False), _single_ctes("cut", "cutn"), _LEN) + f"SELECT k, i, id, attention FROM ({_padded('CAST(ceil(max(n) OVER () / 8.0) * 8 AS BIGINT)')})")
 
@@ -266,7 +309,9 @@ def _pair_cut(strategy: str, limit: int, left: bool) -> tuple[str, ...]:
     lim = f"""
 lim AS (SELECT k, CASE WHEN na + nb <= {v} THEN na ELSE {na} END AS ca, CASE WHEN na + nb <= {v} THEN nb ELSE {nb} END AS cb
  FROM (SELECT x.k, x.n AS na, y.n AS nb FROM tan x JOIN tbn y USING (k)) WHERE {some})"""
-    return lim, _cut_ctes("ca", left, "ta", "tan", "xa", " JOIN lim USING (k)"), _cut_ctes("cb", left, "tb", "tbn", "xb", " JOIN lim USING (k)")
+    return lim, _cut_ctes("ca", left, "ta", "tan", "xa", " JOIN lim USING (k)"), _cut_ctes(
+        "cb", left, "tb", "tbn", "xb", " JOIN lim USING (k)",
+    )
 
 
 def _cut_pairs(strategy: str, limit: int, left: bool) -> Query:
@@ -279,7 +324,10 @@ def _cut_pairs(strategy: str, limit: int, left: bool) -> Query:
     return run
 
 
-query("encode_pair", lambda s, d: rows(tokenizer().encode_pair(_pairs(s, d), "text", "reply")), _with(*_PAIR_CONTENT, _pair_ctes()) + f"SELECT {_ENC_COLUMNS} FROM enc")
+query(
+    "encode_pair", lambda s, d: rows(tokenizer().encode_pair(_pairs(s, d), "text", "reply")),
+    _with(*_PAIR_CONTENT, _pair_ctes()) + f"SELECT {_ENC_COLUMNS} FROM enc",
+)
 for _strategy, _limit, _left in (
     ("longest_first", 32, False), ("longest_first", 33, True), ("only_first", 300, False), ("only_first", 260, True),
     ("only_second", 300, True), ("only_second", 260, False),
@@ -287,7 +335,11 @@ for _strategy, _limit, _left in (
     _name = f"truncate_pair_{_strategy}" + ("_left" if _left else "")
     _sql = _with(*_PAIR_CONTENT, *_pair_cut(_strategy, _limit, _left), _pair_ctes("xa", "xb")) + f"SELECT {_ENC_COLUMNS} FROM enc"
     query(_name, _cut_pairs(_strategy, _limit, _left), _sql)
-query("truncate_pair_do_not_truncate", lambda s, d: rows(tokenizer().with_truncation(8, strategy="do_not_truncate").encode_pair(_pairs(s, d), "text", "reply")), ORACLES["encode_pair"])
+query(
+    "truncate_pair_do_not_truncate", lambda s,
+    d: rows(tokenizer().with_truncation(8, strategy="do_not_truncate").encode_pair(_pairs(s, d), "text", "reply")),
+    ORACLES["encode_pair"],
+)
 query("encode_pair_batch", lambda s, d: rows(tokenizer().with_padding().encode_pair_batch(_pairs(s, d), "text", "reply", "conv_id", num_workers=3)),
       _with(*_PAIR_CONTENT, _pair_ctes(), _LEN) + _padded("max(n) OVER (PARTITION BY k // 1000)"))
 query("n_sequences", lambda s, d: tokenizer().encode_pair(_pairs(s, d), "text", "reply").select("k", E.n_sequences("encoding").alias("n_sequences")),
@@ -305,7 +357,10 @@ def _words(spark: SparkSession, d: str) -> DataFrame:
     return _turns(spark, d).withColumn("words", F.split("text", " ", -1))
 
 
-query("encode_pretokenized", lambda s, d: rows(tokenizer().encode_pretokenized(_words(s, d), "words")), _with(_content_ctes(_ITEMS), _WORD_ENC, _single_ctes("flat", "flatn")) + f"SELECT {_ENC_COLUMNS} FROM enc")
+query(
+    "encode_pretokenized", lambda s, d: rows(tokenizer().encode_pretokenized(_words(s, d), "words")),
+    _with(_content_ctes(_ITEMS), _WORD_ENC, _single_ctes("flat", "flatn")) + f"SELECT {_ENC_COLUMNS} FROM enc",
+)
 query("encode_pretokenized_pair", lambda s, d: rows(tokenizer().encode_pretokenized_pair(_words(s, d), "words", "words"), fields=("ids", "type_ids", "word_ids", "sequence_ids")),
       _with(_content_ctes(_ITEMS), _WORD_ENC, _pair_ctes("flat", "flat")) + "SELECT k, CAST(i AS INTEGER) AS i, CAST(id AS INTEGER) AS id, CAST(ty AS INTEGER) AS type_id, CAST(w AS INTEGER) AS word_id, CAST(sq AS INTEGER) AS sequence_id FROM enc")
 
@@ -318,11 +373,16 @@ query("encode_pretokenized_pair_batch", lambda s, d: rows(tokenizer().with_paddi
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
-    x = tokenizer().encode_pretokenized(_words(spark, d), "words").withColumn("labels", F.transform("words", lambda w, i: i % 7))
+    x = tokenizer().encode_pretokenized(_words(spark, d), "words").withColumn(
+        "labels", F.transform("words", lambda w, i: i % 7),
+    )
     return x.select("k", F.posexplode(E.label_tokens("encoding", "labels")).alias("i", "label"))
 
 
-query("label_tokens", _labels, _with(_content_ctes(_ITEMS), _WORD_ENC, _single_ctes("flat", "flatn")) + "SELECT k, CAST(i AS INTEGER) AS i, CAST(CASE WHEN w IS NULL OR w = lag(w) OVER (PARTITION BY k ORDER BY i) THEN -100 ELSE w % 7 END AS INTEGER) AS label FROM enc")
+query(
+    "label_tokens", _labels,
+    _with(_content_ctes(_ITEMS), _WORD_ENC, _single_ctes("flat", "flatn")) + "SELECT k, CAST(i AS INTEGER) AS i, CAST(CASE WHEN w IS NULL OR w = lag(w) OVER (PARTITION BY k ORDER BY i) THEN -100 ELSE w % 7 END AS INTEGER) AS label FROM enc",
+)
 
 # decoding and lookups
 
@@ -343,7 +403,10 @@ def _prefixes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PART_WORDS = "SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part"
-query("all_prefixes", _prefixes, f'WITH vocab(piece, cont, id, token) AS (VALUES {_vocab_values()}), w AS ({_PART_WORDS}) SELECT word, piece, id, CAST(length(piece) AS INTEGER) AS "end" FROM w JOIN vocab ON starts_with(word, piece) AND NOT cont')
+query(
+    "all_prefixes", _prefixes,
+    f'WITH vocab(piece, cont, id, token) AS (VALUES {_vocab_values()}), w AS ({_PART_WORDS}) SELECT word, piece, id, CAST(length(piece) AS INTEGER) AS "end" FROM w JOIN vocab ON starts_with(word, piece) AND NOT cont',
+)
 query("longest_prefix", lambda s, d: _prefixes(s, d).groupBy("word").agg(F.max(F.struct("end", "piece", "id")).alias("m")).select("word", "m.piece", "m.id", "m.end"),
       f'WITH vocab(piece, cont, id, token) AS (VALUES {_vocab_values()}), w AS ({_PART_WORDS}) SELECT word, arg_max(piece, length(piece)) AS piece, arg_max(id, length(piece)) AS id, CAST(max(length(piece)) AS INTEGER) AS "end" FROM w JOIN vocab ON starts_with(word, piece) AND NOT cont GROUP BY word')
 
@@ -378,10 +441,21 @@ query("encoding_to_json", _json_round_trip, _single_sql())
 def _added(token: AddedToken) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         t, _ = tokenizer().add_tokens([token])
-        x = t.encode(_table(spark, d, "documents").select(F.col("doc_id").alias("k"), "text"), "text", add_special_tokens=False)
+        x = t.encode(
+            _table(spark, d, "documents").select(F.col("doc_id").alias("k"), "text"), "text", add_special_tokens=False,
+        )
         new = t.vocab.token_to_id(token.content)
-        hit = F.filter(F.arrays_zip(F.col("encoding.tokens").alias("token"), F.col("encoding.ids").alias("id"), F.col("encoding.offsets").alias("o")), lambda x: x["id"] == new)
-        return x.select("k", F.size(hit).alias("n"), F.coalesce(F.aggregate(hit, F.lit(0).cast("long"), lambda a, h: a + h["o"]["start"] * 3 + h["o"]["end"]), F.lit(0)).alias("places"))
+        hit = F.filter(
+            F.arrays_zip(
+                F.col("encoding.tokens").alias("token"), F.col("encoding.ids").alias("id"),
+                F.col("encoding.offsets").alias("o"),
+            ),
+            lambda x: x["id"] == new,
+        )
+        return x.select(
+            "k", F.size(hit).alias("n"),
+            F.coalesce(F.aggregate(hit, F.lit(0).cast("long"), lambda a, h: a + h["o"]["start"] * 3 + h["o"]["end"]), F.lit(0)).alias("places"),
+        )
 
     return run
 
@@ -404,8 +478,14 @@ h AS (SELECT doc_id, j, g, lead(g) OVER w AS g2, lead(j, 2) OVER w IS NOT NULL A
 m AS (SELECT doc_id, s FROM h WHERE g2 IS NOT NULL AND NOT regexp_matches(
   right(CASE WHEN g <> '' THEN g WHEN j > 0 THEN 'n' ELSE ' ' END, 1) || left(CASE WHEN g2 <> '' THEN g2 WHEN more THEN 't' ELSE ' ' END, 1), '[\\p{L}\\p{M}\\p{Nd}_]'))
 SELECT doc_id AS k, CAST(count(s) AS INTEGER) AS n, CAST(coalesce(sum(4 * s + 4), 0) AS BIGINT) AS places FROM documents LEFT JOIN m USING (doc_id) GROUP BY doc_id""")
-query("added_token_strip", _added(AddedToken("then", lstrip=True, rstrip=True, normalized=False)), _added_sql("[ \\t\\n\\r]*then[ \\t\\n\\r]*", 0))
-query("added_token_normalized", _added(AddedToken("ÉAU", normalized=True)), _added_sql("eau", 0, "lower(strip_accents(text))"))
+query(
+    "added_token_strip", _added(AddedToken("then", lstrip=True, rstrip=True, normalized=False)),
+    _added_sql("[ \\t\\n\\r]*then[ \\t\\n\\r]*", 0),
+)
+query(
+    "added_token_normalized", _added(AddedToken("ÉAU", normalized=True)),
+    _added_sql("eau", 0, "lower(strip_accents(text))"),
+)
 
 
 def _added_special(spark: SparkSession, d: str) -> DataFrame:
@@ -414,10 +494,16 @@ def _added_special(spark: SparkSession, d: str) -> DataFrame:
     x = _turns(spark, d).withColumn("text", F.replace("text", F.lit(" then "), F.lit("<then>")))
     x = t.encode(x, "text", add_special_tokens=False)
     new = t.vocab.token_to_id("<then>")
-    return x.select("k", F.size(F.filter("encoding.ids", lambda i: i == new)).alias("n"), F.contains(t.decode("encoding.ids"), F.lit("then>")).alias("shown"))
+    return x.select(
+        "k", F.size(F.filter("encoding.ids", lambda i: i == new)).alias("n"),
+        F.contains(t.decode("encoding.ids"), F.lit("then>")).alias("shown"),
+    )
 
 
-query("added_special_token", _added_special, "SELECT conv_id * 1000 + turn AS k, CAST(len(string_split(text, ' then ')) - 1 AS INTEGER) AS n, false AS shown FROM conversations")
+query(
+    "added_special_token", _added_special,
+    "SELECT conv_id * 1000 + turn AS k, CAST(len(string_split(text, ' then ')) - 1 AS INTEGER) AS n, false AS shown FROM conversations",
+)
 
 # a tokenizer.json with its own template, cleanup and padding
 
@@ -426,7 +512,10 @@ def json_settings() -> dict:
     ids = {t: i for i, t in enumerate(LINES)}
     return {
         "model": {"type": "WordPiece", "vocab": ids, "unk_token": "[UNK]", "continuing_subword_prefix": "##", "max_input_chars_per_word": 200},
-        "normalizer": {"type": "BertNormalizer", "clean_text": True, "handle_chinese_chars": True, "strip_accents": None, "lowercase": True},
+        "normalizer": {
+            "type": "BertNormalizer", "clean_text": True, "handle_chinese_chars": True, "strip_accents": None,
+            "lowercase": True,
+        },
         "pre_tokenizer": {"type": "BertPreTokenizer"},
         "post_processor": {"type": "BertProcessing", "cls": ["[CLS]", 2], "sep": ["[SEP]", 3]},
         "decoder": {"type": "WordPiece", "prefix": "##", "cleanup": True},
@@ -449,14 +538,25 @@ def _stored(spark: SparkSession, text: str) -> str:
     return path
 
 
-query("vocab_file_encode", lambda s, d: rows(WordPieceTokenizer.from_vocab_file(_stored(s, "\n".join(LINES)), s).encode(_turns(s, d), "text")), ORACLES["encode_single"])
-query("json_file_encode", lambda s, d: rows(WordPieceTokenizer.from_tokenizer_json(_stored(s, json.dumps(json_settings())), s).encode(_turns(s, d), "text")), ORACLES["encode_single"])
+query(
+    "vocab_file_encode", lambda s,
+    d: rows(WordPieceTokenizer.from_vocab_file(_stored(s, "\n".join(LINES)), s).encode(_turns(s, d), "text")),
+    ORACLES["encode_single"],
+)
+query(
+    "json_file_encode", lambda s,
+    d: rows(WordPieceTokenizer.from_tokenizer_json(_stored(s, json.dumps(json_settings())), s).encode(_turns(s, d), "text")),
+    ORACLES["encode_single"],
+)
 query("vocabulary_from_string", lambda s, d: Vocabulary.from_string("b \n\n##a\r\nab\nb\n[X]\n").dataframe(s).select("token", "id"),
       "SELECT token, CAST(id AS INTEGER) AS id FROM (VALUES ('##a', 2), ('ab', 3), ('b', 4), ('[X]', 5)) v(token, id)")
 
 #: B before A, with types of their own, and one separator.
 _TEMPLATE = {"type": "TemplateProcessing", "single": [{"SpecialToken": {"id": "[CLS]", "type_id": 3}}, {"Sequence": {"id": "A", "type_id": 0}}],
-             "pair": [{"Sequence": {"id": "B", "type_id": 2}}, {"SpecialToken": {"id": "[SEP]", "type_id": 4}}, {"Sequence": {"id": "A", "type_id": 5}}],
+             "pair": [
+                 {"Sequence": {"id": "B", "type_id": 2}}, {"SpecialToken": {"id": "[SEP]", "type_id": 4}},
+                 {"Sequence": {"id": "A", "type_id": 5}},
+             ],
              "special_tokens": {t: {"id": t, "ids": [i], "tokens": [t]} for t, i in (("[CLS]", 2), ("[SEP]", 3))}}
 query("json_template_pair", lambda s, d: rows(json_tokenizer(post_processor=_TEMPLATE).encode_pair(_pairs(s, d), "text", "reply")), _with(*_PAIR_CONTENT, """
 enc AS (SELECT k, i, token, id, 2 AS ty, 1 AS att, 0 AS sp, w, 1 AS sq, a, b FROM tb
@@ -465,7 +565,11 @@ enc AS (SELECT k, i, token, id, 2 AS ty, 1 AS att, 0 AS sp, w, 1 AS sq, a, b FRO
 query("json_without_processor_pair", lambda s, d: rows(json_tokenizer(post_processor=None).encode_pair(_pairs(s, d), "text", "reply")), _with(*_PAIR_CONTENT, """
 enc AS (SELECT k, i, token, id, 0 AS ty, 1 AS att, 0 AS sp, w, 0 AS sq, a, b FROM ta
  UNION ALL SELECT k, i + x.n, token, id, 1, 1, 0, w, 1, a, b FROM tb JOIN tan x USING (k))""") + f"SELECT {_ENC_COLUMNS} FROM enc")
-query("json_config_override", lambda s, d: rows(json_tokenizer(WordPieceConfig(), post_processor=_TEMPLATE).encode(_turns(s, d), "text")), ORACLES["encode_single"])
+query(
+    "json_config_override", lambda s,
+    d: rows(json_tokenizer(WordPieceConfig(), post_processor=_TEMPLATE).encode(_turns(s, d), "text")),
+    ORACLES["encode_single"],
+)
 query("decode_without_decoder", lambda s, d: json_tokenizer(decoder=None).encode(_turns(s, d), "text").select("k", json_tokenizer(decoder=None).decode("encoding.ids").alias("decoded")),
       _with(_content_ctes(_TURNS)) + "SELECT k, coalesce(string_agg(token, ' ' ORDER BY i) FILTER (id > 4), '') AS decoded FROM tokn LEFT JOIN tok USING (k) GROUP BY k")
 

@@ -9,7 +9,10 @@ from typing import Any
 from subloom.config import LEFT, LONGEST_FIRST, MAX_ID, ONLY_FIRST, ONLY_SECOND, RIGHT, AddedToken, Normalizer, Padding, Part, TokenizerFormatError, Truncation, WordPieceConfig
 
 #: The component types that can be run; null is allowed for each.
-SUPPORTED = {"normalizer": ("BertNormalizer",), "pre_tokenizer": ("BertPreTokenizer",), "post_processor": ("TemplateProcessing", "BertProcessing"), "decoder": ("WordPiece",)}
+SUPPORTED = {
+    "normalizer": ("BertNormalizer",), "pre_tokenizer": ("BertPreTokenizer",),
+    "post_processor": ("TemplateProcessing", "BertProcessing"), "decoder": ("WordPiece",),
+}
 _DIRECTION = {None: RIGHT, "Right": RIGHT, "Left": LEFT}
 _STRATEGY = {"LongestFirst": LONGEST_FIRST, "OnlyFirst": ONLY_FIRST, "OnlySecond": ONLY_SECOND}
 _FLAGS = ("single_word", "lstrip", "rstrip", "normalized", "special")
@@ -71,13 +74,22 @@ def parse(text: str) -> TokenizerJson:
     lower = _flag(n, "lowercase", True) if n else False
     accents = n.get("strip_accents") if n else False
     _need(accents is None or isinstance(accents, bool), "strip_accents must be a boolean or null")
-    normalizer = Normalizer(lower, lower if accents is None else accents, _flag(n, "handle_chinese_chars", True) if n else False, _flag(n, "clean_text", True) if n else False, j.get("pre_tokenizer") is not None)
+    normalizer = Normalizer(
+        lower, lower if accents is None else accents, _flag(n, "handle_chinese_chars", True) if n else False,
+        _flag(n, "clean_text", True) if n else False, j.get("pre_tokenizer") is not None,
+    )
     names = {p.token for p in single or ()}
-    config = WordPieceConfig(normalizer.lowercase, normalizer.strip_accents, normalizer.handle_chinese_chars, *config_bits, "[CLS]" in names, "[SEP]" in names)
+    config = WordPieceConfig(
+        normalizer.lowercase, normalizer.strip_accents, normalizer.handle_chinese_chars, *config_bits, "[CLS]" in names,
+        "[SEP]" in names,
+    )
     d = j.get("decoder")
     prefix = d.get("prefix") if d else None
     _need(prefix is None or isinstance(prefix, str), "decoder prefix must be a string")
-    return TokenizerJson(vocab, config, normalizer, unk, added, single, pair, prefix, bool(d and _flag(d, "cleanup", False)), d is not None, _padding(j), _truncation(j), j)
+    return TokenizerJson(
+        vocab, config, normalizer, unk, added, single, pair, prefix, bool(d and _flag(d, "cleanup", False)),
+        d is not None, _padding(j), _truncation(j), j,
+    )
 
 
 def _model(j: dict) -> tuple[dict[str, int], tuple[str, int], str]:
@@ -101,7 +113,10 @@ def _added(j: dict, vocab: dict[str, int]) -> tuple[AddedToken, ...]:
     _need(entries is None or isinstance(entries, list), "added_tokens must be a list")
     out = []
     for t in entries or ():
-        _need(isinstance(t, dict) and isinstance(t.get("content"), str) and t["content"] != "" and _int(t.get("id"), 0, 1 << 62), f"bad added token: {t}")
+        _need(
+            isinstance(t, dict) and isinstance(t.get("content"), str) and t["content"] != "" and _int(t.get("id"), 0, 1 << 62),
+            f"bad added token: {t}",
+        )
         _need(all(isinstance(t[f], bool) for f in _FLAGS if f in t), f"flags of {t['content']!r} must be booleans")
         out.append(AddedToken(t["content"], **{f: t[f] for f in _FLAGS if f in t}))
         if t["content"] not in vocab:
@@ -118,7 +133,10 @@ def _templates(p: dict | None, vocab: dict[str, int]) -> tuple[tuple[Part, ...]
     if p["type"] == "BertProcessing":
         for key in ("cls", "sep"):
             x = p.get(key)
-            _need(isinstance(x, list) and len(x) == 2 and isinstance(x[0], str) and x[0] in vocab and x[1] == vocab[x[0]], f"bad BertProcessing.{key}")
+            _need(
+                isinstance(x, list) and len(x) == 2 and isinstance(x[0], str) and x[0] in vocab and x[1] == vocab[x[0]],
+                f"bad BertProcessing.{key}",
+            )
         cls, sep = p["cls"][0], p["sep"][0]
         one = (Part(0, token=cls), a, Part(0, token=sep))
         return one, (*one, Part(1, sequence="B"), Part(1, token=sep))
@@ -134,17 +152,29 @@ def _template(p: dict, key: str, vocab: dict[str, int]) -> tuple[Part, ...]:
     for e in entries:
         _need(isinstance(e, dict) and len(e) == 1, "a template entry has one key")
         ((kind, x),) = e.items()
-        _need(kind in ("Sequence", "SpecialToken") and isinstance(x, dict) and _int(x.get("type_id"), 0, 255), f"bad template entry: {e}")
+        _need(
+            kind in ("Sequence", "SpecialToken") and isinstance(x, dict) and _int(x.get("type_id"), 0, 255),
+            f"bad template entry: {e}",
+        )
         name = x.get("id")
         if kind == "Sequence":
-            _need(name in (("A",) if key == "single" else ("A", "B")) and all(q.sequence != name for q in parts), "each sequence stands once in its template")
+            _need(
+                name in (("A",) if key == "single" else ("A", "B")) and all(q.sequence != name for q in parts),
+                "each sequence stands once in its template",
+            )
             parts.append(Part(x["type_id"], sequence=name))
             continue
         _need(isinstance(name, str) and name in vocab, f"template token {name!r} is not in the vocabulary")
         meaning = (known or {}).get(name)
-        _need(meaning is None or isinstance(meaning, dict) and meaning.get("ids") == [vocab[name]] and meaning.get("tokens") == [name], f"template token {name!r} must stand for itself")
+        _need(
+            meaning is None or isinstance(meaning, dict) and meaning.get("ids") == [vocab[name]] and meaning.get("tokens") == [name],
+            f"template token {name!r} must stand for itself",
+        )
         parts.append(Part(x["type_id"], token=name))
-    _need({q.sequence for q in parts} >= ({"A"} if key == "single" else {"A", "B"}), "a sequence is missing in the template")
+    _need(
+        {q.sequence for q in parts} >= ({"A"} if key == "single" else {"A", "B"}),
+        "a sequence is missing in the template",
+    )
     return tuple(parts)
 
 
@@ -157,7 +187,10 @@ def _truncation(j: dict) -> Truncation | None:
     if t is None:
         return None
     _need((t.get("stride") or 0) == 0, "truncation with a stride is not supported")
-    _need(_int(t.get("max_length"), 0, 1 << 62) and _one_of(t.get("direction"), _DIRECTION) and _one_of(t.get("strategy"), _STRATEGY), "bad truncation")
+    _need(
+        _int(t.get("max_length"), 0, 1 << 62) and _one_of(t.get("direction"), _DIRECTION) and _one_of(t.get("strategy"), _STRATEGY),
+        "bad truncation",
+    )
     return Truncation(t["max_length"], _DIRECTION[t.get("direction")], _STRATEGY[t["strategy"]])
 
 
@@ -169,5 +202,11 @@ def _padding(j: dict) -> Padding | None:
     fixed = isinstance(s, dict) and len(s) == 1 and _int(s.get("Fixed"), 0, 1 << 62)
     _need(s == "BatchLongest" or fixed, "unsupported padding strategy")
     multiple = p.get("pad_to_multiple_of")
-    _need(_one_of(p.get("direction"), _DIRECTION) and _int(p.get("pad_id")) and isinstance(p.get("pad_token"), str) and _int(p.get("pad_type_id"), 0, 255) and (multiple is None or _int(multiple, 1, 1 << 62)), "bad padding")
-    return Padding(s["Fixed"] if fixed else None, multiple, _DIRECTION[p.get("direction")], p["pad_id"], p["pad_token"], p["pad_type_id"])
+    _need(
+        _one_of(p.get("direction"), _DIRECTION) and _int(p.get("pad_id")) and isinstance(p.get("pad_token"), str) and _int(p.get("pad_type_id"), 0, 255) and (multiple is None or _int(multiple, 1, 1 << 62)),
+        "bad padding",
+    )
+    return Padding(
+        s["Fixed"] if fixed else None, multiple, _DIRECTION[p.get("direction")], p["pad_id"], p["pad_token"],
+        p["pad_type_id"],
+    )

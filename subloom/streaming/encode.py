@@ -9,7 +9,10 @@ from pyspark.sql.streaming import DataStreamWriter
 from subloom.tokenizer import WordPieceTokenizer
 
 
-def read_texts(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", max_files: int | None = None, glob: str | None = None) -> DataFrame:
+def read_texts(
+    spark: SparkSession, path: str, schema: str, fmt: str = "parquet", max_files: int | None = None,
+    glob: str | None = None,
+) -> DataFrame:
     """A stream of the files that come into a folder; glob picks them by name."""
     r = spark.readStream.schema(schema).format(fmt)
     r = r.option("pathGlobFilter", glob) if glob else r
@@ -20,7 +23,9 @@ def encode_stream(stream: DataFrame, tokenizer: WordPieceTokenizer, text: str, o
     return tokenizer.encode(stream, text, out)
 
 
-def encode_batches(stream: DataFrame, tokenizer: WordPieceTokenizer, text: str, sink, out: str = "encoding") -> DataStreamWriter:
+def encode_batches(
+    stream: DataFrame, tokenizer: WordPieceTokenizer, text: str, sink, out: str = "encoding",
+) -> DataStreamWriter:
     """A writer that pads every micro-batch to its longest row and hands it to sink(df, batch_id).
 
     A batch may be run again after a failure, under the same id: sinks write by it.

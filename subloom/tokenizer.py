@@ -30,11 +30,15 @@ class WordPieceTokenizer:
         self._added, _ = Added(vocab, n).register(specials)
 
     @classmethod
-    def from_vocab_file(cls, path: str, spark: SparkSession | None = None, config: WordPieceConfig | None = None) -> WordPieceTokenizer:
+    def from_vocab_file(
+        cls, path: str, spark: SparkSession | None = None, config: WordPieceConfig | None = None,
+    ) -> WordPieceTokenizer:
         return cls(Vocabulary.from_file(path, spark, (config or WordPieceConfig()).subword_prefix), config)
 
     @classmethod
-    def from_tokenizer_json(cls, path: str, spark: SparkSession | None = None, config: WordPieceConfig | None = None) -> WordPieceTokenizer:
+    def from_tokenizer_json(
+        cls, path: str, spark: SparkSession | None = None, config: WordPieceConfig | None = None,
+    ) -> WordPieceTokenizer:
         if spark is None:
             with open(path, encoding="utf-8") as f:
                 return cls.from_tokenizer_json_string(f.read(), config)
@@ -47,7 +51,10 @@ class WordPieceTokenizer:
         j = parse(text)
         t = object.__new__(cls)
         t.config, t._json, t._legacy_template, t.unk_token = config or j.config, j, config is not None, j.unk_token
-        n = j.normalizer if config is None else Normalizer(config.lowercase, config.strip_accents, config.handle_chinese_chars, j.normalizer.clean_text, j.normalizer.split)
+        n = j.normalizer if config is None else Normalizer(
+            config.lowercase, config.strip_accents, config.handle_chinese_chars, j.normalizer.clean_text,
+            j.normalizer.split,
+        )
         known = {a.content for a in j.added}
         base = {k: v for k, v in j.vocab.items() if k not in known or k in j.raw["model"]["vocab"]}
         t._added, _ = Added(Vocabulary.from_map(base, t.config.subword_prefix), n).register(j.added)
@@ -73,7 +80,9 @@ class WordPieceTokenizer:
     def add_special_tokens(self, tokens: list[str]) -> tuple[WordPieceTokenizer, int]:
         return self.add_tokens([AddedToken(t, special=True, normalized=False) for t in tokens])
 
-    def with_padding(self, length: int | None = None, multiple: int | None = None, direction: str = "right") -> WordPieceTokenizer:
+    def with_padding(
+        self, length: int | None = None, multiple: int | None = None, direction: str = "right",
+    ) -> WordPieceTokenizer:
         j = self._json.padding if self._json else None
         how = {"pad_id": j.pad_id, "pad_token": j.pad_token, "pad_type_id": j.pad_type_id} if j else {}
         return self._with(padding=Padding(length, multiple, direction, **how))
@@ -81,7 +90,9 @@ class WordPieceTokenizer:
     def without_padding(self) -> WordPieceTokenizer:
         return self._with(padding=None)
 
-    def with_truncation(self, max_length: int, direction: str = "right", strategy: str = "longest_first") -> WordPieceTokenizer:
+    def with_truncation(
+        self, max_length: int, direction: str = "right", strategy: str = "longest_first",
+    ) -> WordPieceTokenizer:
         return self._with(truncation=Truncation(max_length, direction, strategy))
 
     def without_truncation(self) -> WordPieceTokenizer:
@@ -109,7 +120,10 @@ class WordPieceTokenizer:
     def _id(self, token: str) -> int:
         return self.vocab.special_id(token) if token in (CLS, SEP, PAD, UNK, MASK) else self.vocab.token_to_id(token)
 
-    def _assemble(self, a: Column, b: Column | None, add_special_tokens: bool | None, max_length: int | None, strategy: str | None, pad: bool) -> Column:
+    def _assemble(
+        self, a: Column, b: Column | None, add_special_tokens: bool | None, max_length: int | None,
+        strategy: str | None, pad: bool,
+    ) -> Column:
         template = self.template(b is not None, add_special_tokens)
         reserved = sum(p.token is not None for p in template)
         limit = max_length if max_length is not None else self.truncation.max_length if self.truncation else None
@@ -125,7 +139,9 @@ class WordPieceTokenizer:
         enc = E.from_template(template, self._id, a, b)
         return E.apply_padding(enc, self.padding, self.vocab.pad_id) if pad else enc
 
-    def _encoded(self, df: DataFrame, columns: list[str], out: str, words: bool, batch: str | None, whole: bool, **how) -> DataFrame:
+    def _encoded(
+        self, df: DataFrame, columns: list[str], out: str, words: bool, batch: str | None, whole: bool, **how,
+    ) -> DataFrame:
         """df with the encoding of one or two columns; a null input gives a null encoding."""
         f = (words_udf if words else content_udf)(self.kernel())
         names = [f"_content{i}" for i in range(len(columns))]
@@ -137,28 +153,61 @@ class WordPieceTokenizer:
         d = d.withColumn(out, enc).drop(*names)
         return pad_batch(d, out, self.padding, self.vocab.pad_id, batch) if longest else d
 
-    def encode(self, df: DataFrame, text: str, out: str = "encoding", add_special_tokens: bool | None = None) -> DataFrame:
-        return self._encoded(df, [text], out, False, None, False, add_special_tokens=add_special_tokens, max_length=None, strategy=None)
-
-    def encode_pair(self, df: DataFrame, first: str, second: str, out: str = "encoding", add_special_tokens: bool | None = None, max_length: int | None = None, strategy: str | None = None) -> DataFrame:
+    def encode(
+        self, df: DataFrame, text: str, out: str = "encoding", add_special_tokens: bool | None = None,
+    ) -> DataFrame:
+        return self._encoded(
+            df, [text], out, False, None, False, add_special_tokens=add_special_tokens, max_length=None, strategy=None,
+        )
+
+    def encode_pair(
+        self, df: DataFrame, first: str, second: str, out: str = "encoding", add_special_tokens: bool | None = None,
+        max_length: int | None = None, strategy: str | None = None,
+    ) -> DataFrame:
         """max_length overrides the configured one; a strategy counts only where no truncation is configured."""
-        return self._encoded(df, [first, second], out, False, None, False, add_special_tokens=add_special_tokens, max_length=max_length, strategy=strategy)
-
-    def encode_pretokenized(self, df: DataFrame, words: str, out: str = "encoding", add_special_tokens: bool | None = None) -> DataFrame:
-        return self._encoded(df, [words], out, True, None, False, add_special_tokens=add_special_tokens, max_length=None, strategy=None)
-
-    def encode_pretokenized_pair(self, df: DataFrame, first: str, second: str, out: str = "encoding", add_special_tokens: bool | None = None, max_length: int | None = None, strategy: str | None = None) -> DataFrame:
-        return self._encoded(df, [first, second], out, True, None, False, add_special_tokens=add_special_tokens, max_length=max_length, strategy=strategy)
-
-    def encode_batch(self, df: DataFrame, text: str, batch: str | None = None, out: str = "encoding", pretokenized: bool = False, num_workers: int | None = None, add_special_tokens: bool | None = None) -> DataFrame:
+        return self._encoded(
+            df, [first, second], out, False, None, False, add_special_tokens=add_special_tokens, max_length=max_length,
+            strategy=strategy,
+        )
+
+    def encode_pretokenized(
+        self, df: DataFrame, words: str, out: str = "encoding", add_special_tokens: bool | None = None,
+    ) -> DataFrame:
+        return self._encoded(
+            df, [words], out, True, None, False, add_special_tokens=add_special_tokens, max_length=None, strategy=None,
+        )
+
+    def encode_pretokenized_pair(
+        self, df: DataFrame, first: str, second: str, out: str = "encoding", add_special_tokens: bool | None = None,
+        max_length: int | None = None, strategy: str | None = None,
+    ) -> DataFrame:
+        return self._encoded(
+            df, [first, second], out, True, None, False, add_special_tokens=add_special_tokens, max_length=max_length,
+            strategy=strategy,
+        )
+
+    def encode_batch(
+        self, df: DataFrame, text: str, batch: str | None = None, out: str = "encoding", pretokenized: bool = False,
+        num_workers: int | None = None, add_special_tokens: bool | None = None,
+    ) -> DataFrame:
         """Like encode; padding without a length goes to the longest of the batch (column batch; none: the whole table).
 
         Rows are parallel whatever num_workers; if given, it deals them to so many partitions first.
         """
-        return self._encoded(_dealt(df, num_workers), [text], out, pretokenized, batch, True, add_special_tokens=add_special_tokens, max_length=None, strategy=None)
-
-    def encode_pair_batch(self, df: DataFrame, first: str, second: str, batch: str | None = None, out: str = "encoding", pretokenized: bool = False, num_workers: int | None = None, add_special_tokens: bool | None = None, max_length: int | None = None, strategy: str | None = None) -> DataFrame:
-        return self._encoded(_dealt(df, num_workers), [first, second], out, pretokenized, batch, True, add_special_tokens=add_special_tokens, max_length=max_length, strategy=strategy)
+        return self._encoded(
+            _dealt(df, num_workers), [text], out, pretokenized, batch, True, add_special_tokens=add_special_tokens,
+            max_length=None, strategy=None,
+        )
+
+    def encode_pair_batch(
+        self, df: DataFrame, first: str, second: str, batch: str | None = None, out: str = "encoding",
+        pretokenized: bool = False, num_workers: int | None = None, add_special_tokens: bool | None = None,
+        max_length: int | None = None, strategy: str | None = None,
+    ) -> DataFrame:
+        return self._encoded(
+            _dealt(df, num_workers), [first, second], out, pretokenized, batch, True,
+            add_special_tokens=add_special_tokens, max_length=max_length, strategy=strategy,
+        )
 
     def ids(self, text: Column | str) -> Column:
         """Content ids alone."""
