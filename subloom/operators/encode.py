@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,22 +34,48 @@ def to_arrow(contents: list[Content | None]) -> pa.StructArray:
     )
 
 
+def to_struct(kernel: Kernel, texts: list[str | None]) -> pa.StructArray:
+    """The contents of texts as one struct array; None becomes a null struct."""
+    if not kernel.normalizer.split:
+        return to_arrow([kernel.content(t) if t is not None else None for t in texts])
+    sizes, names, tokens, *numbers = kernel.contents(texts)
+    ids, starts, ends, words = (pa.array(x, pa.int32()) for x in numbers)
+    spans = pa.StructArray.from_arrays([starts, ends], ["start", "end"])
+    valid = [t is not None for t in texts]
+    return pa.StructArray.from_arrays(
+        [_lists(sizes, v, valid) for v in (pa.array(names, pa.string()).take(pa.array(tokens)), ids, spans, words)],
+        ["tokens", "ids", "offsets", "word_ids"], mask=pa.array([not v for v in valid]),
+    )
+
+
+#: Bytes of text that are encoded at once: a content takes many times its text's memory.
+_SLICE = 1 << 20
+
+
+def slices(b: pa.Array, most: int = _SLICE) -> Iterator[pa.Array]:
+    """b, texts or lists, in slices: the rows of one after its first have fewer bytes than most together."""
+    lengths = pc.binary_length(b) if pa.types.is_string(b.type) else pc.multiply(pc.list_value_length(b), 8)
+    part = np.cumsum(pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+    ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(b)]
+    for start, end in zip([0, *ends[:-1]], ends, strict=True):
+        yield b.slice(start, end - start)
+
+
 def _function(kernel: Kernel, returns: str, one: Callable) -> Callable[[Column], Column]:
     """An iterator function: the kernel, and the words it remembers, live for all batches of a task."""
 
     @F.arrow_udf(returns)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield one(kernel, b)
+            for s in slices(b):
+                yield one(kernel, s)
 
     return run
 
 
 def content_udf(kernel: Kernel) -> Callable[[Column], Column]:
     """text -> content struct. A null text gives null."""
-    return _function(
-        kernel, CONTENT, lambda k, b: to_arrow([k.content(t) if t is not None else None for t in b.to_pylist()]),
-    )
+    return _function(kernel, CONTENT, lambda k, b: to_struct(k, b.to_pylist()))
 
 
 def words_udf(kernel: Kernel) -> Callable[[Column], Column]:

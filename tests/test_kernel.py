@@ -4,6 +4,7 @@ import random
 import sys
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -220,3 +221,45 @@ def test_an_empty_prefix_takes_single_characters():
 def test_long_words_are_unknown():
     k = Kernel(Added(Vocabulary.from_tokens(PIECES), Normalizer()), "##", 6, "[UNK]")
     assert k.content("monono mononom")[0] == ["mon", "##o", "##no", "[UNK]"]
+
+
+ADDED = {
+    "raw": AddedToken("ation", normalized=False), "strip": AddedToken("then", lstrip=True, rstrip=True, normalized=False),
+    "normalized": AddedToken("ÉAU", normalized=True), "single_word": AddedToken("then", single_word=True, normalized=False),
+}
+
+
+def _mixed(n, seed=3):
+    rnd = random.Random(seed)
+    parts = ["then", "ation", "éau", "ÉAU", " ", "\t", "\0", "　", "​", "x", "中", ".", "é", "́", "가", "İ", "ﬃ"]
+    return ["", None, "  ", *("".join(rnd.choice(parts) for _ in range(rnd.randrange(14))) for _ in range(n))]
+
+
+def _same_contents(kind):
+    """Contents by arrays, of many texts at once and of each alone, equal those built text by text."""
+    from subloom.operators.encode import to_arrow, to_struct
+    from subloom.queries import tokenizer
+
+    t, _ = tokenizer().add_tokens([ADDED[kind]])
+    texts = _mixed(800)
+    want = to_arrow([t.kernel().content(x) if x is not None else None for x in texts])
+    assert to_struct(t.kernel(), texts).equals(want)
+    k = t.kernel()
+    k.limit = 5  # what is remembered starts anew over and over
+    assert [to_struct(k, [x]).to_pylist()[0] for x in texts] == want.to_pylist()
+
+
+def test_array_contents_raw():
+    _same_contents("raw")
+
+
+def test_a_batch_is_encoded_in_slices_of_bounded_size():
+    from subloom.operators.encode import slices
+
+    texts = pa.array([None, "ab" * 300, "é" * 900, "", "c" * 5000, "d", None])
+    got = list(slices(texts, 1000))
+    assert pa.concat_arrays(got).equals(texts) and len(got) > 2
+    assert all(sum(len((t or "").encode()) for t in x.to_pylist()[1:]) < 1000 for x in got)
+    assert [len(x) for x in slices(texts.slice(0, 0))] == [0]
+    words = pa.array([["a"] * 200, None, ["b"] * 3, []])
+    assert pa.concat_arrays(list(slices(words, 1000))).equals(words)
