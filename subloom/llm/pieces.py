@@ -170,7 +170,10 @@ class Segments(dict):
         self[part] = i = len(self.ids)
         if i == len(self.best):
             self.best, self.gap = np.concatenate([self.best, self.best]), np.concatenate([self.gap, self.gap])
-        self.best[i], ids, self.gap[i] = best_and_gap(self.v, part)
+        if self.n == 1:  # nothing is asked of the second best
+            self.best[i], ids = nbest(self.v, part, 1)[0]
+        else:
+            self.best[i], ids, self.gap[i] = best_and_gap(self.v, part)
         self.ids.append(np.array(ids, np.int32).tobytes())
         return i
 
@@ -178,7 +181,8 @@ class Segments(dict):
         """The n best segmentations of a text as (score, ids in 32-bit little endian).
 
         Parts are independent, so an alternative of the whole differs in parts whose second choice costs little: only
-        the n - 1 with the smallest gaps can take part in the n best, and only they are searched by A*.
+        the n - 1 with the smallest gaps can take part in the n best, and only they are searched by A* for them. With
+        n = 1 A* finds the best segmentation of every part.
         """
         parts = self.v.cut(SPACE + text.replace(SPACE, LITERAL_SPACE).replace(" ", SPACE)) if text else []
         if len(self) + len(parts) > self.limit and len(self):

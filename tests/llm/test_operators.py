@@ -244,6 +244,17 @@ def test_n_best_equals_every_segmentation(vocab_text, n):
     assert [s for s, _ in pieces.Segments(v, n).encode(vocab_text)] == pytest.approx(want)
 
 
+def test_the_best_segmentation_alone_is_searched_by_a_star(monkeypatch):
+    v = pieces.Vocabulary.load()
+    text = "the old station and ein Haus, où\U0001f600 12345 in the end"
+    want = pieces.Segments(v, 2).encode(text)[0]
+    asked, search = [], pieces.nbest
+    monkeypatch.setattr(pieces, "nbest", lambda v, part, n: asked.append(part) or search(v, part, n))
+    got = pieces.Segments(v, 1).encode(text)
+    assert got == [(pytest.approx(want[0]), want[1])]
+    assert set(asked) == set(v.cut(pieces.SPACE + text.replace(" ", pieces.SPACE)))
+
+
 # decontamination
 
 
