@@ -263,3 +263,8 @@ def test_a_batch_is_encoded_in_slices_of_bounded_size():
     assert [len(x) for x in slices(texts.slice(0, 0))] == [0]
     words = pa.array([["a"] * 200, None, ["b"] * 3, []])
     assert pa.concat_arrays(list(slices(words, 1000))).equals(words)
+
+
+@pytest.mark.parametrize("kind", ["strip", "normalized", "single_word"])
+def test_array_contents(kind):
+    _same_contents(kind)
