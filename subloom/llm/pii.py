@@ -1,6 +1,6 @@
 """Personal data: fixed patterns, high-recall generators and boosted trees, all as DataFrame expressions.
 
-Nothing here leaves the JVM but one table of training counts, whose number of rows is bounded by max_train_rows.
+Nothing here leaves the JVM but sums over all spans: by feature and value, from which the trees grow, and by range of scores.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subloom.llm.common import table, written
@@ -208,28 +209,76 @@ class Boosted:
         leaf = self.rate * g / (h + self.ridge)
         if not depth or len(rows) < 2:
             return leaf
-        best, whole = (1e-6, None), g * g / (h + self.ridge)
-        for f in range(len(FEATURES)):
-            at: dict[int, list[float]] = {}
-            for x, a, b in rows:
-                s = at.setdefault(x[f], [0.0, 0.0])
+        at: list[dict[int, list[float]]] = [{} for _ in FEATURES]
+        for x, a, b in rows:
+            for f, sums in enumerate(at):
+                s = sums.setdefault(x[f], [0.0, 0.0])
                 s[0] += a
                 s[1] += b
-            gl = hl = 0.0
-            for cut in sorted(at)[:-1]:
-                gl += at[cut][0]
-                hl += at[cut][1]
-                gain = gl * gl / (hl + self.ridge) + (g - gl) ** 2 / (h - hl + self.ridge) - whole
-                if gain > best[0] + 1e-12:
-                    best = (gain, (f, cut))
-        if best[1] is None:
+        found = self._split(at, g, h)
+        if found is None:
             return leaf
-        f, cut = best[1]
+        f, cut = found[:2]
         return (
             f, cut, self._tree([r for r in rows if r[0][f] <= cut], depth - 1),
             self._tree([r for r in rows if r[0][f] > cut], depth - 1),
         )
 
+    def _split(self, at: list[dict[int, list[float]]], g: float, h: float) -> tuple[int, int, float, float] | None:
+        """(feature, cut, gradient and curvature up to the cut) of the best cut, from the sums of each feature's values."""
+        best, whole = (1e-6, None), g * g / (h + self.ridge)
+        for f, sums in enumerate(at):
+            gl = hl = 0.0
+            for cut in sorted(sums)[:-1]:
+                gl += sums[cut][0]
+                hl += sums[cut][1]
+                gain = gl * gl / (hl + self.ridge) + (g - gl) ** 2 / (h - hl + self.ridge) - whole
+                if gain > best[0] + 1e-12:
+                    best = (gain, (f, cut, gl, hl))
+        return best[1]
+
+    def fit_table(self, counts: DataFrame) -> Boosted:
+        """fit for a table of any size: FEATURES, and a and b, the weights of label 1 and 0 in tenths, as whole numbers.
+
+        A tree's level is one aggregate of gradients by node, feature and value; its number of rows is the features'
+        values. Sums are decimal, so they don't depend on the order of the rows.
+        """
+        pos, neg = (int(x or 0) / 10 for x in counts.agg(F.sum("a"), F.sum("b")).first())
+        self.bias, self.trees = math.log((pos + 0.5) / (neg + 0.5)), []
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).alias("v")) for i, c in enumerate(FEATURES)]))
+        for _ in range(self.rounds):
+            d = counts.withColumn("p", 1 / (1 + F.exp(-self.column(F.col))))
+            g, h = (F.col("a") * (1 - F.col("p")) - F.col("b") * F.col("p")) / 10, (F.col("a") + F.col("b")) * F.col("p") * (1 - F.col("p")) / 10
+            d = d.select(*FEATURES, *[x.cast("decimal(28,10)").alias(n) for n, x in (("g", g), ("h", h))])
+            splits: dict[int, tuple] = {}  # by node: the root is 1, below n are 2 n and 2 n + 1
+            leaves: dict[int, float] = {}
+            node = F.lit(1)
+            for level in range(self.depth):
+                sums: dict[int, list[dict]] = {}
+                for r in d.select(node.alias("n"), "g", "h", cells.alias("x")).groupBy("n", "x.f", "x.v").agg(F.sum("g"), F.sum("h")).collect():
+                    sums.setdefault(r[0], [{} for _ in FEATURES])[r[1]][r[2]] = [float(r[3]), float(r[4])]
+                for n in range(1 << level, 2 << level):
+                    if n not in sums:
+                        continue
+                    g_all, h_all = (sum(x[i] for x in sums[n][0].values()) for i in (0, 1))
+                    leaves[n] = self.rate * g_all / (h_all + self.ridge)
+                    if (found := self._split(sums[n], g_all, h_all)) is None:
+                        continue
+                    f, cut, gl, hl = found
+                    splits[n] = (f, cut)
+                    leaves[2 * n], leaves[2 * n + 1] = self.rate * gl / (hl + self.ridge), self.rate * (g_all - gl) / (h_all - hl + self.ridge)
+                deeper = F.lit(0)  # rows of a node that isn't split are settled
+                for n, (f, cut) in splits.items():
+                    if n >> level == 1:
+                        deeper = F.when(node == n, F.when(F.col(FEATURES[f]) <= cut, 2 * n).otherwise(2 * n + 1)).otherwise(deeper)
+                node = deeper
+
+            def tree(n: int):
+                return (*splits[n], tree(2 * n), tree(2 * n + 1)) if n in splits else leaves.get(n, 0.0)  # noqa: B023
+
+            self.trees.append(tree(1))
+        return self
+
     def fit(self, rows: list[tuple[tuple[int, ...], float, float]]) -> Boosted:
         """rows: (features, weight of label 1, weight of label 0)."""
         pos, neg = sum(r[1] for r in rows), sum(r[2] for r in rows)
@@ -276,40 +325,70 @@ def calibrated_threshold(scored: list[tuple[float, float, float]], precision: fl
     return best
 
 
+def _ends(tree) -> tuple[float, float]:
+    """The least and the largest leaf."""
+    if not isinstance(tree, tuple):
+        return tree, tree
+    (a, b), (c, d) = _ends(tree[2]), _ends(tree[3])
+    return min(a, c), max(b, d)
+
+
+def table_threshold(held: DataFrame, model: Boosted, precision: float, ranges: int = 1024) -> float:
+    """calibrated_threshold for a table of any size, of fit_table's columns: the driver sees the sums of so many ranges of
+    scores; within each, scores are ordered where they are."""
+    low, high = (model.bias + sum(_ends(t)[i] for t in model.trees) for i in (0, 1))
+    d = held.select("a", "b", model.column(F.col).alias("s"))
+    place = F.floor((F.col("s") - low) / (high - low) * ranges) if high > low else F.lit(0)
+    d = d.groupBy("s").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("r", place.cast("int"))
+    pos, neg, above = 0, 10, []
+    for r in sorted(d.groupBy("r").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect(), key=lambda x: -x["r"]):
+        above.append(f"({r['r']}, {pos}L, {neg}L)")
+        pos, neg = pos + r["a"], neg + r["b"]
+    if not above:
+        return math.inf
+    over = F.broadcast(held.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(above)} AS x(r, pos, neg)"))
+    down = W.partitionBy("r").orderBy(F.desc("s"))
+    d = d.select("s", "r", F.sum("a").over(down).alias("a"), F.sum("b").over(down).alias("b")).join(over, "r")
+    pos, neg = F.col("pos") + F.col("a"), F.col("neg") + F.col("b")
+    best = d.where(pos / (pos + neg) >= precision).agg(F.min("s")).first()[0]
+    return math.inf if best is None else best
+
+
 def _sql(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
-def fit(found: DataFrame, max_train_rows: int = 20_000, precision: float = 0.9) -> tuple[Boosted, float]:
-    """Train on the generators' spans of the corpus (label: a base span touches it) and the seed examples.
+def training_counts(found: DataFrame) -> DataFrame:
+    """(FEATURES, held, a, b): all spans of the generators and the seed examples, counted by features; a and b are the
+    weights of label 1 and 0 in tenths."""
+    x = found.select("id", F.explode("cand").alias("x")).select("id", "x.*")
+    x = x.select(*FEATURES, (F.abs(F.xxhash64("id", "start")) % 2).cast("int").alias("held"), F.col("known").cast("int").alias("y"))
+    # the same spans once more without what only the base pattern asks for, so that the trees look past it
+    x = x.unionByName(x.where("y = 1 and plus = 1").withColumn("plus", F.lit(0)))
+    weight = lambda y, yes, no: [(F.lit(yes) * y).cast("long").alias("a"), (F.lit(no) * (1 - y)).cast("long").alias("b")]
+    values = ", ".join(f"({_sql(a)}, {_sql(b)}, {_sql(c)}, {y}, {i % 2})" for i, (a, b, c, y) in enumerate(SEEDS))
+    seeds = found.sparkSession.sql(f"SELECT * FROM VALUES {values} AS s(before, span, after, y, held)")
+    named = [c.cast("int").alias(f) for f, c in features(F.col("before"), F.col("span"), F.col("after")).items()]
+    both = x.select(*FEATURES, "held", *weight(F.col("y"), 10, 1)).unionByName(
+        seeds.select(*named, "held", *weight(F.col("y"), 50, 50)),
+    )
+    return both.groupBy(*FEATURES, "held").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
-    At most max_train_rows spans, those with the least hash of (id, start), are used: a bounded sample of labelled
-    rows. Spans are counted by (features, label) in Spark before anything reaches the driver. Half of them, by
-    hash, and every second seed example set the threshold; the trees see only the others. Spans
-    that no base span touches are unlabelled rather than clean: they count a tenth each as negatives.
+
+def fit(found: DataFrame, precision: float = 0.9) -> tuple[Boosted, float]:
+    """Train on all of the generators' spans of the corpus (label: a base span touches it) and the seed examples.
+
+    Half of the spans, by hash, and every second seed example set the threshold; the trees see only the others. Spans
+    that no base span touches are unlabelled rather than clean: they count a tenth each as negatives. Spans of equal
+    features are counted first; trees and threshold come from aggregates over those counts.
     """
-    x = found.select("id", F.explode("cand").alias("x")).select("id", "x.*").withColumn("r", F.xxhash64("id", "start"))
-    sample = x.orderBy("r", "id", "start", "end").limit(max_train_rows)
-    cols = [*FEATURES, "held", "known"]
-    # the same spans once more without what only the base pattern asks for, so that the trees look past it
-    plain = sample.where("known and plus = 1").withColumn("plus", F.lit(0))
-    counts = sample.unionByName(plain).withColumn("held", F.abs(F.col("r")) % 2).groupBy(*cols).agg(F.count("*").alias("n"))
-    spark = found.sparkSession
-    values = ", ".join(f"({_sql(a)}, {_sql(b)}, {_sql(c)}, {y})" for a, b, c, y in SEEDS)
-    seeds = spark.sql(f"SELECT * FROM VALUES {values} AS s(before, span, after, y)")
-    seeds = seeds.select(*[c.cast("int").alias(f) for f, c in features(F.col("before"), F.col("span"), F.col("after")).items()], "y").collect()
-    both = [(tuple(s[f] for f in FEATURES), 5.0 * s["y"], 5.0 * (1 - s["y"])) for s in seeds]
-    train, held = both[::2], both[1::2]
-    for c in counts.collect():
-        row = (tuple(c[f] for f in FEATURES), float(c["n"]) if c["known"] else 0.0, 0.0 if c["known"] else 0.1 * c["n"])
-        (held if c["held"] else train).append(row)
-    model = Boosted().fit(sorted(train))
-    return model, calibrated_threshold([(model.score(x), a, b) for x, a, b in held], precision)
+    counts = written(training_counts(found), "pii-counts")
+    model = Boosted().fit_table(counts.where("held = 0"))
+    return model, table_threshold(counts.where("held = 1"), model, precision)
 
 
 def pii_spans(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train_rows: int = 20_000,
-    precision: float = 0.9,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.9,
 ) -> DataFrame:
     """(id, base, novel): for every row the base spans and the spans that the trees add, as struct<start,kind_no,end>.
 
@@ -325,7 +404,7 @@ def pii_spans(
         ),
         "pii",
     )
-    model, threshold = fit(found, max_train_rows, precision)
+    model, threshold = fit(found, precision)
     return found.select("id", "base", _added(F.col("cand"), model, threshold).alias("novel"))
 
 
@@ -341,7 +420,7 @@ def _added(cand: Column, model: Boosted, threshold: float) -> Column:
 
 def redact(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None,
-    max_train_rows: int = 20_000, precision: float = 0.9,
+    precision: float = 0.9,
 ) -> DataFrame:
     """The rows of docs with every personal span of the text replaced by its kind in brackets.
 
@@ -354,7 +433,7 @@ def redact(
         d.select("id", "t", base_spans(F.col("t")).alias("base")).select("id", candidates(F.col("t"), F.col("base")).alias("cand")).where(F.size("cand") > 0),
         "pii",
     )
-    model, threshold = fit(found, max_train_rows, precision)
+    model, threshold = fit(found, precision)
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), t.alias("t"))
     row = row.select("row", "t", base_spans(F.col("t")).alias("base")).select(
         "row", "t", "base", candidates(F.col("t"), F.col("base")).alias("cand"),

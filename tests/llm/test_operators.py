@@ -461,6 +461,29 @@ def test_boosted_trees_learn_and_match_their_expression(spark):
     assert pii.calibrated_threshold([(1.0, 0, 5), (2.0, 50, 0)], 0.9) == 2.0
 
 
+def test_trees_and_threshold_of_a_table_equal_those_of_its_rows(spark):
+    rng = random.Random(11)
+    rows = {tuple(rng.randrange(5) for _ in pii.FEATURES): (10 * rng.randrange(9), rng.randrange(90)) for _ in range(150)}
+    df = spark.createDataFrame([(*x, a, b) for x, (a, b) in rows.items()], [*pii.FEATURES, "a", "b"])
+    df = df.select(*[F.col(c).cast("int") for c in pii.FEATURES], "a", "b")
+    plain = pii.Boosted(rounds=4).fit(sorted((x, a / 10, b / 10) for x, (a, b) in rows.items()))
+    m = pii.Boosted(rounds=4).fit_table(df)
+    assert [m.score(x) for x in rows] == pytest.approx([plain.score(x) for x in rows])
+    scored = [(m.score(x), a / 10, b / 10) for x, (a, b) in rows.items()]
+    for precision in (0.3, 0.6, 0.8, 0.99999):
+        assert pii.table_threshold(df, m, precision, 7) == pytest.approx(pii.calibrated_threshold(scored, precision))
+
+
+def test_training_counts_hold_every_span(spark):
+    n = 20_500  # above the 20,000 spans that were once the most
+    known = F.col("id") % 3 == 0
+    one = F.struct(F.lit(0).alias("start"), F.lit(9).alias("end"), known.alias("known"), *[F.lit(0).alias(f) for f in pii.FEATURES])
+    counts = pii.training_counts(spark.range(n).select("id", F.array(one).alias("cand"))).where("digits = 0 and at = 0")
+    a, b, held = counts.agg(F.sum("a"), F.sum("b"), F.count_distinct("held")).first()
+    yes = len(range(0, n, 3))
+    assert (a, b, held) == (10 * yes, n - yes, 2)
+
+
 # SimHash
 
 
