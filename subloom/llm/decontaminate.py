@@ -23,8 +23,10 @@ UNITS = frozenset(
 _EDGE = re.compile(r"^[^\w$€£%]+|[^\w$€£%]+$")
 _NUMBER = re.compile(r"[$€£]?[0-9][0-9.,:/-]*%?")
 _ATTACHED = re.compile(r"([$€£]?[0-9][0-9.,]*)([A-Za-zµ°]{1,4})")
+_ENDS = frozenset(".,;:!?")  # after a word of letters alone there is nothing else to look at
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 _MARK = {NUMBER: "<num>", NAME: "<name>", UNIT: "<unit>"}
+_MARK_HASH = {k: xxhash.xxh64_intdigest(m, 7) for k, m in _MARK.items()}
 WINDOW = 8
 
 
@@ -52,18 +54,26 @@ class Lexicon(dict):
             self.kind, self.hash, self.exact, self.ends = (np.concatenate([x, np.zeros_like(x)], axis=-1) for x in (self.kind, self.hash, self.exact, self.ends))
         both = canonical(word)
         for j, (kind, value) in enumerate(both):
-            self.kind[j, i], self.hash[j, i] = kind, xxhash.xxh64_intdigest((_MARK.get(kind) or value).encode(), 7) if not j or both[0] != both[1] else self.hash[0, i]
-        self.exact[i] = xxhash.xxh64_intdigest(both[0][1].encode(), 8)
+            self.kind[j, i] = kind
+            self.hash[j, i] = h = (_MARK_HASH.get(kind) or xxhash.xxh64_intdigest(value, 7)) if not j or both[0] is not both[1] else h
         self.ends[i] = word[-1:] in b".!?:" or (word[-2:-1] in b".!?" and word[-1:] in b"\"')")
         self.names.append((both[0][1], both[1][1]))
         return i
 
+    def exact_of(self, ix: np.ndarray) -> np.ndarray:
+        """Hashes of words as they are, made when they are first asked for."""
+        for i in np.unique(ix[self.exact[ix] == 0]).tolist():
+            self.exact[i] = xxhash.xxh64_intdigest(self.names[i][0], 8)
+        return self.exact[ix]
+
 
 def canonical(word: bytes) -> tuple[tuple[int, str], tuple[int, str]]:
     """(kind, value) of a word inside a sentence and at its start: a literal's value is its lower-case core, a slot's is
     what stands in it."""
     core = word.decode("utf-8", "replace")
-    if not core.isalpha():
+    if core[-1:] in _ENDS and core[:-1].isalpha():
+        core = core[:-1]
+    elif not core.isalpha():
         core = _EDGE.sub("", core) or core
         if _NUMBER.fullmatch(core):
             x = NUMBER, core.strip("$€£%").rstrip(".,:")
@@ -73,7 +83,7 @@ def canonical(word: bytes) -> tuple[tuple[int, str], tuple[int, str]]:
             return x, x
     low = core.lower()
     x = (UNIT if low in UNITS else LITERAL), low
-    return ((NAME, low) if x[0] == LITERAL and core[:1].isupper() else x), x
+    return (NAME, low) if x[0] == LITERAL and core[:1].isupper() else x, x
 
 
 def template(text: str | None, lex: Lexicon, n: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +108,8 @@ def _hashes(h: np.ndarray, literal: np.ndarray, n: int) -> np.ndarray:
     m = len(h) - n + 1
     out = np.zeros(m, np.uint64)
     for j in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + m]
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += h[j : j + m]
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(32)
@@ -124,7 +135,7 @@ def readings(
         h ^= np.where(h != 0, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
         yield h, np.zeros_like(starts), inside
     if exact:
-        yield _hashes(lex.exact[ix], np.ones(len(ix), bool), n), starts, None
+        yield _hashes(lex.exact_of(ix), np.ones(len(ix), bool), n), starts, None
 
 
 def _window(lex: Lexicon, ix, starts, kind, at: int, n: int) -> tuple[str, list[str]]:
@@ -153,8 +164,12 @@ def bloom(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 def _maybe(filter_: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     mask = np.uint64((1 << bits) - 1)
-    a, b = (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
-    return ((filter_[a >> 3] >> (a & 7).astype(np.uint8)) & 1).astype(bool) & ((filter_[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
+    a = (hashes & mask).astype(np.int64)
+    hit = ((filter_[a >> 3] >> (a & 7).astype(np.uint8)) & 1).astype(bool)
+    at = np.flatnonzero(hit)  # few are left for the second probe
+    b = ((hashes[at] >> np.uint64(32)) & mask).astype(np.int64)
+    hit[at] = (filter_[b >> 3] >> (b & 7).astype(np.uint8)) & 1
+    return hit
 
 
 _ROWS = "id long, at array<int>, n int, base long, h long, template string, slots array<string>"

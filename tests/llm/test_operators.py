@@ -269,6 +269,20 @@ def test_leaks_verbatim_and_reparameterised(make, spark):
     assert decontaminate.leaks(make(rows), items.limit(0)).count() == 0 and decontaminate.leaks(make([]), items).count() == 0
 
 
+def test_words_as_they_are_are_hashed_when_asked_for():
+    lex = decontaminate.Lexicon()
+    ix, starts, kind, first = decontaminate.template("The old station, near Anna's house. It is old, old and far.", lex)
+    assert not lex.exact.any()
+    assert len(list(decontaminate.readings(lex, ix, starts, kind, first, 8, True))) == 3 and lex.exact[ix].all()
+    assert len(set(lex.exact_of(ix).tolist())) == len({lex.names[i][0] for i in ix})
+    for word, want in {"station,": "station", "a.": "a", ".a.": "a", "...": "...", "É!": "é"}.items():
+        assert decontaminate.canonical(word.encode())[1] == (decontaminate.LITERAL, want)
+    f = decontaminate.bloom(np.arange(1, 400, 2, dtype=np.uint64), 9)
+    h = np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bit = np.unpackbits(f, bitorder="little")
+    assert decontaminate._maybe(f, h, 9).tolist() == [bool(bit[x & 511] and bit[x >> 32 & 511]) for x in h.tolist()]
+
+
 def test_leaks_equal_brute_force(make, spark):
     rng = random.Random(5)
     items = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "7", "Rome", "km"]) + str(rng.randrange(40)).replace("3", "x") for _ in range(20))) for i in range(20)]
