@@ -72,6 +72,8 @@ def concat(*parts: C) -> Column:
 def from_template(template: tuple[Part, ...], ids: Callable[[str], int], first: C, second: C | None = None) -> Column:
     """The parts of a template, in order; first and second are content structs."""
     parts = [single(p.token, ids(p.token), p.type_id) if p.token is not None else of_content(first if p.sequence == "A" else second, p.type_id, 0 if p.sequence == "A" else 1) for p in template]
+    if len(parts) == 1:  # its arrays go on as they are, without a copy
+        return parts[0]
     return concat(*parts) if parts else empty()
 
 

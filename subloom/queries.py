@@ -446,15 +446,12 @@ def _added(token: AddedToken) -> Query:
         )
         new = t.vocab.token_to_id(token.content)
         hit = F.filter(
-            F.arrays_zip(
-                F.col("encoding.tokens").alias("token"), F.col("encoding.ids").alias("id"),
-                F.col("encoding.offsets").alias("o"),
-            ),
-            lambda x: x["id"] == new,
+            F.arrays_zip(F.col("encoding.ids").alias("id"), F.col("encoding.offsets").alias("o")), lambda x: x["id"] == new,
         )
+        x = x.select("k", hit.alias("hit"))  # a column of its own, so that it is found once for both
         return x.select(
-            "k", F.size(hit).alias("n"),
-            F.coalesce(F.aggregate(hit, F.lit(0).cast("long"), lambda a, h: a + h["o"]["start"] * 3 + h["o"]["end"]), F.lit(0)).alias("places"),
+            "k", F.size("hit").alias("n"),
+            F.coalesce(F.aggregate("hit", F.lit(0).cast("long"), lambda a, h: a + h["o"]["start"] * 3 + h["o"]["end"]), F.lit(0)).alias("places"),
         )
 
     return run

@@ -13,12 +13,17 @@ class PrefixSet:
     """Tokens by spelling: exact lookup and all or the longest of those that begin at a place. Empty tokens never match."""
 
     def __init__(self, items: Mapping[str, int] | None = None):
-        self._ids = dict(items or {})
-        self._longest = max(map(len, self._ids), default=0)
+        self._ids: dict[str, int] = {}
+        self.clear()
+        for token, id_ in (items or {}).items():
+            self.insert(token, id_)
 
     def insert(self, token: str, id_: int) -> None:
         self._ids[token] = id_
         self._longest = max(self._longest, len(token))
+        known = self._lengths.get(token[:1], ())
+        if token and len(token) not in known:
+            self._lengths[token[0]] = tuple(sorted((*known, len(token)), reverse=True))
 
     def lookup(self, token: str) -> int | None:
         return self._ids.get(token)
@@ -35,6 +40,7 @@ class PrefixSet:
     def clear(self) -> None:
         self._ids.clear()
         self._longest = 0
+        self._lengths: dict[str, tuple[int, ...]] = {}  # first character -> lengths of its tokens, longest first
 
     def all_prefixes(self, text: str, start: int = 0) -> list[tuple[str, int, int]]:
         """(token, id, end) of every token beginning at start, shortest first."""
@@ -45,9 +51,10 @@ class PrefixSet:
         return found
 
     def longest_prefix(self, text: str, start: int = 0) -> tuple[str, int, int] | None:
-        for end in range(min(len(text), start + self._longest), start, -1):
-            if (id_ := self._ids.get(text[start:end])) is not None:
-                return text[start:end], id_, end
+        for n in self._lengths.get(text[start : start + 1], ()):
+            piece = text[start : start + n]  # at the end of text: all that is left
+            if (id_ := self._ids.get(piece)) is not None:
+                return piece, id_, start + len(piece)
         return None
 
 

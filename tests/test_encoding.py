@@ -2,11 +2,13 @@
 
 import itertools
 import random
+import re
 import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
+from subloom import queries
 from subloom.config import Normalizer
 from subloom.functions import encoding as E
 from subloom.functions import sql as sql_functions
@@ -292,3 +294,28 @@ def test_entry_and_registry(spark):
 
     assert e.entry(spark).count() == 4
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contents_without_special_tokens_are_not_copied(t, df):
+    assert "concat(" not in _plan(t.encode(df, "t", add_special_tokens=False))
+
+
+PLACES = {
+    "added_token_strip": r"\s*then\s*", "added_token_normalized": "éau|ÉAU", "added_token_single_word": r"(?<!\w)then(?!\w)",
+}
+
+
+@pytest.mark.parametrize("name", PLACES)
+def test_places_of_added_tokens(spark, tmp_path, name):
+    """Number and places against a plain pattern; the tokens are gone through once for both."""
+    rng = random.Random(name)
+    some = ["", "then", " then\t\n", "thenthen", *("".join(rng.choices(["then", "éau", "ÉAU", " ", "　", "x", "_", ".", "中"], k=9)) for _ in range(40))]
+    spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.QUERIES[name](spark, str(tmp_path))
+    spans = [[m.span() for m in re.finditer(PLACES[name], x)] for x in some]
+    assert sorted(map(tuple, out.collect())) == [(k, len(s), sum(3 * a + b for a, b in s)) for k, s in enumerate(spans)]
+    assert _plan(out).count("filter(") == 1

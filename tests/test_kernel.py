@@ -268,3 +268,30 @@ def test_a_batch_is_encoded_in_slices_of_bounded_size():
 @pytest.mark.parametrize("kind", ["strip", "normalized", "single_word"])
 def test_array_contents(kind):
     _same_contents(kind)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_longest_prefix_against_all_prefixes(seed):
+    rnd = random.Random(seed)
+    p = PrefixSet({"".join(rnd.choices("abé", k=rnd.randrange(6))): i for i in range(60)})
+    for _ in range(500):
+        text = "".join(rnd.choices("abéx", k=rnd.randrange(8)))
+        for start in range(len(text) + 1):
+            assert p.longest_prefix(text, start) == (p.all_prefixes(text, start) or [None])[-1]
+    p.clear()
+    assert p.longest_prefix("ab") is None
+
+
+def test_a_new_word_costs_few_lookups():
+    """Only lengths that tokens of the first character have are looked up."""
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *a):
+            Counted.looked += 1
+            return super().get(*a)
+
+    p = PrefixSet({"a": 0, "b": 1, "b" * 50: 2})
+    p._ids = Counted(p._ids)
+    assert p.longest_prefix("a" * 60) == ("a", 0, 1) and Counted.looked == 1
+    assert p.longest_prefix("b" * 60)[2] == 50 and p.longest_prefix("bab") == ("b", 1, 1)
