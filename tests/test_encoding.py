@@ -4,15 +4,18 @@ import itertools
 import random
 import re
 import shutil
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from subloom import queries
-from subloom.config import Normalizer
+from subloom.config import AddedToken, Normalizer
 from subloom.functions import encoding as E
 from subloom.functions import sql as sql_functions
 from subloom.functions import text as T
+from subloom.operators.encode import content_udf
 from subloom.operators.kernel import normalize
 from subloom.operators.merge import merge_groups
 from subloom.plans.lattice import token_counts, walked, word_pieces
@@ -319,3 +322,22 @@ def test_places_of_added_tokens(spark, tmp_path, name):
     spans = [[m.span() for m in re.finditer(PLACES[name], x)] for x in some]
     assert sorted(map(tuple, out.collect())) == [(k, len(s), sum(3 * a + b for a, b in s)) for k, s in enumerate(spans)]
     assert _plan(out).count("filter(") == 1
+
+
+@pytest.mark.parametrize("kind", ["normalized", "single_word"])
+def test_memory_of_a_large_batch(spark, kind):
+    """A batch of over 2 MB holds one slice's worth of Python and numpy memory at a time, not the contents of all its texts."""
+    rng = random.Random(5)
+    words = ["then", "ÉAU", "éau", "monde", "the", "x", "zz", "then.", "ofthen"]
+    texts = [" ".join(rng.choices(words, k=500)) for _ in range(900)]
+    tokens = {"normalized": AddedToken("ÉAU", normalized=True), "single_word": AddedToken("then", single_word=True, normalized=False)}
+    t, _ = queries.tokenizer().add_tokens([tokens[kind]])
+    run = content_udf(t.kernel()).func
+    assert sum(len(x.encode()) for x in texts) > 2 << 20
+    tracemalloc.start()
+    try:
+        n = sum(len(part) for part in run(iter([pa.array(texts)])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == len(texts) and peak < 110 << 20
