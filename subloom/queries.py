@@ -438,7 +438,9 @@ query("encoding_to_json", _json_round_trip, _single_sql())
 # added tokens that are no pieces, so that their id stands for nothing else
 
 
-def _added(token: AddedToken) -> Query:
+def _added(token: AddedToken, of_null: int | None = None) -> Query:
+    """Number and places of an added token in every document; of_null: the number where the text is null."""
+
     def run(spark: SparkSession, d: str) -> DataFrame:
         t, _ = tokenizer().add_tokens([token])
         x = t.encode(
@@ -450,7 +452,7 @@ def _added(token: AddedToken) -> Query:
         )
         x = x.select("k", hit.alias("hit"))  # a column of its own, so that it is found once for both
         return x.select(
-            "k", F.size("hit").alias("n"),
+            "k", F.coalesce(F.size("hit"), F.lit(of_null)).alias("n"),
             F.coalesce(F.aggregate("hit", F.lit(0).cast("long"), lambda a, h: a + h["o"]["start"] * 3 + h["o"]["end"]), F.lit(0)).alias("places"),
         )
 
@@ -468,7 +470,7 @@ FROM (SELECT doc_id, regexp_extract_all({text}, '{pattern}', {group}) AS m, rege
 
 
 query("added_token_raw", _added(AddedToken("ation", normalized=False)), _added_sql("ation", 0))
-query("added_token_single_word", _added(AddedToken("then", single_word=True, normalized=False)), """
+query("added_token_single_word", _added(AddedToken("then", single_word=True, normalized=False), of_null=0), """
 WITH p AS MATERIALIZED (SELECT doc_id, string_split(text, 'then') AS p FROM documents),
 g AS MATERIALIZED (SELECT doc_id, unnest(p) AS g, unnest(range(0, len(p))) AS j FROM p),
 h AS (SELECT doc_id, j, g, lead(g) OVER w AS g2, lead(j, 2) OVER w IS NOT NULL AS more, sum(length(g)) OVER w + 4 * j AS s FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY j)),

@@ -341,3 +341,12 @@ def test_memory_of_a_large_batch(spark, kind):
     finally:
         tracemalloc.stop()
     assert n == len(texts) and peak < 110 << 20
+
+
+@pytest.mark.parametrize(("name", "n"), [("added_token_single_word", 0), ("added_token_normalized", None), ("added_token_strip", None)])
+def test_added_tokens_of_a_null_text(spark, tmp_path, name, n):
+    """As the SQL has it: a null text has no single words, and of the others no number is known."""
+    spark.createDataFrame([(1, None), (2, "a then b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.QUERIES[name](spark, str(tmp_path))
+    assert out.schema["n"].dataType.simpleString() == "int"
+    assert [tuple(r) for r in out.where("k = 1").collect()] == [(1, n, 0)]
