@@ -49,7 +49,7 @@ def to_struct(kernel: Kernel, texts: list[str | None]) -> pa.StructArray:
 
 
 #: Bytes of text that are encoded at once: a content takes many times its text's memory.
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 
 
 def slices(b: pa.Array, most: int = _SLICE) -> Iterator[pa.Array]:

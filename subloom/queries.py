@@ -44,6 +44,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _lean_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table read without vectored reads: those take a row group's whole column at once, through a direct buffer of that
+    size that each thread keeps beside the heap."""
+    return spark.read.option("parquet.hadoop.vectored.io.enabled", "false").parquet(f"{sf_dir}/{name}.parquet")
+
+
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "conv_id", "turn", "role", "text",
@@ -444,7 +450,7 @@ def _added(token: AddedToken, of_null: int | None = None) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         t, _ = tokenizer().add_tokens([token])
         x = t.encode(
-            _table(spark, d, "documents").select(F.col("doc_id").alias("k"), "text"), "text", add_special_tokens=False,
+            _lean_table(spark, d, "documents").select(F.col("doc_id").alias("k"), "text"), "text", add_special_tokens=False,
         )
         new = t.vocab.token_to_id(token.content)
         hit = F.filter(

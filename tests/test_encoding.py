@@ -350,3 +350,30 @@ def test_added_tokens_of_a_null_text(spark, tmp_path, name, n):
     out = queries.QUERIES[name](spark, str(tmp_path))
     assert out.schema["n"].dataType.simpleString() == "int"
     assert [tuple(r) for r in out.where("k = 1").collect()] == [(1, n, 0)]
+
+
+def test_memory_with_many_remembered_words(spark):
+    """A slice takes little beside what is remembered, and what is remembered is not copied for it."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdeé", k=9)) for _ in range(200_000)]
+    t, _ = queries.tokenizer().add_tokens([AddedToken("ÉAU", normalized=True)])
+    k = t.kernel()
+    run, texts = content_udf(k).func, pa.array([" ".join(words[i : i + 500]) for i in range(0, len(words), 500)])
+    tracemalloc.start()
+    try:
+        for _ in run(iter([texts])):
+            pass
+        held = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        n = sum(len(part) for part in run(iter([texts])))
+        more = tracemalloc.get_traced_memory()[1] - held
+    finally:
+        tracemalloc.stop()
+    assert n == len(texts) and len(k._entries) > 150_000 and more < 40 << 20
+
+
+@pytest.mark.parametrize("name", PLACES)
+def test_no_vectored_reads_for_added_tokens(spark, name):
+    """Through these an executor would hold a row group's column once more, outside its heap."""
+    scan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().collectLeaves().head()
+    assert scan.relation().options().get("parquet.hadoop.vectored.io.enabled").get() == "false"
