@@ -29,6 +29,7 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULT = _rng.integers(0, 1 << 63, 5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 CHUNK, HOT = 8_192, 16_384
+_LENGTH = 24  # bits of a span's length: none is longer than a piece of _BLOCK windows
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -72,10 +73,11 @@ def runs(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarra
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, c, doc, at, n, again): a row per run; c hashes the run's bytes and the anchor's place in them.
+    """(h, c, doc, place): a row per run, place being at << 8 | n; c hashes the run's bytes and the anchor's place in them.
 
-    Of runs that are equal as a whole, all but the first of a block are settled here: again is true, and their h is
-    mixed with their place, so that what a block repeats is spread and not sorted with the anchor.
+    Of runs that are equal as a whole, all but the first of a block are settled here: runs of them that follow each other
+    make one row with n = 0, whose c is the number of its windows and whose h is a mix of its own place, so that what a
+    block repeats is spread and not sorted with the anchor.
     """
 
     def flush(ids, offs, parts):
@@ -93,17 +95,20 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
         again = np.zeros(len(order), bool)
         again[order] = (doc[order] != doc[lead]) | (at[order] != at[lead])  # a repeated row of one document is no repeat
+        joins = np.zeros(len(order), bool)  # runs of a text lie side by side
+        joins[1:] = again[1:] & again[:-1] & (of[1:] == of[:-1])
+        keep = np.flatnonzero(~joins)
+        end = last[np.append(keep[1:], len(order)) - 1] if len(keep) else last
+        again, at, doc, h, n = again[keep], at[keep], doc[keep], h[keep], end - first[keep] + 1
         h = np.where(
             again,
             (h ^ (doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) + at.view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9),
             h,
         )
+        c = np.where(again, n, c[keep].view(np.int64))
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(at),
-                pa.array((last - first + 1).astype(np.int16)), pa.array(again),
-            ],
-            ["h", "c", "doc", "at", "n", "again"],
+            [pa.array(h.view(np.int64)), pa.array(c), pa.array(doc), pa.array(at << 8 | np.where(again, 0, n))],
+            ["h", "c", "doc", "place"],
         )
 
     for b in batches:
@@ -201,12 +206,16 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, doc, at, ctx, hot) from documents (id, t, marks)."""
+    """(h, doc, at, ctx, hot) from documents (id, t, marks); those without marks give none."""
     for b in batches:
         out: list[tuple] = []
         for id_, t, marks in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            if not marks:
+                continue
             raw = (t.as_py() or "").encode()
-            out += [(m["h"], id_, m["at"], raw[m["at"] : m["at"] + m["n"] + SPAN - 1], m["hot"]) for m in marks]
+            for m in marks:
+                at, n = divmod(m["place"], 256)
+                out.append((m["h"], id_, at, raw[at : at + n + SPAN - 1], m["hot"]))
             if len(out) > 50_000:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c) for c in zip(*out, strict=True)], ["h", "doc", "at", "ctx", "hot"],
@@ -219,7 +228,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, t, spans) -> id, n_bytes, n_removed, n_spans, kept, where spans are what to remove, in any order."""
+    """(id, t, spans) -> id, n_bytes, n_removed, n_spans, kept, where spans (start << 24 | length) are what to remove, in
+    any order."""
     for whole in batches:
         for o in range(0, whole.num_rows, 512):
             b = whole.slice(o, 512)
@@ -229,7 +239,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not spans.is_valid:
                     rows.append((id_, len(raw), 0, 0, raw))
                     continue
-                s, e = (spans.values.field(f).to_numpy() for f in ("start", "stop"))
+                s = spans.values.to_numpy()
+                s, e = s >> _LENGTH, (s >> _LENGTH) + (s & ((1 << _LENGTH) - 1))
                 edge = np.bincount(s, minlength=len(raw) + 1) - np.bincount(e, minlength=len(raw) + 1)
                 gone = np.cumsum(edge)[: len(raw)] > 0
                 rows.append((
@@ -243,6 +254,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(doc, start, stop) byte spans to remove: every SPAN-byte string that also starts earlier (smaller id, or the same
     document further left); spans may overlap and repeat. Null texts are empty; texts under SPAN bytes have none;
@@ -251,25 +266,33 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     An anchor whose different contexts number over hot does not go to one task: its windows are spread by a
     128-bit digest instead, and the least (document, place) of each stays.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    anchors = d.mapInArrow(_anchor_rows, "h long, c long, doc long, at long, n short, again boolean")
-    same, own = W.partitionBy("h", "c").orderBy("doc", "at"), W.partitionBy("h")
-    met = anchors.withColumn("r", F.rank().over(same)).withColumn("contexts", F.sum((F.col("r") == 1).cast("int")).over(own)).where("r > 1 or contexts > 1 or again")
+    d = _documents(docs, id_col, text_col)
+    # one exchange by anchor serves both windows; runs are the bulk of what is shuffled
+    anchors = d.mapInArrow(_anchor_rows, "h long, c long, doc long, place long").repartition("h")
+    same, own = W.partitionBy("h", "c").orderBy("doc", "place"), W.partitionBy("h")
+    met = (
+        anchors.withColumn("r", F.rank().over(same)).withColumn("contexts", F.sum((F.col("r") == 1).cast("int")).over(own))
+        .withColumns({"at": F.expr("shiftright(place, 8)"), "n": F.expr("place & 255")})
+        .withColumn("windows", F.expr("CASE WHEN n = 0 THEN c WHEN r > 1 THEN n END"))
+        .where("windows is not null or contexts > 1")
+    )
     marks = written(
         met.select(
-            "h", "doc", "at", "n", F.expr("r > 1 or again").alias("whole"), (F.col("contexts") > hot).alias("hot"),
+            "doc", F.expr(f"at + windows + {SPAN - 1}").alias("stop"), F.expr("CASE WHEN windows is null THEN h END").alias("h"),
+            F.expr("CASE WHEN windows is null THEN place ELSE at END").alias("place"), (F.col("contexts") > hot).alias("hot"),
         ),
         "anchors",
     )
-    full = marks.where("whole").select("doc", F.col("at").alias("start"), F.expr(f"at + n + {SPAN - 1}").alias("stop"))
-    part = marks.where("not whole").groupBy("doc").agg(F.collect_list(F.struct("h", "at", "n", "hot")).alias("marks"))
-    ctx = d.join(part, d.id == part.doc).select("id", "t", "marks").mapInArrow(
+    full = marks.where("stop is not null").select("doc", F.col("place").alias("start"), "stop")
+    part = marks.where("stop is null").groupBy("doc").agg(F.collect_list(F.struct("h", "place", "hot")).alias("marks"))
+    # a left join, as in remove_repeats: both then read one exchange of the texts
+    ctx = d.join(part, d.id == part.doc, "left").select("id", "t", "marks").mapInArrow(
         _contexts, "h long, doc long, at long, ctx binary, hot boolean",
     )
     kind = "doc long, start long, stop long"
     cool = ctx.where("not hot").select("h", "doc", "at", "ctx").repartition("h").sortWithinPartitions("h", "doc", "at").mapInArrow(_refined, kind)
     parts = [full, cool]
-    if marks.where("hot and not whole").limit(1).count():
+    if marks.where("hot and stop is null").limit(1).count():
         each = ctx.where("hot").distinct().select(
             "doc", "at", "ctx", F.explode(F.sequence(F.lit(0), F.octet_length("ctx") - SPAN)).alias("s"),
         )
@@ -287,8 +310,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary): every row of docs without its repeated spans. No documents give no rows."""
-    spans = repeated_spans(docs, id_col, text_col, hot).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    span = F.expr(f"shiftleft(start, {_LENGTH}) | stop - start")
+    spans = repeated_spans(docs, id_col, text_col, hot).groupBy("doc").agg(F.collect_list(span).alias("spans"))
+    d = _documents(docs, id_col, text_col)
     return d.join(spans, d.id == spans.doc, "left").select("id", "t", "spans").mapInArrow(
         _cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary",
     )

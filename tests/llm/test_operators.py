@@ -162,6 +162,31 @@ def test_repeats_equal_brute_force(make, edge, hot):
     assert suffix_dedup.remove_repeats(make([])).count() == 0
 
 
+def test_repeats_shuffle_runs_and_texts_once(spark, make):
+    """Disk counts what all exchanges write, for nothing says when Spark drops the files of those that are done."""
+    rng = random.Random(8)
+    words = ["%06x" % rng.randrange(1 << 24) for _ in range(40_000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(600)]
+    texts = [t if i % 4 else t[:1500] + texts[0][100:300] + t[1500:] for i, t in enumerate(texts)] + texts[:200]  # passages and copies
+    status, doubles = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        all_ = status.stageList(None, False, False, doubles, None)
+        return {x.stageId(): x.shuffleWriteBytes() for x in (all_.apply(i) for i in range(all_.size()))}
+
+    was, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), stages()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = suffix_dedup.remove_repeats(make(list(enumerate(texts)))).select("id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h"))
+        got = sorted(map(tuple, d.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    wrote = sum(v for k, v in stages().items() if k not in before)
+    assert got == sorted(suffix_dedup.brute(list(enumerate(texts))))
+    assert wrote < 2 * sum(map(len, texts)), wrote / sum(map(len, texts))
+
+
 # sharding
 
 
